@@ -7,14 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_codec import op6_bpe
+from .chat_format import OP1_SQL, op1_chat_format
+from .secrets import op2_secrets
 from .sharding import op10_sharding
 from .token_counts import op4_token_counts
 from .toxicity import op7_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_counts, op6_bpe, op7_toxicity, op10_sharding)}
+    return {f.__name__: f for f in (op1_chat_format, op2_secrets, op4_token_counts, op6_bpe, op7_toxicity, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_chat_format": OP1_SQL}
