@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe_codec import op6_bpe
 from .chat_format import OP1_SQL, op1_chat_format
 from .decontamination import op8_decontamination
+from .minhash import OP9_SQL, op9_minhash
 from .quality_rules import op3_quality_rules
 from .secrets import op2_secrets
 from .sharding import op10_sharding
@@ -17,8 +18,8 @@ from .toxicity import op7_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_secrets, op3_quality_rules, op4_token_counts, op6_bpe, op7_toxicity, op8_decontamination, op10_sharding)}
+    return {f.__name__: f for f in (op1_chat_format, op2_secrets, op3_quality_rules, op4_token_counts, op6_bpe, op7_toxicity, op8_decontamination, op9_minhash, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL}
+    return {"op1_chat_format": OP1_SQL, "op9_minhash": OP9_SQL}
