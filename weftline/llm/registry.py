@@ -13,12 +13,13 @@ from .minhash import OP9_SQL, op9_minhash
 from .quality_rules import op3_quality_rules
 from .secrets import op2_secrets
 from .sharding import op10_sharding
+from .suffix_dedup import op5_suffix_dedup
 from .token_counts import op4_token_counts
 from .toxicity import op7_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_secrets, op3_quality_rules, op4_token_counts, op6_bpe, op7_toxicity, op8_decontamination, op9_minhash, op10_sharding)}
+    return {f.__name__: f for f in (op1_chat_format, op2_secrets, op3_quality_rules, op4_token_counts, op5_suffix_dedup, op6_bpe, op7_toxicity, op8_decontamination, op9_minhash, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
