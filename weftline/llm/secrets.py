@@ -207,6 +207,23 @@ def default_net(findings: int = 2400) -> Net:
     return train(labelled_findings(findings))
 
 
+def found_in(texts: list[str | None], net: Net) -> list[list[tuple[int, str, int, float]]]:
+    """For each text (start, kind, end, score) of its findings, by start, then kind."""
+    spans, windows, owners = [], [], []
+    for k, t in enumerate(texts):
+        base = base_spans(t) if t else []
+        spans.append([(s, KINDS[c], e) for s, c, e in base] + ([(s, "net", e) for s, e in candidates(t, base)] if t else []))
+        for i, (s, _, e) in enumerate(spans[-1]):
+            windows.append(seen(t, s, e))
+            owners.append((k, i, shape(t[s:e])))
+    out: list[list] = [[] for _ in spans]
+    for (k, i, form), score in zip(owners, net.scores(windows).tolist(), strict=True):
+        s, name, e = spans[k][i]
+        if name != "net" or score >= net.thresholds[form]:
+            out[k].append((s, name, e, score))
+    return [sorted(x, key=lambda f: (f[0], KINDS.index(f[1]))) for x in out]
+
+
 def scan(docs: DataFrame, net: Net | None = None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row for each row of docs: its id, the columns of keep, and findings: structs of kind, start, end (code points, end
     exclusive) and the network's score, by start, then kind.
@@ -220,20 +237,7 @@ def scan(docs: DataFrame, net: Net | None = None, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            spans, windows, owners = [], [], []
-            for k, t in enumerate(b.column(len(names)).to_pylist()):
-                base = base_spans(t) if t else []
-                found = [(s, KINDS[c], e) for s, c, e in base] + ([(s, "net", e) for s, e in candidates(t, base)] if t else [])
-                spans.append(found)
-                for i, (s, _, e) in enumerate(found):
-                    windows.append(seen(t, s, e))
-                    owners.append((k, i, shape(t[s:e])))
-            out: list[list] = [[] for _ in spans]
-            for (k, i, form), score in zip(owners, net.scores(windows).tolist(), strict=True):
-                s, name, e = spans[k][i]
-                if name != "net" or score >= net.thresholds[form]:
-                    out[k].append((s, KINDS.index(name), {"kind": name, "start": s, "end": e, "score": score}))
-            rows = [[x[2] for x in sorted(found, key=lambda x: x[:2])] for found in out]
+            rows = [[{"kind": k, "start": s, "end": e, "score": p} for s, k, e, p in found] for found in found_in(b.column(len(names)).to_pylist(), net)]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(rows, kind)], names=[*names, "findings"])
 
     schema = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
@@ -250,6 +254,29 @@ def redact(text: str, spans: list[tuple[int, int]], mark: str = "<SECRET>") -> s
     return "".join([*out, text[at:]])
 
 
+def redacted(docs: DataFrame, net: Net | None = None, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """docs with all findings of scan() replaced by a mark in their texts, and the size of changed texts put right.
+
+    Rows, their order within a partition and all other columns stay; null texts stay null.
+    """
+    net = net or default_net()
+    names, at = docs.columns, docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(at).to_pylist()
+            found = [[(x[0], x[2]) for x in spans] for spans in found_in(texts, net)]
+            new = [redact(t, f) if f else t for t, f in zip(texts, found, strict=True)]
+            columns = list(b.columns)
+            columns[at] = pa.array(new, b.column(at).type)
+            if size_col in names:
+                k = names.index(size_col)
+                columns[k] = pa.array([len(t) if f else n for t, f, n in zip(new, found, b.column(k).to_pylist(), strict=True)], b.column(k).type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents"))
     number = lambda kind: F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("long")
