@@ -47,19 +47,22 @@ def path_nodes(nodes: DataFrame, top: int = 1) -> DataFrame:
     nodes = written(nodes.where("node is not null").groupBy("node").agg(best).select("node", "m.tree", "m.parent", "m.role", "m.text", F.coalesce("m.score", F.lit(0.0)).cast("double").alias("score")), "nodes")
     ids = nodes.select(F.col("node").alias("parent"))
     rooted = nodes.join(ids, "parent", "left_semi").select("node", F.col("parent").alias("up"))
-    jump = written(nodes.select("node", F.lit(1).cast("long").alias("depth"), "score").join(rooted, "node", "left"), "jump")
-    jumps, rounds = [jump], nodes.count().bit_length() + 1
-    while len(jumps) <= rounds and jump.where("up is not null").limit(1).count():
-        far = jump.select(F.col("node").alias("up"), F.col("depth").alias("more"), F.col("score").alias("plus"), F.col("up").alias("beyond"))
-        jump = written(jump.join(far, "up", "left").select("node", (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (F.col("score") + F.coalesce("plus", F.lit(0.0))).alias("score"), F.col("beyond").alias("up")), "jump")
-        jumps.append(jump)
+    state = written(nodes.select("node", F.lit(1).cast("long").alias("depth"), "score").join(rooted, "node", "left"), "jump")
+    # Round k: pointers of nodes at least 2**k below their root, and what lies between; nodes whose pointer has passed the root.
+    jumps, passed, rounds = [], state.where("up is null"), nodes.count().bit_length() + 1
+    going = state.where("up is not null")
+    while len(jumps) < rounds and going.limit(1).count():
+        jumps.append(going)
+        reached = going.unionByName(passed).select(F.col("node").alias("up"), F.col("depth").alias("more"), F.col("score").alias("plus"), F.col("up").alias("beyond"))
+        state = written(going.join(reached, "up").select("node", (F.col("depth") + F.col("more")).alias("depth"), (F.col("score") + F.col("plus")).alias("score"), F.col("beyond").alias("up")), "jump")
+        passed, going = passed.unionByName(state.where("up is null")), state.where("up is not null")
     leaves = nodes.join(nodes.select(F.col("parent").alias("node")), "node", "left_anti").select("node", "tree")
-    ranked = leaves.join(jump.where("up is null").select("node", "depth", (F.col("score") / F.col("depth")).alias("mean")), "node")
+    ranked = leaves.join(passed.select("node", "depth", (F.col("score") / F.col("depth")).alias("mean")), "node")
     order = Window.partitionBy("tree").orderBy(F.desc("mean"), "node")
     chosen = written(ranked.withColumn("branch", F.row_number().over(order)).where(F.col("branch") <= top).select(F.col("node").alias("path"), "branch", "depth"), "chosen")
     at = chosen.select("path", F.col("path").alias("node"), F.lit(0).cast("long").alias("above"))
-    for k in range(len(jumps) - 2, -1, -1):  # each distance is one sum of powers of two, so each message comes up once
-        up = jumps[k].where("up is not null").select("node", "up")
+    for k in range(len(jumps) - 1, -1, -1):  # each distance is one sum of powers of two, so each message comes up once
+        up = jumps[k].select("node", "up")
         at = at.unionByName(at.join(up, "node").select("path", F.col("up").alias("node"), (F.col("above") + (1 << k)).alias("above")))
         if k % 4 == 0:
             at = written(at, "paths")
