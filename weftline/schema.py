@@ -15,9 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return patch_view(table(spark, sf_dir, "documents"))
+
+
+def patch_view(docs: DataFrame) -> DataFrame:
     """Documents as patches: patch_id, title, description, created_time, files; n is the document's number."""
-    docs = table(spark, sf_dir, "documents").where("doc_id is not null and text is not null")
-    return docs.selectExpr(
+    return docs.where("doc_id is not null and text is not null").selectExpr(
         "doc_id as n",
         "cast(doc_id as string) as patch_id",
         "substring_index(text, '\\n', 1) as title",

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one only where the cluster names none."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="weftline-")).rstrip("/")
+
+
 def session(name: str = "weftline", **conf: str) -> SparkSession:
     """UTC, ANSI and adaptive execution; all else is left to the cluster or to conf."""
     builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
