@@ -25,9 +25,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, cut from its lineage: a Parquet table in the shared folder, which outlives any executor."""
+def written(df: DataFrame, name: str, thin: bool = False) -> DataFrame:
+    """df, cut from its lineage: a Parquet table in the shared folder, which outlives any executor.
+
+    Thin tables, of a few numbers for each row, are written by an eighth of the tasks.
+    """
     spark = df.sparkSession
+    if thin:
+        df = df.coalesce(max(8, parts(spark) // 8))
     path = f"{shared_dir(spark)}/weftline-{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -122,7 +122,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         keys = facts.groupBy("id", "sha").agg(F.min("doc").alias("doc"))
         source = source.alias("s").join(keys.alias("k"), F.expr("s.id <=> k.id and sha2(s.raw, 256) = k.sha")).select("doc", "raw").dropDuplicates(["doc"])
     firsts = facts.groupBy("sha").agg(F.min("doc").alias("first"))
-    facts = written(facts.join(firsts, "sha").withColumn("copy", F.col("doc") != F.col("first")).drop("first"), "copies")
+    facts = written(facts.join(firsts, "sha").withColumn("copy", F.col("doc") != F.col("first")).drop("first"), "copies", thin=True)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -174,7 +174,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield out(nh[meets], nl[meets], [None] * int(meets.sum()))
                 held = (nh[-1], ls[new[-1]], nl[-1], bool(meets[-1]))
 
-    found = source.mapInArrow(find, "h bigint, s bigint, loc bigint, meta int").repartition(4 * parts(spark), "h").sortWithinPartitions("h", "s", "loc")
+    found = source.mapInArrow(find, "h bigint, s bigint, loc bigint, meta int").repartition(parts(spark), "h").sortWithinPartitions("h", "s", "loc")
     found = written(found.mapInArrow(firsts_and_meetings, "h bigint, at bigint, size int"), "stretches")
     doc_of = lambda c: F.shiftright(c, bits)
     place_of = lambda c: F.col(c).bitwiseAND(F.lit((1 << bits) - 1))
@@ -191,7 +191,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     around = texts_of(wanted.select("doc")).join(wanted, "doc").mapInArrow(_around, "h bigint, doc bigint, place int, left binary, right binary")
     around = written(around.withColumn("at", F.shiftleft("doc", bits) + F.col("place")).select("h", "at", "left", "right"), "around")
     crowds = around.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > most_meeting).select("h")
-    crowds = written(crowds, "crowds")
+    crowds = written(crowds, "crowds", thin=True)
     crowded = bool(crowds.limit(1).count())
     small = around.join(crowds, "h", "left_anti") if crowded else around
 
@@ -211,7 +211,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if held:
             yield judged(held)
 
-    more = small.repartition(4 * parts(spark), "h").sortWithinPartitions("h").mapInArrow(compare, "at bigint, size int")
+    more = small.repartition(parts(spark), "h").sortWithinPartitions("h").mapInArrow(compare, "at bigint, size int")
     gone = gone.unionByName(more)
     if crowded:
         gone = gone.unionByName(_by_content(around.join(crowds, "h", "left_semi")))
