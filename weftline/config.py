@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 @dataclass(frozen=True)
 class Settings:
-    window_days: float = 14
+    window_days: float = 14.0
     top_k: int = 5
     # Semantic retrieval
     semantic_weight: float = 0.7
@@ -29,9 +29,9 @@ class Settings:
     path_tokens: int = 20
     # Candidate pools
     ann_k: int = 50
-    ann_days: float = 90
+    ann_days: float = 90.0
     pool_k: int = 20
-    pool_days: float = 30
+    pool_days: float = 30.0
     # Training
     most_negatives: int = 20
     hard_share: float = 0.6

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..config import USUAL
 
-WORDS, ASCII_WORDS = r"(?U)\b\w+\b", "[A-Za-z0-9_]+"
+#: With Unicode's word characters, as most languages' regular expressions have them by default.
+WORDS, ASCII_WORDS = r"(?U)\w+", "[A-Za-z0-9_]+"
 #: What a ticket reference looks like, and paths that are no files of a patch.
 TICKET = r"\b([A-Z][A-Z0-9]{1,9}-\d+|#\d{3,7})\b"
 NOT_FILES = ("/COMMIT_MSG", "/MERGE_LIST")
@@ -45,6 +46,12 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b))), F.lit(0.0))
 
 
+def set_jaccard(a: Column, b: Column) -> Column:
+    """As jaccard(), of arrays without repeats: one set operation for each pair."""
+    shared = F.size(F.array_intersect(a, b))
+    return F.coalesce(F.try_divide(shared.cast("double"), F.size(a) + F.size(b) - shared), F.lit(0.0))
+
+
 def segments(path: Column) -> Column:
     return F.filter(F.split(F.trim(path), "/"), lambda s: s != "")
 
@@ -107,24 +114,24 @@ def hours_apart(a: Column, b: Column) -> Column:
 def pair_features(a: str, b: str) -> dict[str, Column]:
     """The 14 features of a pair of rows, whose columns start with a and b; each is the same with the two exchanged.
 
-    Rows have files (list), parts (segments of each file), vector, words (set), created_time and tickets.
+    Rows have files (list), set (without repeats), tops (their first segments), parts (segments of each file), vector, words (set), created_time and tickets.
     """
     c = lambda side, name: F.col(f"{side}{name}")
     fa, fb, pa, pb = c(a, "files"), c(b, "files"), c(a, "parts"), c(b, "parts")
     front, back = path_scores(pa, pb), path_scores(pa, pb, backwards=True)
     return {
-        "jaccard": jaccard(fa, fb),
-        "nb_shared": F.size(F.array_intersect(fa, fb)),
+        "jaccard": set_jaccard(c(a, "set"), c(b, "set")),
+        "nb_shared": F.size(F.array_intersect(c(a, "set"), c(b, "set"))),
         "abs_delta_files": F.abs(F.size(fa) - F.size(fb)),
         "min_len_files": F.least(F.size(fa), F.size(fb)),
         "max_len_files": F.greatest(F.size(fa), F.size(fb)),
-        "same_component": F.coalesce(F.arrays_overlap(top_segments(fa), top_segments(fb)), F.lit(False)).cast("int"),
+        "same_component": F.coalesce(F.arrays_overlap(c(a, "tops"), c(b, "tops")), F.lit(False)).cast("int"),
         "lcp_mean": mean(front),
         "lcp_max": largest(front),
         "lcsuff_mean": mean(back),
         "lcsuff_max": largest(back),
         "sim_cosine": cosine(c(a, "vector"), c(b, "vector")),
-        "token_jaccard": jaccard(c(a, "words"), c(b, "words")),
+        "token_jaccard": set_jaccard(c(a, "words"), c(b, "words")),
         "delta_time_hours": hours_apart(c(a, "created_time"), c(b, "created_time")),
         "shares_ticket_ref": F.coalesce(F.arrays_overlap(c(a, "tickets"), c(b, "tickets")), F.lit(False)).cast("int"),
     }

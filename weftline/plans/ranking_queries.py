@@ -401,8 +401,8 @@ def _truth(spark: SparkSession, sf: str, days: float = USUAL.window_days) -> Dat
 def _ranked(spark: SparkSession, sf: str, depth: int = 10, days: float = USUAL.window_days) -> DataFrame:
     p = patches(spark, sf)
     sources = p.join(_truth(spark, sf).select(F.col("q").alias("n")).distinct(), "n", "left_semi")
-    pairs = W.candidates(sources, p, days).join(p.select(F.col("n").alias("q"), F.col("files").alias("fq")), "q").join(p.select("n", "files"), "n")
-    score = C.jaccard(F.col("fq"), F.col("files")) - F.abs(C.micros(F.col("q_time")) - C.micros(F.col("n_time"))) / F.lit(8640000000000.0)
+    pairs = W.candidates(sources, p, days).join(p.select(F.col("n").alias("q"), F.array_distinct("files").alias("fq")), "q").join(p.select("n", F.array_distinct("files").alias("files")), "n")
+    score = C.set_jaccard(F.col("fq"), F.col("files")) - F.abs(C.micros(F.col("q_time")) - C.micros(F.col("n_time"))) / F.lit(8640000000000.0)
     return W.top(pairs.select("q", "n", score.alias("score")), depth).drop("score")
 
 
