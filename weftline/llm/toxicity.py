@@ -8,9 +8,9 @@ set as far as positives, unlabelled rows and the class prior tell it, never belo
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +34,15 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def word_features(raw: str) -> tuple[str, ...]:
-    """A word without signs at its ends, and its beginnings: words of one stem share them."""
+def word_features(raw: str) -> tuple[int, ...]:
+    """A word without signs at its ends, and its beginnings, which words of one stem share; as CRC-32."""
     w = _EDGES.sub("", raw)
-    return () if len(w) < 3 else (w, *(f"{w[:n]}*" for n in (4, 5, 6) if len(w) >= n))
+    return () if len(w) < 3 else (crc32(w.encode()), *(crc32(f"{w[:n]}*".encode()) for n in (4, 5, 6) if len(w) >= n))
+
+
+def text_features(text: str | None) -> np.ndarray:
+    """The distinct features of a text, in order."""
+    return np.unique(np.fromiter((f for raw in text_words(text) for f in word_features(raw)), np.uint32))
 
 
 def text_words(text: str | None) -> set[str]:
@@ -48,14 +53,14 @@ def text_words(text: str | None) -> set[str]:
 class Classifier:
     """Weights by feature; a document's features count once each."""
 
-    weights: dict[str, float]
+    weights: dict[int, float]
     bias: float
 
     def scorer(self):
         weights, bias, known = self.weights, self.bias, {}
 
         def score(text: str | None) -> float:
-            found: set[str] = set()
+            found: set[int] = set()
             for raw in text_words(text):
                 hit = known.get(raw)
                 if hit is None:
@@ -69,34 +74,32 @@ class Classifier:
         return score
 
 
-def fit(positives: list[set[str]], unlabelled: list[set[str]], prior: float, features: int = MOST_FEATURES, epochs: int = 120, rate: float = 0.08, decay: float = 1e-4, least_lift: float = 5.0, least_purity: float = 0.6) -> Classifier:
-    """Fits weights to documents given as sets of features. Without positives every score is next to 0."""
+def fit(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, features: int = MOST_FEATURES, epochs: int = 120, rate: float = 0.08, decay: float = 1e-4, least_lift: float = 5.0, least_purity: float = 0.6) -> Classifier:
+    """Fits weights to documents given as arrays of distinct features, in order. Without positives every score is next to 0."""
     if not positives or not unlabelled:
         return Classifier({}, -12.0)
-    # Copies of one document would lend their rare words the weight of many.
-    positives, unlabelled = list(dict.fromkeys(map(frozenset, positives))), list(dict.fromkeys(map(frozenset, unlabelled)))
-    in_p, in_u = Counter(f for d in positives for f in d), Counter(f for d in unlabelled for f in d)
+    positives = _unlike(positives)
     n_p, n_u = len(positives), len(unlabelled)
-
-    def lift(f: str) -> float:
-        p, u = in_p[f] / n_p, in_u[f] / n_u
-        return (p - u) / np.sqrt((in_p[f] + in_u[f] + 1) / (n_p + n_u) / n_p)
-
-    def purity(f: str) -> float:
-        """The share of toxic rows among those with the feature, as positives, unlabelled rows and the prior tell it."""
-        return prior * (in_p[f] / n_p) / max((in_u[f] + 1) / n_u, 1e-12)
-
-    ranked = sorted(((lift(f), f) for f, n in in_p.items() if n >= max(3, n_p // 200)), reverse=True)[:features]
-    names = [f for z, f in ranked if z > least_lift and purity(f) > least_purity]
-    at = {f: k for k, f in enumerate(names)}
-
-    def sparse(docs: list[set[str]]) -> tuple[np.ndarray, np.ndarray]:
-        rows, cols = [], []
-        for k, d in enumerate(docs):
-            c = sorted(at[f] for f in d if f in at)
-            rows += [k] * len(c)
-            cols += c
-        return np.array(rows, np.int64), np.array(cols, np.int64)
+    found, in_p = np.unique(np.concatenate(positives), return_counts=True)
+    in_u = np.zeros(len(found), np.int64)
+    for d in unlabelled:
+        at = np.searchsorted(found, d)
+        at = at[(at < len(found)) & (found[np.minimum(at, len(found) - 1)] == d)]
+        in_u[at] += 1
+    lift = (in_p / n_p - in_u / n_u) / np.sqrt((in_p + in_u + 1) / (n_p + n_u) / n_p)
+    # The share of toxic rows among those with a feature, as positives, unlabelled rows and the prior tell it.
+    purity = prior * (in_p / n_p) / ((in_u + 1) / n_u)
+    good = np.flatnonzero((in_p >= max(4, n_p // 100)) & (lift > least_lift) & (purity > least_purity))
+    names = np.sort(found[good[np.lexsort((found[good], -lift[good]))[:features]]])
+
+    def sparse(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        rows, cols = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k, d in enumerate(docs if len(names) else ()):
+            c = np.searchsorted(names, d)
+            c = c[(c < len(names)) & (names[np.minimum(c, len(names) - 1)] == d)]
+            rows.append(np.full(len(c), k))
+            cols.append(c)
+        return np.concatenate(rows), np.concatenate(cols)
 
     (pr, pc), (ur, uc) = sparse(positives), sparse(unlabelled)
     w = np.zeros(len(names) + 1)
@@ -120,7 +123,21 @@ def fit(positives: list[set[str]], unlabelled: list[set[str]], prior: float, fea
         g[:-1] += decay * w[:-1] * prior
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return Classifier({f: float(x) for f, x in zip(names, w, strict=False) if x > 0}, float(w[-1]))
+    return Classifier({int(f): float(x) for f, x in zip(names, w, strict=False) if x > 0}, float(w[-1]))
+
+
+def _unlike(docs: list[np.ndarray], hashes: int = 32) -> list[np.ndarray]:
+    """One document of each group of copies and near copies, which would lend its rare words the weight of many: those whose
+    minimum hashes agree with those of an earlier one by half or more."""
+    r = np.random.default_rng(5)
+    by = r.integers(1, 1 << 63, hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    signs, kept = np.zeros((len(docs), hashes), np.uint64), []
+    for d in docs:
+        sign = np.array([(d.astype(np.uint64) * a >> np.uint64(20)).min() for a in by]) if len(d) else np.zeros(hashes, np.uint64)
+        if not kept or (signs[: len(kept)] == sign).sum(1).max() < hashes // 2:
+            signs[len(kept)] = sign
+            kept.append(d)
+    return kept
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_positives: int = MOST_POSITIVES, most_unlabelled: int = MOST_UNLABELLED) -> Classifier:
@@ -133,18 +150,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     some = known.where("label = 1").select("id").distinct().orderBy(F.xxhash64("id", F.lit(1)), "id").limit(most_positives)
     others = docs.select(F.col(id_col).alias("id")).where("id is not null").orderBy(F.xxhash64("id", F.lit(2)), "id").limit(most_unlabelled)
 
-    def sample(ids: DataFrame) -> list[set[str]]:
+    def sample(ids: DataFrame) -> list[np.ndarray]:
         # ids are bounded by the sizes above.
-        rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id", "left_semi").mapInArrow(_features_of, "id bigint, features array<string>")
-        return [set(f.split(" ")) - {""} for f in (r["f"] for r in rows.select("id", F.array_join("features", " ").alias("f")).orderBy("id", "f").toLocalIterator())]
+        rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id", "left_semi").mapInArrow(_features_of, "features binary")
+        return [np.frombuffer(f, np.uint32) for f in sorted(bytes(r["features"]) for r in rows.toLocalIterator())]
 
     return fit(sample(some), sample(others), min(0.9, max(0.001, positive / n)))
 
 
 def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = [sorted({f for raw in text_words(t) for f in word_features(raw)}) for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(found, pa.list_(pa.string()))], names=["id", "features"])
+        yield pa.RecordBatch.from_arrays([pa.array([text_features(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["features"])
 
 
 def scored(docs: DataFrame, model: Classifier, text_col: str = "text") -> DataFrame:
