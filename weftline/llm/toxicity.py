@@ -75,12 +75,15 @@ class Classifier:
 
 
 def fit(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, features: int = MOST_FEATURES, epochs: int = 120, rate: float = 0.08, decay: float = 1e-4, least_lift: float = 5.0, least_purity: float = 0.6) -> Classifier:
-    """Fits weights to documents given as arrays of distinct features, in order. Without positives every score is next to 0."""
+    """Fits weights to documents given as arrays of distinct features, in order. Where nothing tells
+    positives from the rest, every score is next to 0."""
     if not positives or not unlabelled:
         return Classifier({}, -12.0)
     positives = _unlike(positives)
     n_p, n_u = len(positives), len(unlabelled)
     found, in_p = np.unique(np.concatenate(positives), return_counts=True)
+    if not len(found):
+        return Classifier({}, -12.0)
     in_u = np.zeros(len(found), np.int64)
     for d in unlabelled:
         at = np.searchsorted(found, d)
@@ -92,9 +95,12 @@ def fit(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     good = np.flatnonzero((in_p >= max(4, n_p // 100)) & (lift > least_lift) & (purity > least_purity))
     names = np.sort(found[good[np.lexsort((found[good], -lift[good]))[:features]]])
 
+    if not len(names):
+        return Classifier({}, -12.0)
+
     def sparse(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         rows, cols = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for k, d in enumerate(docs if len(names) else ()):
+        for k, d in enumerate(docs):
             c = np.searchsorted(names, d)
             c = c[(c < len(names)) & (names[np.minimum(c, len(names) - 1)] == d)]
             rows.append(np.full(len(c), k))
