@@ -1,29 +1,31 @@
 """Near-duplicates by MinHash: universal hash minima, banding, verification and connected components.
 
 Documents of one shingle set are one text; only texts are compared. Minima of many universal hash functions fall into bands,
-and texts that agree on a band share a bucket. No bucket's pairs are listed: its most central member is compared with the
-others, and further members only while the bucket holds more than one component. Pairs pass the estimate from their signatures
-and are then confirmed on full sets. Links become components by alternating large-star and small-star steps.
+and texts that agree on a band share a bucket. Buckets are never expanded into pairs: each hangs on its most central member,
+and what hangs together is a family. Within families, most central texts first, estimates from signatures choose whom a text
+is compared with on full sets, and texts that have joined the first one's component need not be. Links become components by
+alternating large-star and small-star steps.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, table, written
+from .common import dropped, parts, table, written
 
 #: Bands and minima in each: a pair of similarity 0.8 shares no band with a chance of (1 - 0.8**4)**28, 4 in 10 million.
 BANDS, ROWS = 28, 4
 #: Share of equal minima that a pair needs to be confirmed on full sets, 7 standard deviations below 0.8.
 LEAST_ESTIMATE = 0.535
-#: Texts in buckets up to which their ids are sent to all executors, 8 bytes each. Beyond, both sides are shuffled.
+#: Shingles of a block of a family: two blocks' sets are in a task's memory at once, 8 bytes a shingle.
+BLOCK_SHINGLES = 1_000_000
+#: Texts in buckets up to which their ids are sent to all executors, some 30 bytes each. Beyond, both sides are shuffled.
 MOST_BROADCAST = 1_000_000
 CHUNK = 1 << 20
 _SPACE = np.zeros(256, bool)
@@ -178,98 +180,111 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _links(source: DataFrame, members: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(rep, component) of all texts that share a bucket and are linked with another."""
-    spark = source.sparkSession
-    empty = spark.createDataFrame([], "a bigint, b bigint")
-    ids = members.select("rep").distinct()
-    n_ids = ids.count()
-    if not n_ids:
-        return empty.toDF("rep", "component")
-
-    def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, component) of all texts that share a bucket with another.
+
+    Texts that buckets join, directly or over others, are a family; no pair that may be linked is split by it. A family's sets
+    meet in one task, a large one's in several, each with two of its blocks, so that every two of its texts meet once.
+    """
+    pivots = members.groupBy("key").agg(F.max(F.struct("central", (-F.col("rep")).alias("minus"))).alias("p")).select("key", (-F.col("p.minus")).alias("pivot"))
+    spokes = members.join(pivots, "key").where("rep != pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
+    families = stars(spokes).withColumnRenamed("component", "family")
+    known = members.groupBy("rep").agg(F.max("central").alias("central"), F.max("n").alias("n")).join(families, "rep", "left").withColumn("family", F.coalesce("family", "rep"))
+    sizes = known.groupBy("family").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    known = written(known.join(sizes, "family").select("rep", "family", "central", "blocks"), "known", thin=True)
+    few = known.count() <= MOST_BROADCAST
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = shingle_sets(_bytes(b.column(1)), shingle)
             full = [k for k, s in enumerate(sets) if len(s)]
-            signs = signatures([sets[k] for k in full]) if full else np.zeros((0, 1), np.uint32)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(full, pa.int64())), pa.array([sets[k].view(np.int64) for k in full], pa.list_(pa.int64())), pa.array([s.view(np.int32) for s in signs], pa.list_(pa.int32()))], names=["rep", "shingles", "signature"])
-
-    few = F.broadcast(ids) if n_ids <= MOST_BROADCAST else ids
-    chosen = source.join(few, F.col("id") == F.col("rep"), "left_semi")
-    full = written(chosen.mapInArrow(second_pass, "rep bigint, shingles array<bigint>, signature array<int>").dropDuplicates(["rep"]), "full")
-    sets = lambda side, column: full.select(F.col("rep").alias(side), F.col(column).alias(f"of_{side}"))
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """Those of pairs (a, b) that are links."""
-        both = pairs.join(sets("a", "signature"), "a").join(sets("b", "signature"), "b")
-        equal = F.aggregate(F.zip_with("of_a", "of_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-        likely = written(both.where(equal >= int(LEAST_ESTIMATE * BANDS * ROWS)).select("a", "b"), "likely")
-        both = likely.join(sets("a", "shingles"), "a").join(sets("b", "shingles"), "b")
-        inner = F.size(F.array_intersect("of_a", "of_b"))
-        out = both.withColumn("inner", inner).where(100 * F.col("inner") >= percent * (F.size("of_a") + F.size("of_b") - F.col("inner")))
-        return written(out.select("a", "b"), "links")
-
-    near = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    pivots = members.groupBy("key").agg(F.max(F.struct("central", (-F.col("rep")).alias("minus"), F.col("n").alias("of_pivot"))).alias("p")).select("key", (-F.col("p.minus")).alias("pivot"), "p.of_pivot")
-    spokes = members.join(pivots, "key").where((F.col("rep") != F.col("pivot")) & near(F.col("n"), F.col("of_pivot")))
-    spokes = written(spokes.groupBy("rep", "pivot").agg(F.count("*").alias("bands")), "spokes")
-    best = spokes.groupBy("rep").agg(F.max(F.struct("bands", (-F.col("pivot")).alias("minus"))).alias("p")).select(F.least("rep", -F.col("p.minus")).alias("a"), F.greatest("rep", -F.col("p.minus")).alias("b")).distinct()
-    links = [confirmed(best)]
-    found = stars(reduce(DataFrame.unionByName, links))
-
-    def apart(pairs: DataFrame) -> DataFrame:
-        """Pairs of different components."""
-        of = lambda side: found.select(F.col("rep").alias(side), F.col("component").alias(f"in_{side}"))
-        both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-        return both.where(F.coalesce("in_a", "a") != F.coalesce("in_b", "b")).select("a", "b").distinct()
-
-    rest = written(apart(spokes.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))), "rest")
-    if rest.limit(1).count():
-        links.append(confirmed(rest))
-        found = stars(reduce(DataFrame.unionByName, links))
-    done, more = 1, 7
-    while True:
-        # Buckets of more than one component: their next members, by rank, against all behind them of other components.
-        placed = members.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("size").alias("s")).where((F.col("low") < F.col("high")) & (F.col("s") > done + 1)).select("key")
-        rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("central"), "rep"))
-        open_ = written(placed.join(mixed, "key").withColumn("rank", rank), "open")
-        if not open_.limit(1).count():
-            break
-        one = open_.where((F.col("rank") > done) & (F.col("rank") <= done + more)).select("key", F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("rank").alias("rank_x"), F.col("component").alias("c_x"))
-        pairs = open_.join(one, "key").where((F.col("rank") > F.col("rank_x")) & (F.col("component") != F.col("c_x")) & near(F.col("n"), F.col("n_x")))
-        pairs = written(pairs.select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")).distinct(), "pairs")
-        dropped(open_)
-        if pairs.limit(1).count():
-            links.append(confirmed(pairs))
-            found = stars(reduce(DataFrame.unionByName, links))
-        done, more = done + more, more * 2
-    return found
+            if full:
+                signs = signatures([sets[k] for k in full])
+                rest = [b.column(c).take(pa.array(full, pa.int64())) for c in (0, 2, 3, 4)]
+                yield pa.RecordBatch.from_arrays([*rest, pa.array([sets[k].tobytes() for k in full], pa.binary()), pa.array([s.tobytes() for s in signs], pa.binary())], names=["id", "family", "central", "blocks", "shingles", "signature"])
+
+    placed = source.join(F.broadcast(known) if few else known, F.col("id") == F.col("rep")).select("id", "text", "family", "central", "blocks")
+    full = placed.mapInArrow(sets_of, "id bigint, family bigint, central bigint, blocks int, shingles binary, signature binary")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = full.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("family", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "central", "id", "shingles", "signature")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+
+        def out() -> pa.RecordBatch:
+            pairs = confirmed([r[4] for r in held], [np.frombuffer(r[5], np.uint64) for r in held], np.array([np.frombuffer(r[6], np.uint32) for r in held]), percent)
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], names=["a", "b"])
+
+        for b in batches:
+            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held and r[:3] != held[-1][:3]:
+                    if len(held) > 1:
+                        yield out()
+                    held = []
+                held.append(r)
+        if len(held) > 1:
+            yield out()
+
+    n = parts(source.sparkSession)
+    met = dealt.repartition(n, "family", "low", "high").sortWithinPartitions("family", "low", "high", F.desc("central"), "id")
+    return stars(met.mapInArrow(compare, "a bigint, b bigint"))
+
+
+def confirmed(ids: list[int], sets: list[np.ndarray], signs: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between texts, enough to join all that are linked directly or over others: each text that isn't yet in the
+    component of the first and most central one is compared with all outside its own. Estimates from signatures come first, full sets confirm."""
+    m = len(ids)
+    root = np.arange(m)  # every text's component; merged ones are renamed at once
+    first: dict[int, int] = {}
+    for k, i in enumerate(ids):  # rows of one id are one
+        root[k] = first.setdefault(i, k)
+    sizes = np.fromiter(map(len, sets), np.int64, m)
+    tokens, place = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(m), sizes)
+    order = np.argsort(place, kind="stable")
+    starts = np.searchsorted(place[order], np.arange(len(tokens) + 1))
+    by_token, offsets = owner[order], np.r_[0, np.cumsum(sizes)]
+    least, out = int(LEAST_ESTIMATE * BANDS * ROWS), []
+    for k in range(m):
+        # Of two texts in different components in the end, one isn't in that of the first text and has been compared with all.
+        if k and root[k] == root[0]:
+            continue
+        likely = ((signs == signs[k]).sum(1) >= least) & (root != root[k])
+        if not likely.any():
+            continue
+        mine = place[offsets[k] : offsets[k + 1]]
+        shared = np.zeros(m, np.int64)
+        for t in mine:
+            shared[by_token[starts[t] : starts[t + 1]]] += 1
+        linked = np.flatnonzero(likely & (100 * shared >= percent * (sizes + sizes[k] - shared)))
+        for x in linked.tolist():
+            if root[x] != root[k]:
+                out.append((ids[k], ids[x]))
+                root[root == root[x]] = root[k]
+    return out
 
 
 def stars(links: DataFrame) -> DataFrame:
     """(rep, component) of all nodes of links (a, b): the smallest node of each connected component.
 
     A large-star step hangs each node's larger neighbours on the smallest node next to it, a small-star step its smaller ones
-    and itself; both keep components. They alternate until no edge changes.
+    and itself; both keep components. They alternate until every edge leads from a node to its one root.
     """
-    edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
-    sign = lambda e: tuple(e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
-    before = sign(edges)
-    while before[0]:
+    edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges", thin=True)
+    while edges.limit(1).count():
+        parents = edges.groupBy("a").agg(F.count("*").alias("n"))
+        if not edges.select(F.col("b").alias("a")).join(parents, "a", "left_semi").limit(1).count() and not parents.where("n > 1").limit(1).count():
+            break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = written(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = written(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large", thin=True)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.withColumnRenamed("m", "b"))
-        old, edges = edges, written(small.where("a != b").distinct(), "edges")
+        old, edges = edges, written(small.where("a != b").distinct(), "edges", thin=True)
         dropped(old)
         dropped(large)
-        after = sign(edges)
-        if after == before:
-            break
-        before = after
     roots = edges.select(F.col("b").alias("rep")).distinct().withColumn("component", F.col("rep"))
-    return written(edges.select(F.col("a").alias("rep"), F.col("b").alias("component")).unionByName(roots), "found")
+    return written(edges.select(F.col("a").alias("rep"), F.col("b").alias("component")).unionByName(roots), "found", thin=True)
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
