@@ -15,7 +15,8 @@ from .common import let, table, written
 WINDOW = 5
 #: Share of an item's windows, or words of one unbroken run, from which on a document holds the item.
 LEAST_SHARE, LEAST_RUN = 0.5, 13
-#: Windows of the benchmark up to which they are sent to all executors: some 40 bytes each. Beyond, both sides are shuffled.
+#: Windows of the benchmark, and documents whose values are compared, up to which they are sent to all executors: some 40 bytes
+#: each. Beyond, both sides are shuffled.
 MOST_BROADCAST = 500_000
 #: Units that are a placeholder behind a number.
 UNITS = (
@@ -82,7 +83,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         return held.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "n_windows", "n_matched", "run_words", F.lit(True).alias("verbatim"))
     pairs = held.join(item_values.select("item").distinct(), "item", "left_semi").select("doc", "item")
     aligned = met.join(pairs, ["doc", "item"]).select("doc", "item", F.explode(F.transform(F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda k: F.struct((F.col("at") + k).alias("at"), (F.col("item_at") + k).alias("item_at")))).alias("a")).select("doc", "item", "a.*").distinct()
-    doc_values = _values(docs.join(pairs.select("doc").distinct(), "doc", "left_semi"), "doc", "doc text")
+    some = written(pairs.select("doc").distinct(), "with-values", thin=True)
+    of_some = docs.join(F.broadcast(some) if some.count() <= MOST_BROADCAST else some, "doc", "left_semi")
+    doc_values = _values(of_some, "doc", "doc text")
     slots = aligned.join(item_values, ["item", "item_at"]).join(doc_values, ["doc", "at"]).select("doc", "item", "item_value", "value").distinct()
     slots = written(slots, "slots")
     one = lambda a, b: slots.groupBy("doc", "item", a).agg(F.count(b).alias("n")).groupBy("doc", "item").agg(F.max("n").alias(f"most_{b}"))
