@@ -313,6 +313,21 @@ def test_planted_items(spark):
     assert decontamination.contaminated(empty_docs(spark), bench.where("false")).count() == 0
 
 
+def test_names_at_sentence_starts_and_in_runs(spark):
+    items = ["Anna has 12 apples. Bob gives her 5 more. Carl takes 3 apples away. How many apples does Anna have?", 'One day "Anna Maria Lopez saw 3 birds (Bob Lee Smith told 4 friends) and both went home']
+    docs = [
+        "Tom has 14 apples. Jim gives her 7 more. Dan takes 4 apples away. How many apples does Tom have?",
+        "Tom has 14 apples. Jim gives her 7 more. Dan takes 4 apples away. How many apples does Jim have?",
+        items[0].upper(),
+        items[0].lower(),
+        'One day "Eva Clara Diaz saw 5 birds (Jim Roe Brown told 6 friends) and both went home',
+        "TOM RAN UP. JIM WENT HOME AT NOON. DAN SAT ON ONE OLD RED CHAIR BY SEVEN TREES",
+    ]
+    bench = spark.createDataFrame([*enumerate(items), (2, "WE SAW HIM GO BACK INTO THEIR GREEN HOUSE")], "item_id long, text string")
+    got = decontamination.contaminated(docs_of(spark, docs), bench).collect()
+    assert {(r["doc_id"], r["item_id"], r["verbatim"]) for r in got} == {(0, 0, False), (2, 0, True), (3, 0, True), (4, 1, False)}
+
+
 def test_no_python_in_native_plans(spark, sf):
     import contextlib
     import io

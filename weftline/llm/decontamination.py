@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame operations alone.
 
-Numbers, units behind them and names within sentences become typed placeholders, so a question with other parameters keeps its
-template. Windows of five template words of every document meet those of the benchmark in a hash join. Where a match runs over
+Numbers, units behind them and names become typed placeholders, so a question with other parameters keeps its template. A name
+is a capitalised word; as words that begin sentences need not be names, texts meet in three forms (FORMS). Windows of five template words of every document meet those of the benchmark in a hash join. Where a match runs over
 placeholders, the values in them have to map one to one, or the windows without placeholders have to suffice.
 """
 
@@ -27,13 +27,25 @@ UNITS = (
 SIGNS = ".,;:!?\"'()[]{}#*$%&|<>"
 
 
-def marked(text: Column) -> Column:
-    """The text with ⟨n:..⟩, ⟨u:..⟩ and ⟨p:..⟩ around numbers, units and names, its white space as single blanks."""
-    t = F.translate(F.coalesce(text, F.lit("")), "⟨⟩\t\n\x0b\x0c\r", "  " + " " * 5)
+#: A capitalised word: "Anna", "O'Brien" and "Jean-Paul" are one each.
+NAME = "(\\p{Lu}\\p{L}*(?:[-'’]\\p{Lu}\\p{L}*)*)"
+#: What counts as a name: capitalised words behind a lower-case letter, comma, semicolon or placeholder and a blank; all capitalised
+#: words, those that begin sentences too; none, for copies in another case.
+FORMS = (f"(?<=[\\p{{Ll}},;⟩] ){NAME}", f"(?<!\\p{{L}}){NAME}", None)
+WITHIN, ALL, NONE = range(len(FORMS))
+
+
+def numbered(text: Column) -> Column:
+    """The text with ⟨n:..⟩ and ⟨u:..⟩ around numbers and units, its white space as single blanks."""
+    t = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "⟨⟩\t\n\x0b\x0c\r", "  " + " " * 5), " +", " ")
     numbers = F.regexp_replace(t, "([0-9]+([.,:/][0-9]+)*)", "⟨n:$1⟩")
     units = F.regexp_replace(numbers, f"(⟩ ?)({'|'.join(UNITS)})([^\\p{{L}}]|$)", "$1⟨u:$2⟩$3")
-    with_numbers = F.when(t.rlike("[0-9]"), units).otherwise(t)
-    return F.regexp_replace(F.regexp_replace(with_numbers, "([\\p{Ll},;⟩] )(\\p{Lu}\\p{L}*)", "$1⟨p:$2⟩"), " +", " ")
+    return F.when(t.rlike("[0-9]"), units).otherwise(t)
+
+
+def named(numbered_text: Column, form: int) -> Column:
+    """A numbered text with ⟨p:..⟩ around the names of a form; its words stay as many."""
+    return F.regexp_replace(numbered_text, FORMS[form], "⟨p:$1⟩") if FORMS[form] else numbered_text
 
 
 def template(marked_text: Column) -> Column:
@@ -43,64 +55,75 @@ def template(marked_text: Column) -> Column:
 
 
 def windows(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, at, window): a hash of each five template words in a row; one of all words where there are fewer, but some."""
-    hashes = let(
-        template(marked(F.col(text_col))),
-        lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - (WINDOW - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(t, i, WINDOW))),
-    )
-    return rows.where(F.col(text_col).rlike("[^ \\t\\n\\x0B\\f\\r]")).select(F.col(id_col), F.posexplode(hashes).alias("at", "window"))
+    """(id, at, hashes): a hash in each form of each five template words in a row; of all words where there are fewer, but some."""
+    words = lambda x, form: F.transform(template(named(x, form)), lambda w: F.xxhash64(w))
+    forms = let(numbered(F.col(text_col)), lambda x: F.array(*(words(x, k) for k in range(len(FORMS)))))
+    each = lambda f, i: F.array(*(F.xxhash64(F.slice(f[k], i, WINDOW)) for k in range(len(FORMS))))
+    hashes = let(forms, lambda f: F.transform(F.sequence(F.lit(1), F.greatest(F.size(f[0]) - (WINDOW - 1), F.lit(1))), lambda i: each(f, i)))
+    return rows.where(F.col(text_col).rlike("[^ \\t\\n\\x0B\\f\\r]")).select(F.col(id_col), F.posexplode(hashes).alias("at", "hashes"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row for each document and item that it holds: doc id, item id, n_windows (the item's), n_matched, run_words and
     verbatim (no placeholder's value differs).
 
-    Held means: half of the item's windows, or an unbroken run of 13 template words, and one-to-one values in placeholders or
-    half of the windows without any. Null and blank texts and items hold nothing and are held by nothing. Items of fewer words
+    Held means, in one of the forms of names: half of the item's windows, or an unbroken run of 13 template words, and one-to-one
+    values in placeholders or half of the windows without any. Where all capitalised words are names, those that differ have to
+    be no more than half of the words. Null and blank texts and items hold nothing and are held by nothing. Items of fewer words
     than a window have to be met whole by a document of no other words. Repeated rows of one id count as one text after another;
     ids that are null are left out. Empty tables give no rows.
     """
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), F.col(item_text).alias("item text"))
     docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text_col).alias("doc text"))
-    of_items = written(windows(items, "item", "item text").select("item", F.col("at").alias("item_at"), "window"), "windows")
+    of_items = written(windows(items, "item", "item text").select("item", F.col("at").alias("item_at"), F.posexplode("hashes").alias("form", "window")), "windows")
     size = of_items.groupBy("item").agg(F.countDistinct("item_at").alias("n_windows"))
     few = of_items.count() <= MOST_BROADCAST
-    met = windows(docs, "doc", "doc text").join(F.broadcast(of_items) if few else of_items, "window")
+    of_docs = windows(docs, "doc", "doc text").select("doc", "at", F.explode(F.array_distinct("hashes")).alias("window"))
+    met = of_docs.join(F.broadcast(of_items) if few else of_items, "window")
     # What matches is small beside the documents: it is kept, and all else works on it.
-    met = written(met.select("doc", "item", "at", "item_at").distinct(), "met")
+    met = written(met.select("doc", "item", "form", "at", "item_at").distinct(), "met")
     shifted = met.withColumn("shift", F.col("at") - F.col("item_at"))
-    island = F.col("at") - F.row_number().over(Window.partitionBy("doc", "item", "shift").orderBy("at"))
-    runs = shifted.withColumn("island", island).groupBy("doc", "item", "shift", "island").agg(F.count("*").alias("n"))
-    unbroken = runs.groupBy("doc", "item").agg((F.max("n") + (WINDOW - 1)).alias("run_words"))
-    share = met.groupBy("doc", "item").agg(F.countDistinct("item_at").alias("n_matched"))
-    held = share.join(unbroken, ["doc", "item"]).join(size, "item").where((F.col("n_matched") >= LEAST_SHARE * F.col("n_windows")) | (F.col("run_words") >= LEAST_RUN))
+    island = F.col("at") - F.row_number().over(Window.partitionBy("doc", "item", "form", "shift").orderBy("at"))
+    runs = shifted.withColumn("island", island).groupBy("doc", "item", "form", "shift", "island").agg(F.count("*").alias("n"), F.min("at").alias("at"), F.min("item_at").alias("item_at"))
+    share = met.groupBy("doc", "item", "form").agg(F.countDistinct("item_at").alias("n_matched"))
+    unbroken = runs.groupBy("doc", "item", "form").agg((F.max("n") + (WINDOW - 1)).alias("run_words"))
+    long = (F.col("n_matched") >= LEAST_SHARE * F.col("n_windows")) | (F.col("run_words") >= LEAST_RUN)
+    held = share.join(unbroken, ["doc", "item", "form"]).join(size, "item").where(long)
     held = written(held, "held")
+    found = lambda rows, verbatim: rows.groupBy(F.col("doc").alias(id_col), F.col("item").alias(item_col)).agg(*(F.max(c).alias(c) for c in ("n_windows", "n_matched", "run_words")), F.max(verbatim).alias("verbatim"))
 
     # Values in placeholders, for pairs that are held and items that have any.
-    item_values = _values(items, "item", "item text").withColumnsRenamed({"at": "item_at", "value": "item_value"})
+    of_form = lambda k: _values(items, "item", "item text", k).select("item", F.lit(k).alias("form"), F.col("at").alias("item_at"), F.col("value").alias("item_value"))
+    item_values = of_form(WITHIN).unionByName(of_form(ALL)).unionByName(of_form(NONE))
     item_values = written(item_values.join(held.select("item").distinct(), "item", "left_semi"), "values")
     if not item_values.limit(1).count():
-        return held.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "n_windows", "n_matched", "run_words", F.lit(True).alias("verbatim"))
-    pairs = held.join(item_values.select("item").distinct(), "item", "left_semi").select("doc", "item")
-    aligned = met.join(pairs, ["doc", "item"]).select("doc", "item", F.explode(F.transform(F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda k: F.struct((F.col("at") + k).alias("at"), (F.col("item_at") + k).alias("item_at")))).alias("a")).select("doc", "item", "a.*").distinct()
-    some = written(pairs.select("doc").distinct(), "with-values", thin=True)
+        return found(held, F.lit(True))
+    placed = written(runs.join(held.select("doc", "item", "form"), ["doc", "item", "form"], "left_semi"), "runs")
+    key = ["doc", "item", "form"]
+    at_words = placed.select(*key, "at", "item_at", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") + (WINDOW - 2))).alias("k"))
+    aligned = at_words.select(*key, (F.col("at") + F.col("k")).alias("at"), (F.col("item_at") + F.col("k")).alias("item_at"))
+    some = written(held.join(item_values.select("item").distinct(), "item", "left_semi").select("doc").distinct(), "with-values", thin=True)
     of_some = docs.join(F.broadcast(some) if some.count() <= MOST_BROADCAST else some, "doc", "left_semi")
-    doc_values = _values(of_some, "doc", "doc text")
-    slots = aligned.join(item_values, ["item", "item_at"]).join(doc_values, ["doc", "at"]).select("doc", "item", "item_value", "value").distinct()
-    slots = written(slots, "slots")
-    one = lambda a, b: slots.groupBy("doc", "item", a).agg(F.count(b).alias("n")).groupBy("doc", "item").agg(F.max("n").alias(f"most_{b}"))
-    judged = one("item_value", "value").join(one("value", "item_value"), ["doc", "item"]).join(slots.groupBy("doc", "item").agg(F.min((F.col("item_value") == F.col("value")).cast("int")).alias("same")), ["doc", "item"])
-    over_values = item_values.select("item", F.explode(F.sequence(F.greatest(F.col("item_at") - (WINDOW - 1), F.lit(0)), F.col("item_at"))).alias("item_at")).distinct()
-    plain = met.join(pairs, ["doc", "item"]).join(over_values, ["item", "item_at"], "left_anti").groupBy("doc", "item").agg(F.countDistinct("item_at").alias("n_plain"))
-    out = held.join(judged, ["doc", "item"], "left").join(plain, ["doc", "item"], "left")
-    consistent = F.coalesce((F.col("most_value") == 1) & (F.col("most_item_value") == 1), F.lit(True))
+    # A word that has a placeholder in any form has it where all capitalised words are names.
+    slots = aligned.join(item_values, ["item", "form", "item_at"]).join(_values(of_some, "doc", "doc text", ALL), ["doc", "at"])
+    slots = written(slots.select(*key, "item_at", "item_value", "value").distinct(), "slots")
+    one = lambda a, b: slots.groupBy(*key, a).agg(F.countDistinct(b).alias("n")).groupBy(*key).agg(F.max("n").alias(f"most_{b}"))
+    differs = F.col("item_value") != F.col("value")
+    other = slots.groupBy(*key).agg(F.max(differs).alias("differs"), F.countDistinct(F.when(differs & F.contains("value", F.lit("⟨p")), F.col("item_at"))).alias("n_other"))
+    judged = one("item_value", "value").join(one("value", "item_value"), key).join(other, key)
+    over_values = item_values.select("item", "form", F.explode(F.sequence(F.greatest(F.col("item_at") - (WINDOW - 1), F.lit(0)), F.col("item_at"))).alias("item_at")).distinct()
+    at_windows = placed.select(*key, "item_at", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("k")).select(*key, (F.col("item_at") + F.col("k")).alias("item_at"))
+    plain = at_windows.join(over_values, ["item", "form", "item_at"], "left_anti").groupBy(*key).agg(F.countDistinct("item_at").alias("n_plain"))
+    out = held.join(judged, key, "left").join(plain, key, "left")
+    likely = (F.col("form") != ALL) | (F.col("n_other") <= LEAST_SHARE * (F.col("n_matched") + (WINDOW - 1)))
+    consistent = F.coalesce((F.col("most_value") == 1) & (F.col("most_item_value") == 1) & likely, F.lit(True))
     out = out.where(consistent | (F.coalesce("n_plain", F.lit(0)) >= LEAST_SHARE * F.col("n_windows")))
-    return out.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "n_windows", "n_matched", "run_words", (F.coalesce("same", F.lit(1)) == 1).alias("verbatim"))
+    return found(out, ~F.coalesce("differs", F.lit(False)))
 
 
-def _values(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, at, value): the words that have placeholders, with their values, by their place."""
-    words = rows.select(id_col, F.posexplode(F.split(marked(F.col(text_col)), " ")).alias("at", "value"))
+def _values(rows: DataFrame, id_col: str, text_col: str, form: int) -> DataFrame:
+    """(id, at, value): the words that have placeholders in a form, with their values, by their place."""
+    words = rows.select(id_col, F.posexplode(F.split(named(numbered(F.col(text_col)), form), " ")).alias("at", "value"))
     return words.where(F.contains("value", F.lit("⟨"))).withColumn("value", F.lower(F.translate("value", SIGNS.replace(":", ""), "")))
 
 
