@@ -328,6 +328,22 @@ def test_names_at_sentence_starts_and_in_runs(spark):
     assert {(r["doc_id"], r["item_id"], r["verbatim"]) for r in got} == {(0, 0, False), (2, 0, True), (3, 0, True), (4, 1, False)}
 
 
+def test_each_occurrence_is_judged_for_itself(spark):
+    item = "if anna has 12 apples and bob gives her 5 more then on each of 12 days how many apples are there"
+    other = item.replace("12", "14").replace("5", "7")
+    stray = "then on each of 30 days how long"
+    broken = item.replace("12 days", "15 days")
+    more = lambda text: text.replace("apples and", "apples and so").replace("many apples", "many good apples")
+    fill = " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(200))
+    docs = [f"{item}. {other}.", f"{other}. {fill} {item.replace('12', '15')}", f"{fill} {other} {fill} {stray}", f"{more(other)} {fill} {item}", f"{more(other)} {fill} {stray}", f"{fill} {broken} {fill} {stray}"]
+    names = 'One day "Anna Maria Lopez saw 3 birds (Bob Lee Smith saw 4 then) and both went home'
+    docs.append('One day "Eva Clara Diaz saw 5 birds (Jim Roe Brown saw 6 then) and both went home')
+    docs.append("TOM RAN UP JIM WENT HOME")
+    bench = spark.createDataFrame([(0, item), (1, names), (2, "WE SAW HIM GO BACK IN")], "item_id long, text string")
+    got = decontamination.contaminated(docs_of(spark, docs), bench).collect()
+    assert {(r["doc_id"], r["item_id"], r["verbatim"]) for r in got} == {(0, 0, True), (1, 0, False), (2, 0, False), (3, 0, True), (4, 0, False), (6, 1, False)}
+
+
 def test_no_python_in_native_plans(spark, sf):
     import contextlib
     import io

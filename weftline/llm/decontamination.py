@@ -2,7 +2,7 @@
 
 Numbers, units behind them and names become typed placeholders, so a question with other parameters keeps its template. A name
 is a capitalised word; as words that begin sentences need not be names, texts meet in three forms (FORMS). Windows of five template words of every document meet those of the benchmark in a hash join. Where a match runs over
-placeholders, the values in them have to map one to one, or the windows without placeholders have to suffice.
+placeholders, the values in them have to map one to one within an occurrence, or the windows without placeholders have to suffice.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import let, table, written
+from .common import table, written
 
 WINDOW = 5
 #: Share of an item's windows, or words of one unbroken run, from which on a document holds the item.
@@ -43,33 +43,41 @@ def numbered(text: Column) -> Column:
     return F.when(t.rlike("[0-9]"), units).otherwise(t)
 
 
-def named(numbered_text: Column, form: int) -> Column:
-    """A numbered text with ⟨p:..⟩ around the names of a form; its words stay as many."""
-    return F.regexp_replace(numbered_text, FORMS[form], "⟨p:$1⟩") if FORMS[form] else numbered_text
+def named(numbered_text: Column, form: int, mark: str = "⟨p:$1⟩") -> Column:
+    """A numbered text with marks around, or in place of, the names of a form; its words stay as many."""
+    return F.regexp_replace(numbered_text, FORMS[form], mark) if FORMS[form] else numbered_text
 
 
-def template(marked_text: Column) -> Column:
-    """The words of a marked text without values, case and signs, as many as split(marked_text, ' ') has."""
-    bare = F.when(F.contains(marked_text, F.lit("⟨")), F.regexp_replace(marked_text, "⟨(.):[^⟩]*⟩", "⟨$1⟩")).otherwise(marked_text)
-    return F.split(F.translate(F.lower(bare), SIGNS, ""), " ")
+def bare(numbered_text: Column) -> Column:
+    """A numbered text without the values of its placeholders."""
+    return F.when(F.contains(numbered_text, F.lit("⟨")), F.regexp_replace(numbered_text, "⟨(.):[^⟩]*⟩", "⟨$1⟩")).otherwise(numbered_text)
+
+
+def template(bare_text: Column, form: int) -> Column:
+    """The words of a bare text without names, case and signs, as many as split(numbered text, ' ') has."""
+    return F.split(F.translate(F.lower(named(bare_text, form, "⟨p⟩")), SIGNS, ""), " ")
 
 
 def windows(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, at, hashes): a hash in each form of each five template words in a row; of all words where there are fewer, but some."""
-    words = lambda x, form: F.transform(template(named(x, form)), lambda w: F.xxhash64(w))
-    forms = let(numbered(F.col(text_col)), lambda x: F.array(*(words(x, k) for k in range(len(FORMS)))))
-    each = lambda f, i: F.array(*(F.xxhash64(F.slice(f[k], i, WINDOW)) for k in range(len(FORMS))))
-    hashes = let(forms, lambda f: F.transform(F.sequence(F.lit(1), F.greatest(F.size(f[0]) - (WINDOW - 1), F.lit(1))), lambda i: each(f, i)))
-    return rows.where(F.col(text_col).rlike("[^ \\t\\n\\x0B\\f\\r]")).select(F.col(id_col), F.posexplode(hashes).alias("at", "hashes"))
+    texts = rows.where(F.col(text_col).rlike("[^ \\t\\n\\x0B\\f\\r]")).select(F.col(id_col), bare(numbered(F.col(text_col))).alias("bare"))
+    forms = range(len(FORMS))
+    words = texts.select(id_col, *(template(F.col("bare"), k).alias(f"words {k}") for k in forms))
+    # Word by word beside the four that follow, so that hashing is compiled code; null where the text ends.
+    beside = F.arrays_zip(*(F.slice(f"words {k}", i + 1, F.size(f"words {k}")) for k in forms for i in range(WINDOW)))
+    each = words.select(id_col, F.posexplode(beside).alias("at", "w")).where((F.col("at") == 0) | F.col("w")[str(WINDOW - 1)].isNotNull())
+    return each.select(id_col, "at", F.array(*(F.xxhash64(*(F.col("w")[str(k * WINDOW + i)] for i in range(WINDOW))) for k in forms)).alias("hashes"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row for each document and item that it holds: doc id, item id, n_windows (the item's), n_matched, run_words and
     verbatim (no placeholder's value differs).
 
-    Held means, in one of the forms of names: half of the item's windows, or an unbroken run of 13 template words, and one-to-one
-    values in placeholders or half of the windows without any. Where all capitalised words are names, those that differ have to
-    be no more than half of the words. Null and blank texts and items hold nothing and are held by nothing. Items of fewer words
+    Held means, in one of the forms of names, and in all of the document or one of the places where matches may belong together
+    (_places): half of the item's windows, or an unbroken run of 13 template words, and one-to-one values in placeholders or half
+    of the windows without any. Other occurrences and stray matches elsewhere don't count against one that holds. Where all
+    capitalised words are names, those that differ have to be no more than half of the words. n_matched and run_words are those
+    of the best place. Null and blank texts and items hold nothing and are held by nothing. Items of fewer words
     than a window have to be met whole by a document of no other words. Repeated rows of one id count as one text after another;
     ids that are null are left out. Empty tables give no rows.
     """
@@ -78,7 +86,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     of_items = written(windows(items, "item", "item text").select("item", F.col("at").alias("item_at"), F.posexplode("hashes").alias("form", "window")), "windows")
     size = of_items.groupBy("item").agg(F.countDistinct("item_at").alias("n_windows"))
     few = of_items.count() <= MOST_BROADCAST
-    of_docs = windows(docs, "doc", "doc text").select("doc", "at", F.explode(F.array_distinct("hashes")).alias("window"))
+    of_docs = windows(docs, "doc", "doc text").select("doc", "at", F.explode("hashes").alias("window"))
     met = of_docs.join(F.broadcast(of_items) if few else of_items, "window")
     # What matches is small beside the documents: it is kept, and all else works on it.
     met = written(met.select("doc", "item", "form", "at", "item_at").distinct(), "met")
@@ -98,29 +106,48 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     item_values = written(item_values.join(held.select("item").distinct(), "item", "left_semi"), "values")
     if not item_values.limit(1).count():
         return found(held, F.lit(True))
-    placed = written(runs.join(held.select("doc", "item", "form"), ["doc", "item", "form"], "left_semi"), "runs")
     key = ["doc", "item", "form"]
-    at_words = placed.select(*key, "at", "item_at", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") + (WINDOW - 2))).alias("k"))
-    aligned = at_words.select(*key, (F.col("at") + F.col("k")).alias("at"), (F.col("item_at") + F.col("k")).alias("item_at"))
+    placed = written(runs.join(held.select(*key, "n_windows"), key), "runs")
     some = written(held.join(item_values.select("item").distinct(), "item", "left_semi").select("doc").distinct(), "with-values", thin=True)
     of_some = docs.join(F.broadcast(some) if some.count() <= MOST_BROADCAST else some, "doc", "left_semi")
+    in_runs = lambda rows, n: rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") + (n - 1)))).withColumns({"at": F.col("at") + F.col("k"), "item_at": F.col("item_at") + F.col("k")})
     # A word that has a placeholder in any form has it where all capitalised words are names.
-    slots = aligned.join(item_values, ["item", "form", "item_at"]).join(_values(of_some, "doc", "doc text", ALL), ["doc", "at"])
-    slots = written(slots.select(*key, "item_at", "item_value", "value").distinct(), "slots")
-    one = lambda a, b: slots.groupBy(*key, a).agg(F.countDistinct(b).alias("n")).groupBy(*key).agg(F.max("n").alias(f"most_{b}"))
-    differs = F.col("item_value") != F.col("value")
-    other = slots.groupBy(*key).agg(F.max(differs).alias("differs"), F.countDistinct(F.when(differs & F.contains("value", F.lit("⟨p")), F.col("item_at"))).alias("n_other"))
-    judged = one("item_value", "value").join(one("value", "item_value"), key).join(other, key)
-    over_values = item_values.select("item", "form", F.explode(F.sequence(F.greatest(F.col("item_at") - (WINDOW - 1), F.lit(0)), F.col("item_at"))).alias("item_at")).distinct()
-    at_windows = placed.select(*key, "item_at", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("k")).select(*key, (F.col("item_at") + F.col("k")).alias("item_at"))
-    plain = at_windows.join(over_values, ["item", "form", "item_at"], "left_anti").groupBy(*key).agg(F.countDistinct("item_at").alias("n_plain"))
-    out = held.join(judged, key, "left").join(plain, key, "left")
-    likely = (F.col("form") != ALL) | (F.col("n_other") <= LEAST_SHARE * (F.col("n_matched") + (WINDOW - 1)))
-    consistent = F.coalesce((F.col("most_value") == 1) & (F.col("most_item_value") == 1) & likely, F.lit(True))
-    out = out.where(consistent | (F.coalesce("n_plain", F.lit(0)) >= LEAST_SHARE * F.col("n_windows")))
+    slots = in_runs(placed, WINDOW - 1).join(item_values, ["item", "form", "item_at"]).join(_values(of_some, "doc", "doc text", ALL), ["doc", "at"])
+    slots = written(slots.select(*key, "n_windows", "shift", "item_at", "item_value", "value").distinct(), "slots")
+    # Without names a text matches in fewer places; values that other places gainsay don't map one to one there either.
+    slots = slots.unionByName(slots.where(F.col("form") == WITHIN).withColumn("form", F.lit(NONE)))
+    over_values = item_values.select("item", "form", F.explode(F.sequence(F.greatest(F.col("item_at") - (WINDOW - 1), F.lit(0)), F.col("item_at"))).alias("item_at"), F.lit(True).alias("over")).distinct()
+
+    def judged(runs: DataFrame, slots: DataFrame, by: list[str]) -> DataFrame:
+        """Of matches taken together by some columns those that are long enough, and whether their values agree."""
+        one = lambda a, b: slots.groupBy(*by, a).agg(F.countDistinct(b).alias("n")).groupBy(*by).agg(F.max("n").alias(f"most_{b}"))
+        differs = F.col("item_value") != F.col("value")
+        other = slots.groupBy(*by).agg(F.max(differs).alias("differs"), F.countDistinct(F.when(differs & F.contains("value", F.lit("⟨p")), F.col("item_at"))).alias("n_other"))
+        values = one("item_value", "value").join(one("value", "item_value"), by).join(other, by)
+        met_once = in_runs(runs, 0).groupBy(*by, "item_at").agg(F.max("n").alias("n"), F.max("n_windows").alias("n_windows"))
+        counts = F.count("*").alias("n_matched"), F.count_if(F.col("over").isNull()).alias("n_plain"), (F.max("n") + (WINDOW - 1)).alias("run_words"), F.max("n_windows").alias("n_windows")
+        out = met_once.join(over_values, ["item", "form", "item_at"], "left").groupBy(*by).agg(*counts).where(long).join(values, by, "left")
+        likely = (F.col("form") != ALL) | (F.col("n_other") <= LEAST_SHARE * (F.col("n_matched") + (WINDOW - 1)))
+        return out.withColumn("agree", F.coalesce((F.col("most_value") == 1) & (F.col("most_item_value") == 1) & likely, F.lit(True)))
+
+    whole = written(judged(placed, slots, key), "whole")
+    # Where all of a document's matches agree, no part of them says more.
+    settled = whole.where("agree").select("doc", "item").distinct()
+    parts = lambda rows: rows.join(settled, ["doc", "item"], "left_anti").withColumn("place", F.explode(_places()))
+    out = whole.unionByName(judged(parts(placed), parts(slots), [*key, "place"]).drop("place"))
+    out = out.where(F.col("agree") | (F.col("n_plain") >= LEAST_SHARE * F.col("n_windows")))
     return found(out, ~F.coalesce("differs", F.lit(False)))
 
 
+def _places() -> Column:
+    """Where a run of matches may be part of an occurrence of its item, other than all of the document: stretches of shifts as wide as the
+    item in two grids (an occurrence with words put in or left out, and no other whole one, is in a stretch of either), its
+    shift alone."""
+    words = F.col("n_windows") + (WINDOW - 1)
+    of = lambda kind, group: F.struct(F.lit(kind).alias("kind"), group.cast("long").alias("group"))
+    return F.array(of(1, F.floor(F.col("shift") / words)), of(2, F.floor(F.col("shift") / words + 0.5)), of(3, F.col("shift")))
+
+
 def _values(rows: DataFrame, id_col: str, text_col: str, form: int) -> DataFrame:
     """(id, at, value): the words that have placeholders in a form, with their values, by their place."""
     words = rows.select(id_col, F.posexplode(F.split(named(numbered(F.col(text_col)), form), " ")).alias("at", "value"))
