@@ -132,6 +132,15 @@ def test_network_finds_secrets_it_has_not_seen():
     assert passed[label == 1].mean() > 0.9 and passed[label == 0].mean() < 0.05
 
 
+GHP = "ghp_" + "a8Zk3Qp9Lx2Vb7Nc4Md6Ws1Er5Ty0UiOpAsD"
+
+
+@pytest.mark.parametrize("text, secret", [(f"see docs.example.com/research/articles/archive/{GHP}/section/overview/page.html for more", GHP), (f"at git.example.com/commit/{'0a1b2c3d' * 5}/files/{GHP}/page.html now", GHP)])
+def test_secrets_inside_long_runs(text, secret):
+    at = text.index(secret)
+    assert any(s <= at and at + len(secret) <= e for s, k, e, _ in secrets.found_in([text], secrets.default_net())[0] if k == "net")
+
+
 # --- 3
 
 

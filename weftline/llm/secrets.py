@@ -1,6 +1,7 @@
 """Secret scans: exact patterns, and a character convolutional network over every candidate and what surrounds it.
 
-Candidates are all spans of the base patterns and all runs of secret-like characters. The network is numpy: characters are
+Candidates are all spans of the base patterns, values behind settings' names from 6 characters on, and runs of secret-like
+characters (from 16 on, or 6 if they aren't words or numbers alone), whole, in parts and in windows. The network is numpy: characters are
 embedded, convolved and pooled apart over the candidate and over its context. It is trained on labelled findings, its
 scores are calibrated on findings held back, and each kind's threshold is the largest that keeps the recall asked for.
 """
@@ -24,7 +25,13 @@ KINDS = ("assign", "access", "hex", "net")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-RUN = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
+RUN = re.compile(r"[A-Za-z0-9+/_=.-]{6,}")
+#: What separates the parts of a run, and parts that are words or numbers.
+PART, PLAIN = re.compile(r"[^/.=]{6,}"), re.compile(r"[A-Z]?[a-z]*|[A-Z]+|[0-9]+")
+#: Values, of any characters, behind what a setting's name may end with, or behind "bearer".
+SETTING = re.compile(r"""(?:(?<=[A-Za-z0-9_"'\]])\x20{0,8}[:=]>?\x20{0,8}|(?i:bearer)\x20{1,8})["'`]?(?=([^\s"'`<>]{6,}))""")
+#: Characters of a run, without a setting's name before it, from which on it is a candidate even if it is plain words or numbers.
+LONG = 16
 KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 #: Characters of context on each side, and of a candidate's beginning and end, that the network sees.
 SIDE, HALF = 24, 32
@@ -46,15 +53,33 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Runs of 16 or more secret-like characters with both a digit and a letter, that no base span touches."""
-    out = []
+    """What base spans leave of runs and of settings' values, from 6 characters on: whole, cut at separators, and in overlapping
+    windows where they are longer than the network sees. Outside settings, runs under 16 characters of words or numbers alone
+    are none."""
+    out: set[tuple[int, int]] = set()
+    taken = sorted((a, z) for a, _, z in base)
+
+    def add(s: int, e: int, setting: bool) -> None:
+        if e - s < 6 or not (setting or e - s >= LONG or not all(PLAIN.fullmatch(x) for x in re.split(r"[+/_=.-]", text[s:e]))):
+            return
+        if e - s <= 2 * HALF:
+            out.add((s, e))
+        else:
+            out.update((max(s, min(k, e - 2 * HALF)), min(k + 2 * HALF, e)) for k in range(s, e - HALF, HALF))
+
+    def cut(s: int, e: int, setting: bool) -> None:
+        for a, z in [*((a, z) for a, z in taken if a < e and s < z), (e, e)]:
+            if s < a:
+                add(s, a, setting)
+                for m in PART.finditer(text, s, a):
+                    add(m.start(), m.end(), setting and m.start() == s)
+            s = max(s, z)
+
+    for m in SETTING.finditer(text):
+        cut(m.start(1), m.start(1) + len(m[1].rstrip(".,;:)]}")), True)
     for m in RUN.finditer(text):
-        s, e, run = m.start(), m.end(), m[0]
-        if run.isalpha() or not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run):
-            continue
-        if not any(a < e and s < z for a, _, z in base):
-            out.append((s, e))
-    return out
+        cut(m.start(), m.end(), False)
+    return sorted(out)
 
 
 def seen(text: str, start: int, end: int) -> list[int]:
@@ -134,6 +159,8 @@ class Net:
 
 def shape(text: str) -> str:
     """The kind of candidate that a threshold holds for."""
+    if len(text) < LONG:
+        return "short"
     if re.fullmatch(r"[0-9a-fA-F-]+", text):
         return "digits"
     return "mixed" if any(c.isupper() for c in text) and any(c.islower() for c in text) else "plain"
@@ -159,14 +186,36 @@ def labelled_findings(n: int, seed: int = 11) -> list[tuple[str, int, int, int]]
     )
     keys = ("password", "passwd", "secret", "token", "api_key", "apikey", "auth", "bearer", "private_key", "credential")
     out = []
+    spoken = lambda k: "".join(pick("bcdfghklmnprstvwz", 1 + integer(0, 2)) + pick("aeiou", 1 + integer(0, 2)) + pick("nrstlchm", integer(0, 2)) for _ in range(k))
+    path = lambda: "/".join(word() for _ in range(integer(2, 5)))
     for k in range(n):
         label = k % 2
+        if integer(0, 3) == 0:  # short values: passwords behind settings, and what else stands there or looks like them
+            if label:
+                value = (lambda: pick(low + up + num, 6 + integer(0, 10)), lambda: word() + word() + pick(num, 1 + integer(0, 4)) + word() * integer(0, 2), lambda: pick(low + up + num + "!@#~$%^&*", 6 + integer(0, 14)), lambda: word().title() + pick("!@#~$", 1) + pick(num, 2 + integer(0, 3)) + word(), lambda: pick(low + up, 16 + integer(0, 16)))[integer(0, 5)]()
+                value = value if len(value) >= 6 else value + pick(num, 6 - len(value))
+            else:
+                value = (lambda: (word() + word() + word())[:15], lambda: word().title() + word() + "ing", lambda: f"{integer(1990, 2030)}-{integer(10, 13)}-{integer(10, 29)}", lambda: f"{integer(1, 99)}.{integer(0, 99)}.{integer(0, 99)}", lambda: pick(num, 6 + integer(0, 6)), lambda: word() + "_" + word() + str(integer(0, 9)), lambda: f"{word()}.{word()}@{word()}.com", lambda: f"{word()}/{word()}{integer(0, 9)}.html", lambda: word().title() + word().title(), lambda: word() + "-" + word() + "s", lambda: "=" * integer(6, 30), lambda: "-" * integer(6, 30), lambda: f"{word()}{integer(1, 30)}.{word()}", lambda: pick(num, 16 + integer(0, 8)), lambda: spoken(5), lambda: spoken(6).title(), lambda: spoken(7), lambda: "".join(word() for _ in range(8))[:30], lambda: spoken(5).upper())[integer(0, 19)]()
+                value = value if len(value) >= 6 else value + "thering"[: 7 - len(value)]
+            name = ("pwd", "pass", "passphrase", *keys[6:])[integer(0, 7)] if label or integer(0, 6) == 0 and value.isalpha() and value.islower() else word()
+            quote = ('"', "'", "")[integer(0, 3)]
+            before = f"{words(4)} {name}{(': ', ' = ', '=', ':')[integer(0, 4)]}{quote}" if label or integer(0, 2) else f"{words(5)} "
+            out.append((f"{before}{value}{quote} {words(4)}", len(before), len(before) + len(value), label))
+            continue
         kinds = secret if label else benign
         value = kinds[integer(0, len(kinds))]()
         value = value if len(value) >= 16 else value + "-" + word() + pick(num, 16 - len(value))
         how = integer(0, 4)
         before = f"{words(4)} {keys[integer(0, len(keys))]} = \"" if label and how == 0 else f"{words(4)} {word()}: " if how == 1 else f"{words(5)} "
-        out.append((f"{before}{value} {words(4)}", len(before), len(before) + len(value), label))
+        after = f" {words(4)}"
+        if how == 2:  # a part of a longer run
+            before, after = f"{words(2)} {path()}/", f"/{path()}{('', '.html')[integer(0, 2)]} {words(2)}"
+        elif how == 3 and integer(0, 2):  # a window of a longer run, the candidate somewhere in it
+            head, tail = f"{path()}/{path()}/", f"/{path()}/{path()}"
+            value = (value if label else path())[: 2 * HALF]
+            whole, at = head + value + tail, len(head) - integer(0, 1 + min(len(head), 2 * HALF - len(value)))
+            before, value, after = f"{words(2)} {whole[:at]}", whole[at : at + 2 * HALF], f"{whole[at + 2 * HALF :]} {words(2)}"
+        out.append((f"{before}{value}{after}", len(before), len(before) + len(value), label))
     return out
 
 
@@ -195,7 +244,7 @@ def train(findings: list[tuple[str, int, int, int]], recall: float = 0.95, epoch
     net.scale = (float(a), float(b))
     s = 1 / (1 + np.exp(-np.clip(a * z + b, -40, 40)))
     kinds = [shape(findings[k][0][findings[k][1] : findings[k][2]]) for k in np.flatnonzero(back)]
-    for kind in ("digits", "mixed", "plain"):
+    for kind in ("digits", "mixed", "plain", "short"):
         own = np.sort([p for p, k, l in zip(s, kinds, held, strict=True) if k == kind and l == 1])
         # The largest threshold that keeps the recall; never one that more likely harmless findings pass.
         net.thresholds[kind] = max(0.5, float(own[int((1 - recall) * len(own))])) if len(own) else 0.9
@@ -203,7 +252,7 @@ def train(findings: list[tuple[str, int, int, int]], recall: float = 0.95, epoch
 
 
 @lru_cache(2)
-def default_net(findings: int = 2400) -> Net:
+def default_net(findings: int = 16000) -> Net:
     return train(labelled_findings(findings))
 
 
@@ -219,7 +268,12 @@ def found_in(texts: list[str | None], net: Net) -> list[list[tuple[int, str, int
     out: list[list] = [[] for _ in spans]
     for (k, i, form), score in zip(owners, net.scores(windows).tolist(), strict=True):
         s, name, e = spans[k][i]
-        if name != "net" or score >= net.thresholds[form]:
+        if name != "net":
+            out[k].append((s, name, e, score))
+        elif score >= net.thresholds[form]:
+            last = out[k][-1] if out[k] else (0, "", 0, 0.0)
+            if last[1] == "net" and s < last[2]:  # candidates that overlap are one finding
+                s, e, score = out[k].pop()[0], max(e, last[2]), max(score, last[3])
             out[k].append((s, name, e, score))
     return [sorted(x, key=lambda f: (f[0], KINDS.index(f[1]))) for x in out]
 
