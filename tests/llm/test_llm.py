@@ -141,6 +141,21 @@ def test_secrets_inside_long_runs(text, secret):
     assert any(s <= at and at + len(secret) <= e for s, k, e, _ in secrets.found_in([text], secrets.default_net())[0] if k == "net")
 
 
+@pytest.mark.parametrize("text, secret", [("the pwd: Xk29fLq1 is set", "Xk29fLq1"), ("use bearer = hunter2secret here", "hunter2secret"), ('a private_key: "qWeRtYuIoPaSdFgHjKlZ" there', "qWeRtYuIoPaSdFgHjKlZ"), ("the pwd = tr!9@Lk#2~x is", "tr!9@Lk#2~x")])
+def test_short_secrets_behind_settings(text, secret):
+    at = text.index(secret)
+    assert (at, at + len(secret)) in secrets.candidates(text, [])
+    assert any(s <= at and at + len(secret) <= e for s, _, e, _ in secrets.found_in([text], secrets.default_net())[0])
+
+
+def test_recall_before_the_gate():
+    held = secrets.labelled_findings(600, seed=98)
+    found = secrets.found_in([f[0] for f in held], secrets.default_net())
+    hit = np.array([any(a < e and s < z for a, _, z, _ in x) for x, (_, s, e, _) in zip(found, held, strict=True)])
+    label = np.array([f[3] for f in held])
+    assert hit[label == 1].mean() > 0.9 and hit[label == 0].mean() < 0.1
+
+
 # --- 3
 
 
