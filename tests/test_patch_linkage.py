@@ -234,3 +234,29 @@ def test_the_rest_works_without_the_llm_folders(tmp_path):
     shutil.copytree(here, to, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", ".*"))
     code = "import __spark_entry__ as e; q = e.queries(); assert 'strategy_multi_query' in q and not any(k.startswith('op') and k[2].isdigit() for k in q) and 'pipeline' not in q; e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=to, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+
+
+def test_ranker_learns_before_the_split_and_ranks_windows_after_it(spark, sf, monkeypatch):
+    from weftline.config import USUAL
+    from weftline.operators import pools as P
+    from weftline.plans import ranking_queries as Q
+    from weftline.schema import ground_truth
+
+    # The small table has no links of late patches: the last ten are linked in a row.
+    last = [r["patch_id"] for r in embedded(spark, sf).orderBy(F.desc("created_time"), "n").select("patch_id").limit(10).collect()]
+    late = spark.createDataFrame(list(zip(last[1:], last, strict=False)), "source string, target string")
+    links = ground_truth(spark, sf).select("source", "target").unionByName(late)
+    monkeypatch.setattr(Q, "ground_truth", lambda spark, sf: links)
+    learnt, fit = [], K.Pairwise.fit
+    monkeypatch.setattr(K.Pairwise, "fit", lambda rows: learnt.extend(rows.select("q", "n", "label").collect()) or fit(rows))
+    got = {}
+    for r in Q.trained_ranker(spark, sf).collect():
+        got.setdefault(r["q"], []).append(r["n"])
+    rows = embedded(spark, sf)
+    split = P.split_time(patches(spark, sf)).first()["split_micros"]
+    time = {r["n"]: r["t"] for r in rows.select("n", C.micros(F.col("created_time")).alias("t")).collect()}
+    anchors = {int(r["anchor"]) for r in P.anchors(P.canonical_pairs(links), rows).collect()}
+    window = {q: {n for n, t in time.items() if n != q and abs(t - time[q]) <= USUAL.window_days * W.DAY} for q in anchors}
+    assert got and {q: len(n) for q, n in got.items()} == {q: min(10, len(w)) for q, w in window.items() if time[q] >= split and w}
+    assert all(set(n) <= window[q] for q, n in got.items())
+    assert learnt and all(time[r["q"]] < split for r in learnt) and {r["label"] for r in learnt} == {0, 1}

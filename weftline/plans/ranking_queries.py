@@ -277,7 +277,11 @@ UNION = f"""uni as (select q, n, min_by(pool, pool) as pool, min_by(place, pool)
 @query("select q, n, pool::integer as pool, place::bigint as place from uni", SEM, EWIN, _sem("s", 155), ANN, _sem("s20", 60), UNION)
 def candidate_union(spark: SparkSession, sf: str) -> DataFrame:
     rows = embedded(spark, sf)
-    q = asked(spark, sf, rows)
+    return _union(asked(spark, sf, rows), rows)
+
+
+def _union(q: DataFrame, rows: DataFrame) -> DataFrame:
+    """Window, nearest vectors and retrieval, in this order."""
     win = W.candidates(q, rows, USUAL.window_days).select("q", "n", F.col("n").alias("place"))
     ann = P.ann_pool(q, rows).withColumnRenamed("rank", "place")
     rag = R.semantic(q, rows, USUAL.pool_k, USUAL.pool_days).select("q", "n")
@@ -514,13 +518,21 @@ def rerank_delta(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(None)
 def trained_ranker(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairwise ranker fitted to the links of anchors before the split, applied to the window of those after it."""
+    """Pairwise ranker fitted to the links of anchors before the split, with negatives from the union of their pools, and applied
+    to the whole window of anchors after it, of which the first ten are returned. Unlinked candidates are drawn as negatives by
+    the similarity of their vectors."""
     rows = embedded(spark, sf)
     known = rows.select("patch_id")
     pairs = P.anchors(P.canonical_pairs(ground_truth(spark, sf)), rows)
     links = pairs.join(known.withColumnRenamed("patch_id", "positive"), "positive").select(F.col("anchor").cast("long").alias("q"), F.col("positive").cast("long").alias("n"))
+    split = P.split_time(patches(spark, sf)).first()["split_micros"]
+    early = C.micros(F.col("created_time")) < F.lit(split)
     q = rows.join(links.select(F.col("q").alias("n")).distinct(), "n", "left_semi").withColumn("q", F.col("n"))
-    pool = R.nearest(q, rows, 40).where("q != n").select("q", "n", "sem")
-    labelled = P.negatives(pool.join(links, ["q", "n"], "left_anti")).select("q", "n").withColumn("label", F.lit(0)).unionByName(links.withColumn("label", F.lit(1)))
+    before, after = q.where(early), q.where(~early)
+    links = links.join(before.select("q"), "q", "left_semi")
+    of = lambda side: rows.select(F.col("n").alias(side), F.col("vector").alias(f"{side}_vector"))
+    pool = _union(before, rows).where("q != n").join(links, ["q", "n"], "left_anti")
+    pool = pool.join(of("q"), "q").join(of("n"), "n").select("q", "n", C.cosine(F.col("q_vector"), F.col("n_vector")).alias("sem"))
+    labelled = P.negatives(pool).select("q", "n").withColumn("label", F.lit(0)).unionByName(links.withColumn("label", F.lit(1)))
     ranker = K.Pairwise.fit(K.features(labelled.select("q", "n"), rows).join(labelled, ["q", "n"]))
-    return K.ml_stage(pool.select("q", "n"), rows, ranker, 10).select("q", "n", "ml_rank")
+    return K.ml_stage(W.candidates(after, rows, USUAL.window_days).select("q", "n"), rows, ranker, 10).select("q", "n", "ml_rank")
