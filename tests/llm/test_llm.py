@@ -215,8 +215,8 @@ def test_counts_at_every_prefix(tokenizer):
     size = lambda s: len(tokenizer.encode(s, add_special_tokens=False).ids)
     for s in pieces_of_text(200, 1):
         want = [size(s[:k]) for k in range(len(s) + 1)]
-        assert list(c.counts(s)) == want == token_counts.prefix_counts(c.deltas(s))
-        assert c.cut(s, 5) == token_counts.cut_at(c.deltas(s), 5) == max(k for k, n in enumerate(want) if n <= 5)
+        assert token_counts.prefix_counts(deltas := c.prefix_deltas([s])[0]).tolist() == want
+        assert token_counts.cut_at(deltas, 5) == max(k for k, n in enumerate(want) if n <= 5)
     some = pieces_of_text(300, 2)
     assert c.tokens(some) == [size(s) for s in some]
 
@@ -225,8 +225,11 @@ def test_token_counts_equal_the_library(spark, sf, tokenizer):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in token_counts.op4_token_counts(spark, sf).collect():
         t = texts[r["doc_id"]]
-        n = len(tokenizer.encode(t, add_special_tokens=False).ids)
+        size = lambda s: len(tokenizer.encode(s, add_special_tokens=False).ids)
+        n, cut = size(t), r["cut_chars"]
         assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(t.encode()), n, n > 512)
+        # The longest prefix within the budget: longer ones by up to a long piece's characters are beyond it.
+        assert cut == len(t) if n <= 512 else size(t[:cut]) <= 512 < min(size(t[:k]) for k in range(cut + 1, min(len(t), cut + 20) + 1))
 
 
 def test_encoding_equals_the_library(spark, sf, tokenizer):

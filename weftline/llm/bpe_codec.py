@@ -1,6 +1,7 @@
 """BPE encoding and decoding over an index of pair occurrences.
 
-The distinct pieces of a batch lie side by side in one array of symbols, linked to their neighbours. An index maps each
+A partition's pieces are known by number while memory allows. Those that a slice of it adds lie side by side in one array of
+symbols, linked to their neighbours. An index maps each
 adjacent pair that some merge takes to all its places. The lowest active rank is applied at all its places at once, and the
 pairs that it makes are added to the lists of their own ranks, until no rank is active.
 """
@@ -19,10 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import ByteBpe, PieceIndex, default_path, load
-from .common import table
-
-#: Pieces that a worker keeps between batches; beyond, it starts anew. Results don't depend on it.
-CACHE = 400_000
+from .common import sliced, table
 
 
 class PairIndexBpe:
@@ -159,13 +157,16 @@ def _coded(docs: DataFrame, id_col: str, text_col: str, path: str | None, fields
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for b in batches:
-            codes = [c.codes(t or "") for t in b.column(1).to_pylist()]
-            c.learn()
-            columns = list(zip(*(row(*c.joined(x)) for x in codes), strict=True)) or [()] * len(fields)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, t) for x, (_, t, _) in zip(columns, fields, strict=True))], names=[id_col, *(f[0] for f in fields)])
-            if len(c.index) > CACHE:
-                c.reset()
+        try:
+            for b in sliced(batches):
+                codes = [c.codes(t or "") for t in b.column(1).to_pylist()]
+                c.learn()
+                columns = list(zip(*(row(*c.joined(x)) for x in codes), strict=True)) or [()] * len(fields)
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, t) for x, (_, t, _) in zip(columns, fields, strict=True))], names=[id_col, *(f[0] for f in fields)])
+                if c.index.full:
+                    c.reset()
+        finally:  # the worker lives on, for other stages
+            c.reset()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{n} {s}" for n, _, s in fields))

@@ -94,18 +94,30 @@ class ByteBpe:
         return self.splitter.split(text)
 
 
+#: Bytes that a worker's known pieces and their results may take, roughly; beyond, it starts anew. Results don't depend on it.
+CACHE_BYTES = 48 << 20
+#: Of a known piece: its entries in tables and lists, and what each of its characters adds to them.
+PIECE_BYTES, CHARACTER_BYTES = 320, 8
+
+
 class PieceIndex(dict):
-    """Numbers distinct pieces as they are met; new ones wait in fresh until their results are known."""
+    """Numbers distinct pieces as they are met; new ones wait in fresh until their results are known. bytes is what is held."""
 
     def __init__(self):
         super().__init__()
         self.fresh: list[str] = []
+        self.bytes = 0
 
     def __missing__(self, piece: str) -> int:
         n = self[piece] = len(self)
         self.fresh.append(piece)
+        self.bytes += PIECE_BYTES + CHARACTER_BYTES * len(piece)
         return n
 
+    @property
+    def full(self) -> bool:
+        return self.bytes > CACHE_BYTES
+
     def codes(self, segment: str) -> array:
         return array("q", map(self.__getitem__, pieces(segment)))
 

@@ -2,7 +2,8 @@
 
 The tokens of a piece's prefix are those of a shorter prefix and one last token. Among the vocabulary's tokens that end
 there, one alone forms a stable pair with the last token of the shorter prefix, so a pass from left to right finds the count
-at every place. Counts at all prefixes of a whole text follow from its pieces.
+at every place. Counts at all prefixes of a whole text follow from its pieces, and are stored: what any budget of tokens
+comes to is read from them, without the text and without encoding again.
 """
 
 from __future__ import annotations
@@ -18,12 +19,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import CONTRACTIONS, ByteBpe, PieceIndex, default_path, load, pieces
-from .common import table
+from .common import sliced, table, written
 
-#: Pieces that a worker keeps between batches; beyond, it starts anew. Results don't depend on it.
-CACHE = 400_000
 #: In the tree of token bytes, the key of the token that ends at a node.
 TOKEN = -1
+#: What a piece is: a contraction, white space alone, one that begins with white space.
+CONTRACTION, BLANK, BLANK_FIRST = 1, 2, 4
 
 
 class PrefixCounter:
@@ -32,9 +33,8 @@ class PrefixCounter:
     def __init__(self, bpe: ByteBpe):
         self.bpe = bpe
         self.stable: dict[tuple[int, int], bool] = {}
-        self.cache: dict[str, bytes] = {}
+        self.reset()
         # Tokens that their own bytes don't encode to are never made.
-        self.index, self.totals = PieceIndex(), np.zeros(0, np.int64)
         self._tables()
         self.tree: dict = {}
         for k, v in bpe.id_of.items():
@@ -45,6 +45,11 @@ class PrefixCounter:
                 at[TOKEN] = v
         self._flatten()
 
+    def reset(self) -> None:
+        """Forgets all pieces: for each by its number what every code point adds, the count of all of it, and what it is; and
+        what follows of pieces behind others that they join with."""
+        self.index, self.known, self.totals, self.kinds, self.joint = PieceIndex(), [], np.zeros(0, np.int64), np.zeros(0, np.uint8), {}
+
     def _tables(self) -> None:
         """What the pass over many pieces at once looks up: merges by pair, and how tokens came about."""
         merge, born = self.bpe.merge, self.bpe.born
@@ -123,7 +128,7 @@ class PrefixCounter:
         return count
 
     def learn(self) -> None:
-        """Finds the totals of the index's fresh pieces."""
+        """Counts the index's fresh pieces at all their prefixes."""
         fresh, self.index.fresh = self.index.fresh, []
         if not fresh:
             return
@@ -131,13 +136,27 @@ class PrefixCounter:
         by: dict[int, list[int]] = {}
         for k, b in enumerate(raw):
             by.setdefault(len(b), []).append(k)
-        new = np.zeros(len(fresh), np.int64)
+        new: list[bytes] = [b""] * len(fresh)
         for n, where in by.items():
-            step = max(1, 4_000_000 // n)
+            step = max(1, 1_000_000 // n)
             for at in range(0, len(where), step):
                 some = where[at : at + step]
-                new[some] = self._pass([raw[k] for k in some])[:, -1] if len(some) * 4 > n else [sum(array("b", self._count(fresh[k]))) for k in some]
-        self.totals = np.concatenate([self.totals, new])
+                if len(some) * 4 <= n:
+                    for k in some:
+                        new[k] = self._count(fresh[k])
+                    continue
+                counts = self._pass([raw[k] for k in some])
+                steps = np.diff(counts, axis=1).astype(np.int8)
+                for k, count, by_byte in zip(some, counts, steps, strict=True):
+                    if len(fresh[k]) == n:
+                        new[k] = by_byte.tobytes()
+                    else:  # a code point ends where no byte that continues it follows
+                        ends = np.flatnonzero((np.append(np.frombuffer(raw[k], np.uint8)[1:], 0) & 0xC0) != 0x80) + 1
+                        new[k] = np.diff(count[ends], prepend=0).astype(np.int8).tobytes()
+        self.known += new
+        self.totals = np.append(self.totals, [int(np.frombuffer(d, np.int8).sum(dtype=np.int64)) for d in new])
+        kinds = [CONTRACTION * (p in CONTRACTIONS) | BLANK * p.isspace() | BLANK_FIRST * p[0].isspace() for p in fresh]
+        self.kinds = np.append(self.kinds, np.array(kinds, np.uint8))
 
     def _makes(self, token: int) -> bool:
         born = self.bpe.born.get(token)
@@ -162,13 +181,6 @@ class PrefixCounter:
             else:
                 up_right, right = b[0], b[1]
 
-    def piece(self, text: str) -> bytes:
-        """For each code point of a piece, what it adds to the count, as signed bytes."""
-        found = self.cache.get(text)
-        if found is None:
-            found = self.cache[text] = self._count(text)
-        return found
-
     def _count(self, text: str) -> bytes:
         raw, tree, stable = text.encode(), self.tree, self.stable
         n = len(raw)
@@ -200,64 +212,70 @@ class PrefixCounter:
             count = [0] + [count[e] for e in ends]
         return array("b", map(int.__sub__, count[1:], count)).tobytes()
 
-    def total(self, text: str) -> int:
-        return sum(array("b", self.piece(text)))
-
-    def counts(self, text: str) -> array:
-        """The token count of every prefix, the empty one first."""
-        out, base, before = array("i", [0]), 0, ""
-        for k, segment in enumerate(self.bpe.segments(text)):
-            if k % 2:
-                self._resplit(out, base, before, segment[:-1])
-                base, before = base + 1, ""
-                out.append(base)
-                continue
-            for piece in pieces(segment):
-                if piece in CONTRACTIONS:
-                    self._resplit(out, base, before, piece[:-1])
-                    out.append(base + self.total(piece))
-                elif before.isspace() and piece[0].isspace():
-                    # White space at the end of a prefix is one piece, and here no more than one character of it is left.
-                    self._resplit(out, base, before, piece[0])
-                    out.extend(accumulate(array("b", self.piece(piece)), initial=base))
-                    del out[-len(piece) - 1 : -len(piece) + 1 or None]
-                else:
-                    now = base
-                    for d in array("b", self.piece(piece)):
-                        now += d
-                        out.append(now)
-                base, before = base + self.total(piece), piece
-        return out
-
-    def _resplit(self, out: array, base: int, before: str, piece: str) -> None:
-        """Adds the counts of the prefixes that end in a piece, where they fall into pieces otherwise than the whole does."""
-        base -= self.total(before) if before else 0
-        out.extend(base + sum(map(self.total, pieces(before + piece[:k]))) for k in range(1, len(piece) + 1))
+    def _total(self, text: str) -> int:
+        return sum(array("b", self._count(text)))
+
+    def _behind(self, before: str, part: str) -> bytes:
+        """What each code point of a part adds where a prefix that ends in it falls into pieces otherwise than the whole text: a
+        contraction, white space behind white space, a special string."""
+        found = self.joint.get((before, part))
+        if found is not None:
+            return found
+        known = self._total(before) if before else 0
+        split = lambda k: sum(map(self._total, pieces(before + part[:k]))) - known
+        n = len(part)
+        if part in self.bpe.special:
+            counts = [split(k) for k in range(1, n)] + [1]
+        elif part in CONTRACTIONS:
+            counts = [split(k) for k in range(1, n)] + [self._total(part)]
+        else:  # white space at the end of a prefix is one piece, and here no more than one character of it is left
+            counts = [split(1), *accumulate(array("b", self._count(part)))]
+            del counts[1]
+        found = array("b", map(int.__sub__, counts, [0, *counts[:-1]])).tobytes()
+        if len(self.joint) > 20_000:
+            self.joint.clear()
+        self.joint[before, part] = found
+        return found
 
-    def deltas(self, text: str) -> bytes:
-        """For each code point of a text, what it adds to the count of the prefix that ends with it, as signed bytes."""
-        counts = self.counts(text)
-        return array("b", map(int.__sub__, counts[1:], counts)).tobytes()
+    def prefix_deltas(self, texts: list[str]) -> list[bytes]:
+        """For each text, and each of its code points, what it adds to the count of the prefix that ends with it, as signed bytes."""
+        cut = [[x if k % 2 else pieces(x) for k, x in enumerate(self.bpe.segments(t))] for t in texts]
+        codes = [[None if k % 2 else np.fromiter(map(self.index.__getitem__, x), np.int64, len(x)) for k, x in enumerate(parts)] for parts in cut]
+        self.learn()
+        out = []
+        for parts, numbers in zip(cut, codes, strict=True):
+            deltas: list[bytes] = []
+            owed = 0  # what the count at the last place lacks of that of the pieces so far, in a longer prefix
+            for k, (part, code) in enumerate(zip(parts, numbers, strict=True)):
+                if k % 2:
+                    before = parts[k - 1]
+                    deltas.append(_raised(self._behind(before[-1] if before else "", part), owed))
+                    owed = 0
+                    continue
+                kinds = self.kinds[code]
+                joins = (kinds & CONTRACTION) > 0
+                joins[1:] |= ((kinds[:-1] & BLANK) > 0) & ((kinds[1:] & BLANK_FIRST) > 0)
+                own = list(map(self.known.__getitem__, code.tolist()))
+                for i in np.flatnonzero(joins).tolist():
+                    own[i] = _raised(self._behind(part[i - 1] if i else "", part[i]), owed)
+                    owed = int(self.totals[code[i]]) - sum(array("b", own[i])) + owed
+                    if owed and i + 1 < len(own) and not joins[i + 1]:
+                        own[i + 1], owed = _raised(own[i + 1], owed), 0
+                deltas += own
+            out.append(b"".join(deltas))
+        return out
 
     def tokens(self, texts: list[str]) -> list[int]:
         """The count of each whole text, from the last prefix of each of its pieces."""
-        codes, special = [], []
-        for t in texts:
-            parts = self.bpe.segments(t)
-            special.append(len(parts) // 2)
-            codes.append([self.index.codes(x) for x in parts[::2]])
+        cut = [self.bpe.segments(t) for t in texts]
+        codes = [[self.index.codes(x) for x in parts[::2]] for parts in cut]
         self.learn()
-        return [n + sum(int(self.totals[np.frombuffer(c, np.int64)].sum()) for c in cs if c) for n, cs in zip(special, codes, strict=True)]
+        return [len(parts) // 2 + sum(int(self.totals[np.frombuffer(c, np.int64)].sum()) for c in cs if c) for parts, cs in zip(cut, codes, strict=True)]
 
-    def cut(self, text: str, budget: int) -> int:
-        """Code points of the longest prefix of at most budget tokens."""
-        return max(k for k, n in enumerate(self.counts(text)) if n <= budget)
 
-    def trim(self) -> None:
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        if len(self.index) > CACHE:
-            self.index, self.totals = PieceIndex(), np.zeros(0, np.int64)
+def _raised(deltas: bytes, by: int) -> bytes:
+    """Deltas of a part, the first of them more by so much."""
+    return array("b", [deltas[0] - 256 * (deltas[0] > 127) + by]).tobytes() + deltas[1:] if by else deltas
 
 
 @lru_cache(2)
@@ -269,7 +287,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row for each row of docs: its id, n_bytes, n_tokens, over_limit (n_tokens > budget).
 
     store_prefixes adds prefix_deltas: one signed byte for each code point, whose running sum is the exact token count of each
-    prefix, so any budget or truncation is answered from it (prefix_counts, cut_at) without encoding again.
+    prefix, so any budget or truncation is answered from it (prefix_counts, cut_at, cuts) without encoding again.
     Null texts count as empty: 0 bytes, 0 tokens. Repeated rows and null ids give a row each. Other columns are not read.
     """
     path = path or default_path()
@@ -278,33 +296,49 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
-        for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            size = [len(s.encode()) for s in texts]
-            kept = [c.deltas(s) for s in texts] if store_prefixes else []
-            # The last prefix is the text.
-            found = [sum(array("b", d)) for d in kept] if store_prefixes else c.tokens(texts)
-            c.trim()
-            columns = [b.column(0), pa.array(size, pa.int64()), pa.array(found, pa.int64()), pa.array([n > budget for n in found], pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary())] * store_prefixes, schema=pa.schema([pa.field(id_col, b.column(0).type), *fields]))
+        try:
+            for b in sliced(batches):
+                texts = [t or "" for t in b.column(1).to_pylist()]
+                size = [len(s.encode()) for s in texts]
+                kept = c.prefix_deltas(texts) if store_prefixes else []
+                # The last prefix is the text.
+                found = [int(np.frombuffer(d, np.int8).sum(dtype=np.int64)) for d in kept] if store_prefixes else c.tokens(texts)
+                columns = [b.column(0), pa.array(size, pa.int64()), pa.array(found, pa.int64()), pa.array([n > budget for n in found], pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary())] * store_prefixes, schema=pa.schema([pa.field(id_col, b.column(0).type), *fields]))
+                if c.index.full:
+                    c.reset()
+        finally:  # the worker lives on, for other stages
+            c.reset()
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean" + ", prefix_deltas binary" * store_prefixes
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(count, schema)
 
 
-def prefix_counts(deltas: bytes) -> list[int]:
+def prefix_counts(deltas: bytes) -> np.ndarray:
     """The token count of every prefix, the empty one first."""
-    out = [0]
-    for d in array("b", deltas):
-        out.append(out[-1] + d)
-    return out
+    return np.append(0, np.cumsum(np.frombuffer(deltas, np.int8), dtype=np.int64))
 
 
 def cut_at(deltas: bytes, budget: int) -> int:
     """Code points of the longest prefix of at most budget tokens."""
-    return max(k for k, n in enumerate(prefix_counts(deltas)) if n <= budget)
+    return int(np.flatnonzero(prefix_counts(deltas) <= budget)[-1])
+
+
+def cuts(stored: DataFrame, budget: int, name: str = "cut_chars") -> DataFrame:
+    """Stored counts with, in place of prefix_deltas, the code points of each text's longest prefix of at most budget tokens; all
+    of it where that is the whole text. Texts are not read."""
+    names = [n for n in stored.columns if n != "prefix_deltas"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, len(names)):
+            found = [cut_at(d, budget) for d in b.column(len(names)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.int64())], names=[*names, name])
+
+    schema = ", ".join(f"`{n}` {stored.schema[n].dataType.simpleString()}" for n in names)
+    return stored.select(*names, "prefix_deltas").mapInArrow(cut, f"{schema}, `{name}` bigint")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(table(spark, sf_dir, "documents"))
+    """Counts, and where each text has to be cut to fit into 512 tokens, read from the stored counts at its prefixes."""
+    return cuts(written(token_counts(table(spark, sf_dir, "documents"), store_prefixes=True), "prefixes"), 512)
