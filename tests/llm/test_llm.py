@@ -385,7 +385,9 @@ def test_no_python_in_native_plans(spark, sf):
 # --- 9
 
 
-def test_links_equal_brute_force(spark):
+@pytest.mark.parametrize("block", [minhash.BLOCK_SHINGLES, 150])
+def test_links_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", block)
     rnd = random.Random(9)
     words = [f"w{k}" for k in range(400)]
     texts = []
@@ -410,9 +412,45 @@ def test_links_equal_brute_force(spark):
     assert got == {k: (len(s), root[k], root[k] == k) for k, s in enumerate(sets)}
 
 
+def shingled(parts):
+    return [np.unique(minhash._mixed(np.asarray(x, np.uint64))) for x in parts]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_confirmed_links_join_what_brute_force_joins(seed):
+    r, parts = np.random.default_rng(seed), []
+    for _ in range(12):
+        base = r.integers(0, 400, r.integers(1, 60))
+        for _ in range(r.integers(1, 12)):
+            copy = base.copy()
+            copy[r.integers(0, len(copy), r.integers(0, 8))] = r.integers(0, 400)
+            parts.append(copy)
+    sets = shingled(parts)
+    m = len(sets)
+
+    def classes(links):
+        root = list(range(m))
+        for a, b in links:
+            low, high = sorted((root[a], root[b]))
+            root = [low if x == high else x for x in root]
+        return [root.index(x) for x in root]
+
+    linked = [(i, j) for i in range(m) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
+    assert classes(minhash.confirmed(list(range(m)), sets, np.zeros((m, minhash.BANDS * minhash.ROWS), np.uint32), 80)) == classes(linked)
+
+
+def test_many_unlinked_texts_of_one_family_are_not_compared_pair_by_pair():
+    import time
+
+    sets = shingled(np.r_[np.arange(4), 1000 + 4 * k + np.arange(4)] for k in range(140_000))
+    signs, began = minhash.signatures(sets), time.time()
+    assert minhash.confirmed(list(range(len(sets))), sets, signs, 80) == []
+    assert time.time() - began < 60
+
+
 def test_large_and_small_stars(spark):
     rnd = random.Random(10)
-    edges = [(k, k + 1) for k in range(100, 140)] + [(rnd.randint(0, 60), rnd.randint(0, 60)) for _ in range(40)]
+    edges = [(k, k + 1) for k in range(100, 140)] + [(rnd.randint(0, 60), rnd.randint(0, 60)) for _ in range(40)] + [(200, k) for k in range(201, 3000)]
     root = {x: x for e in edges for x in e}
     for _ in range(len(root)):
         for a, b in edges:

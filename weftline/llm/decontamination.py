@@ -108,7 +108,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         return found(held, F.lit(True))
     key = ["doc", "item", "form"]
     placed = written(runs.join(held.select(*key, "n_windows"), key), "runs")
-    some = written(held.join(item_values.select("item").distinct(), "item", "left_semi").select("doc").distinct(), "with-values", thin=True)
+    some = written(held.join(item_values.select("item").distinct(), "item", "left_semi").select("doc").distinct(), "with-values")
     of_some = docs.join(F.broadcast(some) if some.count() <= MOST_BROADCAST else some, "doc", "left_semi")
     in_runs = lambda rows, n: rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") + (n - 1)))).withColumns({"at": F.col("at") + F.col("k"), "item_at": F.col("item_at") + F.col("k")})
     # A word that has a placeholder in any form has it where all capitalised words are names.

@@ -2,9 +2,11 @@
 
 Documents of one shingle set are one text; only texts are compared. Minima of many universal hash functions fall into bands,
 and texts that agree on a band share a bucket. Buckets are never expanded into pairs: each hangs on its most central member,
-and what hangs together is a family. Within families, most central texts first, estimates from signatures choose whom a text
-is compared with on full sets, and texts that have joined the first one's component need not be. Links become components by
-alternating large-star and small-star steps.
+and what hangs together is a family. In a family the most central texts are compared with all others, which joins copies of
+them. Texts of different components are then compared only where their rarest shingles meet, as any two that are alike enough
+share one of those; estimates from signatures come first, full sets confirm. Of a family too large for one task all are
+compared with its most central text, in blocks, and only what isn't linked with that one meets all blocks. Links become
+components by alternating large-star and small-star steps.
 """
 
 from __future__ import annotations
@@ -17,14 +19,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, parts, table, written
+from .common import dropped, parts, sliced, table, written
 
 #: Bands and minima in each: a pair of similarity 0.8 shares no band with a chance of (1 - 0.8**4)**28, 4 in 10 million.
 BANDS, ROWS = 28, 4
-#: Share of equal minima that a pair needs to be confirmed on full sets, 7 standard deviations below 0.8.
-LEAST_ESTIMATE = 0.535
+#: Share of equal minima that a pair needs to be confirmed on full sets, 5 standard deviations below 0.8.
+LEAST_ESTIMATE = 0.6
 #: Shingles of a block of a family: two blocks' sets are in a task's memory at once, 8 bytes a shingle.
-BLOCK_SHINGLES = 1_000_000
+BLOCK_SHINGLES = 500_000
+#: Pairs that are held before they are compared, 8 bytes each.
+PAIRS = 1_000_000
+#: A node of a graph of n edges with n / HUBS neighbours or more, 1,000 at least, is a hub: there are no more than 2 * HUBS of them.
+HUBS = 10_000
 #: Texts in buckets up to which their ids are sent to all executors, some 30 bytes each. Beyond, both sides are shuffled.
 MOST_BROADCAST = 1_000_000
 CHUNK = 1 << 20
@@ -153,7 +159,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     source = docs.select(F.col(id_col).cast(kind).alias("id"), F.col(text_col).alias("text"))
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             sets = shingle_sets(_bytes(b.column(1)), shingle)
             digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             distinct = {d: s for d, s in zip(digests, sets, strict=True) if d}
@@ -173,6 +179,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     dropped(shared)
 
     linked = _links(source, members, shingle, percent)
+    dropped(members)
     of_text = texts.join(linked, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     whole = rows.select("id", "n", "digest").join(of_text, "digest", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
@@ -182,40 +189,62 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _links(source: DataFrame, members: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(rep, component) of all texts that share a bucket with another.
 
-    Texts that buckets join, directly or over others, are a family; no pair that may be linked is split by it. A family's sets
-    meet in one task, a large one's in several, each with two of its blocks, so that every two of its texts meet once.
+    Texts that buckets join, directly or over others, are a family; no pair that may be linked is split by it. The sets of a
+    family of one block meet in one task.
     """
     pivots = members.groupBy("key").agg(F.max(F.struct("central", (-F.col("rep")).alias("minus"))).alias("p")).select("key", (-F.col("p.minus")).alias("pivot"))
     spokes = members.join(pivots, "key").where("rep != pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
-    families = stars(spokes).withColumnRenamed("component", "family")
-    known = members.groupBy("rep").agg(F.max("central").alias("central"), F.max("n").alias("n")).join(families, "rep", "left").withColumn("family", F.coalesce("family", "rep"))
-    sizes = known.groupBy("family").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    known = written(known.join(sizes, "family").select("rep", "family", "central", "blocks"), "known", thin=True)
-    few = known.count() <= MOST_BROADCAST
+    in_families = stars(spokes)
+    known = members.groupBy("rep").agg(F.max("central").alias("central"), F.max("n").alias("n")).join(in_families.withColumnRenamed("component", "family"), "rep", "left").withColumn("family", F.coalesce("family", "rep"))
+    known = written(known, "families")
+    dropped(in_families)
+    large = written(_blocks(known, "family", "n").where("blocks > 1"), "large")
+    small = _with_sets(source, known.join(F.broadcast(large) if large.count() <= MOST_BROADCAST else large, "family", "left_anti"), shingle)
+    small = small.select("family", F.lit(0).alias("low"), F.lit(0).alias("high"), "central", "id", F.lit(False).alias("core"), "shingles", "signature")
+    links = _compared(small, percent)
+    if large.limit(1).count():
+        links = links.unionByName(_large_families(source, known.join(large, "family"), shingle, percent))
+    out = stars(links)
+    dropped(known, large)
+    return out
+
+
+def _blocks(rows: DataFrame, by: str, size: str) -> DataFrame:
+    """(by, blocks): how many blocks the sets of each family make."""
+    return rows.groupBy(by).agg(F.ceil(F.sum(size) / F.lit(BLOCK_SHINGLES)).cast("int").alias("blocks"))
+
+
+def _with_sets(source: DataFrame, known: DataFrame, shingle: int) -> DataFrame:
+    """known (rep and more) as id and more, with shingles and signature, made from the texts anew."""
+    more = [f for f in known.schema.fields if f.name != "rep"]
+    names = ["id", *(f.name for f in more), "shingles", "signature"]
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             sets = shingle_sets(_bytes(b.column(1)), shingle)
             full = [k for k, s in enumerate(sets) if len(s)]
             if full:
                 signs = signatures([sets[k] for k in full])
-                rest = [b.column(c).take(pa.array(full, pa.int64())) for c in (0, 2, 3, 4)]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array([sets[k].tobytes() for k in full], pa.binary()), pa.array([s.tobytes() for s in signs], pa.binary())], names=["id", "family", "central", "blocks", "shingles", "signature"])
+                rest = [b.column(c).take(pa.array(full, pa.int64())) for c in (0, *range(2, 2 + len(more)))]
+                yield pa.RecordBatch.from_arrays([*rest, pa.array([sets[k].tobytes() for k in full], pa.binary()), pa.array([s.tobytes() for s in signs], pa.binary())], names=names)
+
+    few = known.count() <= MOST_BROADCAST
+    placed = source.join(F.broadcast(known) if few else known, F.col("id") == F.col("rep")).select("id", "text", *(f.name for f in more))
+    return placed.mapInArrow(sets_of, "id bigint, " + "".join(f"{f.name} {f.dataType.simpleString()}, " for f in more) + "shingles binary, signature binary")
 
-    placed = source.join(F.broadcast(known) if few else known, F.col("id") == F.col("rep")).select("id", "text", "family", "central", "blocks")
-    full = placed.mapInArrow(sets_of, "id bigint, family bigint, central bigint, blocks int, shingles binary, signature binary")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = full.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("family", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "central", "id", "shingles", "signature")
+
+def _compared(met: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of what meets at one (family, low, high); the most central texts come first."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
 
         def out() -> pa.RecordBatch:
-            pairs = confirmed([r[4] for r in held], [np.frombuffer(r[5], np.uint64) for r in held], np.array([np.frombuffer(r[6], np.uint32) for r in held]), percent)
+            core = np.array([r[5] for r in held])
+            pairs = confirmed([r[4] for r in held], [np.frombuffer(r[6], np.uint64) for r in held], np.array([np.frombuffer(r[7], np.uint32) for r in held]), percent, core)
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], names=["a", "b"])
 
-        for b in batches:
+        for b in sliced(batches, 6):
             for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if held and r[:3] != held[-1][:3]:
                     if len(held) > 1:
@@ -225,42 +254,145 @@ def _links(source: DataFrame, members: DataFrame, shingle: int, percent: int) ->
         if len(held) > 1:
             yield out()
 
-    n = parts(source.sparkSession)
-    met = dealt.repartition(n, "family", "low", "high").sortWithinPartitions("family", "low", "high", F.desc("central"), "id")
-    return stars(met.mapInArrow(compare, "a bigint, b bigint"))
+    n = parts(met.sparkSession)
+    dealt = met.repartition(n, "family", "low", "high").sortWithinPartitions("family", "low", "high", F.desc("central"), "id")
+    return dealt.mapInArrow(compare, "a bigint, b bigint")
 
 
-def confirmed(ids: list[int], sets: list[np.ndarray], signs: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links between texts, enough to join all that are linked directly or over others: each text that isn't yet in the
-    component of the first and most central one is compared with all outside its own. Estimates from signatures come first, full sets confirm."""
+def _large_families(source: DataFrame, large: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (a, b) of families of several blocks, known with rep, family, central, n, blocks.
+
+    Each block meets the family's most central text, so copies of it are joined at the cost of reading them once. What is left
+    asks: blocks of it meet all blocks, where texts that are joined already aren't compared with each other.
+    """
+    most = large.groupBy("family").agg(F.max(F.struct("central", (-F.col("rep")).alias("minus"))).alias("p")).select("family", (-F.col("p.minus")).alias("pivot"))
+    marked = written(large.join(most, "family").withColumn("first", F.col("rep") == F.col("pivot")), "marked")
+    own = lambda blocks: F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int")
+    all_of = lambda blocks: F.sequence(F.lit(0), F.col(blocks) - 1)
+    sets = _with_sets(source, marked.select("rep", "family", "blocks", "first"), shingle)
+    dealt = sets.withColumn("block", F.explode(F.when(F.col("first"), all_of("blocks")).otherwise(F.array(own("blocks")))))
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, pivot = None, (0, np.zeros(0, np.uint64))
+        for b in sliced(batches, 4):
+            out = []
+            for family, block, _, i, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                x = np.frombuffer(x, np.uint64)
+                if (family, block) != where:  # the pivot comes first
+                    where, pivot = (family, block), (i, x)
+                    continue
+                shared = len(np.intersect1d(x, pivot[1], assume_unique=True))
+                if 100 * shared >= percent * (len(x) + len(pivot[1]) - shared):
+                    out.append((i, pivot[0]))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+
+    n = parts(source.sparkSession)
+    dealt = dealt.select("family", "block", "first", "id", "shingles").repartition(n, "family", "block").sortWithinPartitions("family", "block", F.desc("first"))
+    to_pivot = written(dealt.mapInArrow(linked, "a bigint, b bigint"), "to-pivot")
+    # (rep, ...) with asks: not linked with the pivot.
+    asking = marked.join(to_pivot.select(F.col("a").alias("rep"), F.lit(False).alias("far")).distinct(), "rep", "left").withColumn("asks", ~F.col("first") & F.col("far").isNull())
+    some = _blocks(asking.where("asks"), "family", "n").withColumnRenamed("blocks", "asking")
+    asking = written(asking.join(some, "family").select("rep", "family", "central", "blocks", "asking", "asks"), "asking")
+    sets = _with_sets(source, asking, shingle)
+    base = F.transform(all_of("asking"), lambda j: F.struct(own("blocks").alias("low"), j.alias("high")))
+    asked = F.transform(all_of("blocks"), lambda k: F.struct(k.alias("low"), own("asking").alias("high")))
+    met = sets.withColumn("at", F.explode(F.array_distinct(F.when(F.col("asks"), F.concat(base, asked)).otherwise(base))))
+    return to_pivot.unionByName(_compared(met.select("family", "at.low", "at.high", "central", "id", (~F.col("asks")).alias("core"), "shingles", "signature"), percent))
+
+
+def confirmed(ids: list[int], sets: list[np.ndarray], signs: np.ndarray, percent: int, core: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links between texts, enough to join all that are linked directly or over others; those in core are joined already, those
+    of one id are one text. The first texts should be the most central ones.
+
+    Two steps: texts are compared with all others one by one, as long as that joins a good part of what is left; then those of
+    different components that share one of their rarest shingles. Where n shingles have to share a part p of the larger set, the
+    rarest n - ceil(p * n) + 1 of each of two linked sets have one in common.
+    """
     m = len(ids)
-    root = np.arange(m)  # every text's component; merged ones are renamed at once
     first: dict[int, int] = {}
-    for k, i in enumerate(ids):  # rows of one id are one
-        root[k] = first.setdefault(i, k)
+    root = np.array([first.setdefault(i, k) for k, i in enumerate(ids)])  # every text's component; merged ones are renamed at once
+    if core is not None and core.any():
+        root[np.isin(root, root[core])] = root[core][0]
     sizes = np.fromiter(map(len, sets), np.int64, m)
     tokens, place = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(m), sizes)
-    order = np.argsort(place, kind="stable")
-    starts = np.searchsorted(place[order], np.arange(len(tokens) + 1))
-    by_token, offsets = owner[order], np.r_[0, np.cumsum(sizes)]
-    least, out = int(LEAST_ESTIMATE * BANDS * ROWS), []
-    for k in range(m):
-        # Of two texts in different components in the end, one isn't in that of the first text and has been compared with all.
-        if k and root[k] == root[0]:
-            continue
-        likely = ((signs == signs[k]).sum(1) >= least) & (root != root[k])
-        if not likely.any():
+    owner, offsets = np.repeat(np.arange(m), sizes), np.r_[0, np.cumsum(sizes)]
+    mine, out = np.zeros(len(tokens), bool), []
+
+    def compare(x: int, others: np.ndarray) -> None:
+        """Links of a text with some of other components; only estimates that come near enough are looked into."""
+        others = others[(signs[others] == signs[x]).sum(1) >= LEAST_ESTIMATE * BANDS * ROWS]
+        if not len(others):
+            return
+        n = sizes[others]
+        ends = np.cumsum(n)
+        flat = np.arange(ends[-1]) + np.repeat(offsets[others] - (ends - n), n)
+        own = place[offsets[x] : offsets[x + 1]]
+        mine[own] = True
+        shared = np.add.reduceat(mine[place[flat]].astype(np.int64), ends - n)
+        mine[own] = False
+        for y in others[100 * shared >= percent * (n + sizes[x] - shared)].tolist():
+            if root[y] != root[x]:
+                out.append((ids[x], ids[y]))
+                root[root == root[y]] = root[x]
+
+    alone, at = np.ones(m, bool), 0
+    while True:
+        left = int(alone.sum())
+        compare(at, np.flatnonzero(root != root[at]))
+        alone &= root != root[at]
+        alone[: at + 1] = False
+        rest = np.flatnonzero(alone)
+        if not len(rest) or (left - len(rest)) * 16 < left:
+            break
+        at = int(rest[0])
+    if m == 2 or not (root != root[0]).any():
+        return out
+
+    count = np.bincount(place)
+    order = np.lexsort((place, count[place], owner))
+    within = np.arange(len(order)) - offsets[owner[order]]
+    prefix = sizes - -(-percent * sizes // 100) + 1
+    some = order[(within < prefix[owner[order]]) & (count[place[order]] > 1)]
+    if not len(some):
+        return out
+    some = some[np.argsort(place[some], kind="stable")]
+    token, text = place[some], owner[some]
+    starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+    ends = np.r_[starts[1:], len(token)]
+    mixed = np.flatnonzero(np.minimum.reduceat(root[text], starts) != np.maximum.reduceat(root[text], starts))
+    held: list[np.ndarray] = []
+    size = 0
+
+    def settle() -> None:
+        """Compares the pairs that are held, each once."""
+        nonlocal held, size
+        pairs = np.unique(np.concatenate(held))
+        held, size = [], 0
+        x, y = pairs // m, pairs % m
+        cuts = np.r_[np.flatnonzero(np.r_[True, x[1:] != x[:-1]]), len(x)]
+        for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            k, others = int(x[a]), y[a:z]
+            others = others[(root[others] != root[k]) & (100 * np.minimum(sizes[others], sizes[k]) >= percent * np.maximum(sizes[others], sizes[k]))]
+            if len(others):
+                compare(k, others)
+
+    for g in mixed.tolist():
+        members = text[starts[g] : ends[g]]
+        of = root[members]
+        kinds, which, n = np.unique(of, return_inverse=True, return_counts=True)
+        if len(kinds) < 2:
             continue
-        mine = place[offsets[k] : offsets[k + 1]]
-        shared = np.zeros(m, np.int64)
-        for t in mine:
-            shared[by_token[starts[t] : starts[t + 1]]] += 1
-        linked = np.flatnonzero(likely & (100 * shared >= percent * (sizes + sizes[k] - shared)))
-        for x in linked.tolist():
-            if root[x] != root[k]:
-                out.append((ids[k], ids[x]))
-                root[root == root[x]] = root[k]
+        most = int(n.argmax())
+        whole, few = members[which == most], np.flatnonzero(which != most)
+        for k in few.tolist():  # with all of the largest component, and with later ones of other components
+            later = few[few > k]
+            against = np.concatenate([whole, members[later[of[later] != of[k]]]])
+            held.append(np.minimum(members[k], against) * m + np.maximum(members[k], against))
+            size += len(against)
+            if size > PAIRS:
+                settle()
+    if held:
+        settle()
     return out
 
 
@@ -268,23 +400,34 @@ def stars(links: DataFrame) -> DataFrame:
     """(rep, component) of all nodes of links (a, b): the smallest node of each connected component.
 
     A large-star step hangs each node's larger neighbours on the smallest node next to it, a small-star step its smaller ones
-    and itself; both keep components. They alternate until every edge leads from a node to its one root.
+    and itself; both keep components. They alternate until every edge leads from a node to its one root. Edges of hubs are met
+    by a broadcast join, so they stay spread over tasks.
     """
-    edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges", thin=True)
-    while edges.limit(1).count():
+    edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
+
+    def hung(on: DataFrame, least: DataFrame) -> DataFrame:
+        """Edges with the m of their a."""
+        hub = max(1_000, n_edges // HUBS)
+        few = F.broadcast(least.where(F.col("n") >= hub).select("a", "m"))
+        rest = on.join(F.broadcast(least.where(F.col("n") >= hub).select("a")), "a", "left_anti").join(least.where(F.col("n") < hub).select("a", "m"), "a")
+        return on.join(few, "a").unionByName(rest)
+
+    while n_edges := edges.count():
         parents = edges.groupBy("a").agg(F.count("*").alias("n"))
         if not edges.select(F.col("b").alias("a")).join(parents, "a", "left_semi").limit(1).count() and not parents.where("n > 1").limit(1).count():
             break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = written(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large", thin=True)
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.withColumnRenamed("m", "b"))
-        old, edges = edges, written(small.where("a != b").distinct(), "edges", thin=True)
-        dropped(old)
-        dropped(large)
+        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n")), "least")
+        large = written(hung(both, least).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "star")
+        dropped(edges, least)
+        least = written(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "least")
+        small = hung(large, least).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        edges = written(small.where("a != b").distinct(), "edges")
+        dropped(large, least)
     roots = edges.select(F.col("b").alias("rep")).distinct().withColumn("component", F.col("rep"))
-    return written(edges.select(F.col("a").alias("rep"), F.col("b").alias("component")).unionByName(roots), "found", thin=True)
+    out = written(edges.select(F.col("a").alias("rep"), F.col("b").alias("component")).unionByName(roots), "found")
+    dropped(edges)
+    return out
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
