@@ -1,5 +1,6 @@
 import hashlib
 import itertools
+import os
 import random
 import re
 from collections import Counter
@@ -40,7 +41,7 @@ OPERATORS = {
     "tokens": lambda s, d: token_counts.token_counts(d, store_prefixes=True),
     "suffix": lambda s, d: suffix_dedup.deduplicated(d),
     "bpe": lambda s, d: bpe_codec.encode(d),
-    "toxicity": lambda s, d: toxicity.scored(d.drop("score"), toxicity.train(d, s.createDataFrame([(1, 1), (3, None), (None, 1)], "doc_id bigint, toxic int"))),
+    "toxicity": lambda s, d: toxicity.scored(d, toxicity.train(d, s.createDataFrame([(1, 1), (3, None), (None, 1)], "doc_id bigint, toxic int"))),
     "minhash": lambda s, d: minhash.components(d),
     "sharding": lambda s, d: sharding.shards(d),
 }
@@ -300,15 +301,36 @@ def test_removal_on_documents_equals_brute_force(spark, sf):
 # --- 7
 
 
-def test_toxicity_on_held_out_rows(spark):
-    sf = "/root/testdata/sf0.1"
+def test_toxicity_on_held_out_rows(spark, sf):
+    sf = os.path.join(os.path.dirname(sf.rstrip("/")), "sf0.1")
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     got = toxicity.op7_toxicity(spark, sf).collect()
     assert len(got) == 10_000 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) and r["held_out"] == (crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
-    held = [(labels[r["doc_id"]], r["predicted"]) for r in got if r["held_out"] and r["doc_id"] in labels]
-    recall = sum(p for y, p in held if y) / sum(y for y, _ in held)
-    false = sum(p for y, p in held if not y) / sum(1 - y for y, _ in held)
-    assert recall > 0.8 and false < 0.02
+    held = [(labels[r["doc_id"]], r["predicted"], r["score"]) for r in got if r["held_out"] and r["doc_id"] in labels]
+    recall = sum(p for y, p, _ in held if y) / sum(y for y, _, _ in held)
+    false = sum(p for y, p, _ in held if not y) / sum(1 - y for y, _, _ in held)
+    toxic, other = ([s for y, _, s in held if y == k] for k in (1, 0))
+    auc = np.mean([(t > np.array(other)).mean() + (t == np.array(other)).mean() / 2 for t in toxic])
+    assert recall > 0.8 and false < 0.02 and auc > 0.94
+
+
+def test_scores_are_those_of_the_classifier_that_the_risk_was_minimised_for():
+    r = np.random.default_rng(4)
+    doc = lambda own: np.unique(np.append(r.integers(100, 4000, 30), own)).astype(np.uint32)
+    positives = [doc(r.integers(0, 5, 2)) for _ in range(80)]
+    unlabelled = [doc(r.integers(0, 5, 2)) for _ in range(60)] + [doc([]) for _ in range(540)]
+    model = toxicity.fit(positives, unlabelled, 0.1)
+    assert len(set(range(5)) & set(model.weights)) >= 4 and min(model.weights.values()) >= 0
+    # What scores is what was minimised: leaving out or moving weights makes the penalised risk larger.
+    names = np.array(sorted(model.weights), np.uint32)
+    risk, penalty = toxicity.Risk(positives, unlabelled, 0.1, names), 0.3 * toxicity.PENALTY * 0.1 / 80
+    w = risk.minimised(np.append([model.weights[int(k)] for k in names], model.bias), penalty, 400)
+    assert all(risk(w)[0] + penalty * w[:-1].sum() <= risk(x)[0] + penalty * x[:-1].sum() for x in (np.append(w[:-1] * k, w[-1]) for k in (0, 0.5, 1.5)))
+    assert np.abs(w[:-1] - [model.weights[int(k)] for k in names]).max() < 0.5
+    z = [model.bias + sum(model.weights[f] for f in d.tolist() if f in model.weights) for d in positives + unlabelled]
+    called = np.array(z) >= 0
+    assert called[:80].mean() > 0.9 and called[140:].mean() < 0.05
+    assert toxicity.fit([], unlabelled, 0.1).weights == {} and toxicity.fit(positives, [], 0.1).weights == {}
 
 
 # --- 8
