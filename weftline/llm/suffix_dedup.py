@@ -1,9 +1,9 @@
 """Removal of repeated passages: every byte in a string of 100 bytes that also starts earlier in the corpus.
 
 Of each 100-byte window one place is chosen by its content, that of the smallest hash of 24 bytes in it, so equal windows
-choose alike. Windows that share their place form a stretch of text. Stretches that are equal are found by their hashes: all
-but the first are removed. Stretches that are unlike but meet at one place may hold equal windows: what stands right and left
-of the place is put in suffix order by deep-shallow sorting, and common prefixes of neighbours tell which windows are equal.
+choose alike. Where several windows chose places of one hash, the suffixes that start there and the reversed text before them are
+put in order by deep-shallow sorting; prefixes that neighbours have in common tell which windows are equal, and all but the first
+are removed. Suffixes are dealt to tasks by that hash; where too many share it, by more and more of their own bytes.
 """
 
 from __future__ import annotations
@@ -16,23 +16,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts, table, written
+from .common import dropped, ordered_numbers, parts, sliced, table, written
 from .deep_shallow import deep_shallow
 from .minhash import _BYTES, _bytes, _mixed, _powers
 
 LENGTH, GRAM = 100, 24
 #: Places in a window.
 PLACES = LENGTH - GRAM + 1
-#: Stretches that are compared in one place by suffix order; where more meet, their windows are dealt by content first.
+#: Suffixes that one task puts in order together, at most, some 200 bytes each; where more share their bytes, they are dealt by more of them.
 MOST_MEETING = 50_000
 #: Documents whose ids are sent to all executors, 8 bytes each. Beyond, both sides are shuffled.
 MOST_BROADCAST = 1_000_000
 CHUNK = 1 << 20
 
 
-def stretches(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """For all stretches of some texts: text number, place, windows before the place, windows in all less one, hash at the
-    place, hash of the stretch."""
+def places(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """All places that windows of some texts choose: text number, place, hash of the 24 bytes there."""
     out, at = [], 0
     while at < len(texts):
         size, end = len(texts[at]), at + 1
@@ -41,16 +40,15 @@ def stretches(texts: list[bytes]) -> tuple[np.ndarray, ...]:
             end += 1
         out.append(_chunk(texts[at:end], at))
         at = end
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else tuple(np.zeros(0, np.int64) for _ in range(6))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
 def _chunk(texts: list[bytes], first: int) -> tuple[np.ndarray, ...]:
     sizes = np.array([len(t) for t in texts], np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
     n = len(data)
-    none = tuple(np.zeros(0, np.int64) for _ in range(4)) + tuple(np.zeros(0, np.uint64) for _ in range(2))
     if n < LENGTH or sizes.max() < LENGTH:
-        return none
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     ends = np.cumsum(sizes)
     up, down = _powers.of(max(n + 1, CHUNK))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[data] * up[:n])])
@@ -64,23 +62,26 @@ def _chunk(texts: list[bytes], first: int) -> tuple[np.ndarray, ...]:
         reach *= 2
     best = np.minimum(best[: len(best) - (PLACES - reach)], best[PLACES - reach :])
     place = (best & low).astype(np.int64)
-    window = np.arange(len(place))
-    owner = np.repeat(np.arange(len(texts)), sizes)[window]
-    inside = window + LENGTH <= ends[owner]
-    window, place, owner = window[inside], place[inside], owner[inside]
-    new = np.r_[True, (place[1:] != place[:-1]) | (owner[1:] != owner[:-1]) | (window[1:] != window[:-1] + 1)]
-    starts = np.flatnonzero(new)
-    lasts = np.r_[starts[1:], len(window)] - 1
-    a, z, p, o = window[starts], window[lasts], place[starts], owner[starts]
-    whole = (total[z + LENGTH] - total[a]) * down[a]
-    stretch = _mixed(_mixed(whole + (p - a).astype(np.uint64)) + (z - a).astype(np.uint64))
-    return o + first, p - (ends - sizes)[o], p - a, z - a, gram[p], stretch
+    owner = np.repeat(np.arange(len(texts)), sizes)[: len(place)]
+    inside = np.arange(len(place)) + LENGTH <= ends[owner]
+    place = np.unique(place[inside])  # no window crosses texts, so a place has one owner
+    owner = np.searchsorted(ends, place, side="right")
+    return owner + first, place - (ends - sizes)[owner], gram[place]
 
 
 def repeated_in(lefts: list[bytes], rights: list[bytes]) -> list[tuple[int, int, int]]:
-    """Of places with the same bytes to come first (in order of the corpus): (number, lo, hi) for runs of windows that start lo to
-    hi bytes before the place and also stand around an earlier place."""
+    """Of places, in order of the corpus: (number, lo, hi) for runs of windows that start lo to hi bytes before the place and also
+    stand around an earlier place."""
     m = len(lefts)
+    first: dict[tuple[bytes, bytes], int] = {}
+    heads = [first.setdefault(x, k) for k, x in enumerate(zip(lefts, rights, strict=True))]
+    # What has the same text around it as an earlier place is gone as far as windows reach; the rest is put in order.
+    out = [(k, lo, hi) for k, h in enumerate(heads) if h != k and (lo := max(0, LENGTH - len(rights[k]))) <= (hi := min(PLACES - 1, len(lefts[k])))]
+    which = np.fromiter(first.values(), np.int64, len(first))
+    m = len(which)
+    if m < 2:
+        return out
+    lefts, rights = [lefts[k] for k in which.tolist()], [rights[k] for k in which.tolist()]
     order_r, common_r = deep_shallow(rights)
     order_l, common_l = deep_shallow([x[::-1] for x in lefts])
     size_r, size_l = (np.fromiter(map(len, x), np.int64, m) for x in (rights, lefts))
@@ -91,12 +92,12 @@ def repeated_in(lefts: list[bytes], rights: list[bytes]) -> list[tuple[int, int,
         class_l[order_l] = np.cumsum(common_l < back) if back else 0
         can = np.flatnonzero((size_r >= LENGTH - back) & (size_l >= back))
         if len(can) > 1:
-            _, head, which = np.unique(class_r[can] * (m + 1) + class_l[can], return_index=True, return_inverse=True)
-            gone[can, back] = head[which] != np.arange(len(can))
+            _, head, of = np.unique(class_r[can] * (m + 1) + class_l[can], return_index=True, return_inverse=True)
+            gone[can, back] = head[of] != np.arange(len(can))
     step = np.diff(np.pad(gone.astype(np.int8), ((0, 0), (1, 0))), axis=1)
     rows, lo = np.nonzero(step == 1)
     _, hi = np.nonzero(step == -1)
-    return list(zip(rows.tolist(), lo.tolist(), (hi - 1).tolist(), strict=True))
+    return out + list(zip(which[rows].tolist(), lo.tolist(), (hi - 1).tolist(), strict=True))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_meeting: int = MOST_MEETING) -> DataFrame:
@@ -118,106 +119,43 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         facts = facts.withColumn("doc", F.col("id").cast("long"))
         source = source.select(F.col("id").cast("long").alias("doc"), "raw")
     else:
-        facts = written(_in_order(facts), "ordered")
+        facts = ordered_numbers(facts, ["id", "sha"], "doc")
         keys = facts.groupBy("id", "sha").agg(F.min("doc").alias("doc"))
         source = source.alias("s").join(keys.alias("k"), F.expr("s.id <=> k.id and sha2(s.raw, 256) = k.sha")).select("doc", "raw").dropDuplicates(["doc"])
     firsts = facts.groupBy("sha").agg(F.min("doc").alias("first"))
     facts = written(facts.join(firsts, "sha").withColumn("copy", F.col("doc") != F.col("first")).drop("first"), "copies")
 
+    def texts(ids: DataFrame, how: str) -> DataFrame:
+        """The rows of source with, or without, these ids."""
+        few = ids.count() <= MOST_BROADCAST
+        return source.join(F.broadcast(ids) if few else ids, "doc", how)
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            # Copies within a batch add nothing.
-            best: dict[bytes, int] = {}
-            for doc, t in zip(b.column(0).to_pylist(), _bytes(b.column(1)), strict=True):
-                if len(t) >= LENGTH:
-                    best[t] = min(doc, best.get(t, doc))
-            texts = list(best)
-            owner, place, before, span, h, s = stretches(texts)
-            loc = (np.fromiter(best.values(), np.int64, len(texts))[owner] << bits) + place if len(texts) else np.zeros(0, np.int64)
-            meta = (before << 8) + span
-            order = np.lexsort((loc, s, h))
-            h, s, loc, meta = h[order].view(np.int64), s[order].view(np.int64), loc[order], meta[order]
-            later = np.r_[False, (h[1:] == h[:-1]) & (s[1:] == s[:-1])] if len(h) else np.zeros(0, bool)
-            # What isn't the first of its kind here is none anywhere: it only passes through, spread evenly.
-            h = np.where(later, _mixed(loc.view(np.uint64)).view(np.int64), h)
-            meta = np.where(later, -1 - meta, meta)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(s), pa.array(loc), pa.array(meta.astype(np.int32))], names=["h", "s", "loc", "meta"])
-
-    def firsts_and_meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by h, s, loc. Out: (null, start, size) to remove; (h, place, null) of first stretches that meet others."""
-        held = None  # the last first stretch: h, s, loc, whether another of its place came before
-
-        def out(h, loc, size):
-            return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(loc, pa.int64()), pa.array(size, pa.int32())], names=["h", "at", "size"])
-
-        for b in batches:
-            h, s, loc, meta = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-            through = meta < 0
-            real = np.where(through, -1 - meta, meta)
-            start, size = loc - (real >> 8), (real & 255) + LENGTH
-            live = np.flatnonzero(~through)
-            lh, ls, ll = h[live], s[live], loc[live]
-            before_h, before_s = np.r_[held[0] if held else 0, lh[:-1]], np.r_[held[1] if held else 0, ls[:-1]]
-            same_h, same_s = lh == before_h, ls == before_s
-            if not held and len(same_h):
-                same_h[0] = False
-            again = same_h & same_s
-            gone = np.r_[np.flatnonzero(through), live[again]]
-            yield out([None] * len(gone), start[gone], size[gone])
-            new = np.flatnonzero(~again)
-            if len(new):
-                nh, nl, prior = lh[new], ll[new], same_h[new]
-                if held and prior[0] and not held[3]:
-                    yield out([held[0]], [held[2]], [None])
-                follow = np.r_[prior[1:], False]
-                meets = prior | follow
-                yield out(nh[meets], nl[meets], [None] * int(meets.sum()))
-                held = (nh[-1], ls[new[-1]], nl[-1], bool(meets[-1]))
-
-    found = source.mapInArrow(find, "h bigint, s bigint, loc bigint, meta int").repartition(parts(spark), "h").sortWithinPartitions("h", "s", "loc")
-    found = written(found.mapInArrow(firsts_and_meetings, "h bigint, at bigint, size int"), "stretches")
+        for b in sliced(batches):
+            owner, place, h = places(_bytes(b.column(1)))
+            doc = b.column(0).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array((doc[owner] << bits) + place)], names=["h", "at"])
+
     doc_of = lambda c: F.shiftright(c, bits)
     place_of = lambda c: F.col(c).bitwiseAND(F.lit((1 << bits) - 1))
-    meeting, gone = found.where("size is null").select("h", "at"), found.where("size is not null").select("at", "size")
-
-    def texts_of(ids: DataFrame) -> DataFrame:
-        """The rows of source with these ids."""
-        few = ids.count() <= MOST_BROADCAST
-        return source.join(F.broadcast(ids) if few else ids, "doc", "left_semi")
-
+    copies = written(facts.where(F.col("copy") & (F.col("n_bytes") >= LENGTH)).select("doc"), "copied")
+    found = written(texts(copies, "left_anti").select("doc", "raw").mapInArrow(find, "h bigint, at bigint"), "places")
+    sizes = written(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "meeting")
     # A text's own places are as many as its size allows.
-    wanted = meeting.groupBy(doc_of("at").alias("doc")).agg(F.collect_list(F.struct("h", place_of("at").cast("int").alias("place"))).alias("places"))
-    wanted = written(wanted, "places")
-    around = texts_of(wanted.select("doc")).join(wanted, "doc").mapInArrow(_around, "h bigint, doc bigint, place int, left binary, right binary")
-    around = written(around.withColumn("at", F.shiftleft("doc", bits) + F.col("place")).select("h", "at", "left", "right"), "around")
-    crowds = around.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > most_meeting).select("h")
-    crowds = written(crowds, "crowds")
-    crowded = bool(crowds.limit(1).count())
-    small = around.join(crowds, "h", "left_anti") if crowded else around
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def judged(rows: list) -> pa.RecordBatch:
-            rows.sort(key=lambda r: r[1])
-            runs = repeated_in([r[2] for r in rows], [r[3] for r in rows])
-            return pa.RecordBatch.from_arrays([pa.array([rows[k][1] - hi for k, _, hi in runs], pa.int64()), pa.array([LENGTH + hi - lo for _, lo, hi in runs], pa.int32())], names=["at", "size"])
-
-        held: list = []
-        for b in batches:
-            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if len(held) >= 20_000 and r[0] != held[-1][0]:
-                    yield judged(held)
-                    held = []
-                held.append(r)
-        if held:
-            yield judged(held)
-
-    more = small.repartition(parts(spark), "h").sortWithinPartitions("h").mapInArrow(compare, "at bigint, size int")
-    gone = gone.unionByName(more)
-    if crowded:
-        gone = gone.unionByName(_by_content(around.join(crowds, "h", "left_semi")))
+    wanted = found.join(sizes, "h").groupBy(doc_of("at").alias("doc")).agg(F.collect_list(F.struct("h", place_of("at").cast("int").alias("place"))).alias("places"))
+    wanted = written(wanted, "wanted")
+    dropped(found)
+    around = texts(wanted.select("doc"), "left_semi").join(wanted, "doc").select("doc", "raw", "places").mapInArrow(_around, "h bigint, doc bigint, place int, left binary, right binary")
+    around = around.select("h", (F.shiftleft("doc", bits) + F.col("place")).alias("at"), "left", "right")
+    crowds = written(sizes.where(F.col("n") > most_meeting).select("h"), "crowds")
+    if crowds.limit(1).count():
+        around = written(around, "around")
+        gone = _in_suffix_order(around.join(F.broadcast(crowds) if crowds.count() <= MOST_BROADCAST else crowds, "h", "left_anti"))
+        gone = gone.unionByName(_crowded(around.join(crowds, "h", "left_semi"), most_meeting))
+    else:
+        gone = _in_suffix_order(around)
     spans = written(gone.groupBy(doc_of("at").alias("doc")).agg(F.collect_list(F.struct(place_of("at").cast("int").alias("at"), "size")).alias("spans")), "spans")
-    real = spans.join(facts.where("not copy").select("doc"), "doc", "left_semi")
-    cut = texts_of(real.select("doc")).join(real, "doc").mapInArrow(_cut, "doc bigint, n_removed bigint, n_spans bigint, kept string")
+    cut = texts(spans.select("doc"), "left_semi").join(spans, "doc").select("doc", "raw", "spans").mapInArrow(_cut, "doc bigint, n_removed bigint, n_spans bigint, kept string")
     whole = facts.join(cut, "doc", "left")
     copied = F.col("copy") & (F.col("n_bytes") >= LENGTH)
     return whole.select(
@@ -231,7 +169,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of (doc, raw, places): what stands around each place."""
-    for b in batches:
+    for b in sliced(batches):
         h, doc, place, left, right = [], [], [], [], []
         for d, t, places in zip(b.column(0).to_pylist(), _bytes(b.column(1)), b.column(2).to_pylist(), strict=True):
             for x in places:
@@ -246,7 +184,7 @@ def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of (doc, raw, spans): what is left."""
-    for b in batches:
+    for b in sliced(batches):
         out = []
         for d, t, spans in zip(b.column(0).to_pylist(), _bytes(b.column(1)), b.column(2).to_pylist(), strict=True):
             kept, at, n = [], 0, 0
@@ -261,28 +199,55 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [()] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["doc", "n_removed", "n_spans", "kept"])
 
 
-def _by_content(around: DataFrame) -> DataFrame:
-    """As the comparison in suffix order, for places where very many stretches meet: windows are grouped by their content, in
-    aggregates that are summed before they are dealt, so no task gets a crowd."""
-    backs = F.sequence(F.greatest(F.lit(0), F.lit(LENGTH) - F.octet_length("right")), F.least(F.lit(PLACES - 1), F.octet_length("left")))
-    each = around.where(F.octet_length("left") + F.octet_length("right") >= LENGTH).select("at", "left", "right", F.explode(backs).alias("back"))
-    content = F.md5(F.concat(F.substr("left", F.octet_length("left") - F.col("back") + 1, F.col("back")), F.substr("right", F.lit(1), F.lit(LENGTH) - F.col("back"))))
-    windows = written(each.select((F.col("at") - F.col("back")).alias("at"), content.alias("content")), "windows")
-    first = windows.groupBy("content").agg(F.min("at").alias("first"))
-    return windows.join(first, "content").where("at != first").select("at", F.lit(LENGTH).alias("size"))
-
-
-def _in_order(facts: DataFrame) -> DataFrame:
-    """Adds doc, numbers without gaps by id and hash of the text."""
-    spark = facts.sparkSession
-    rows = written(facts.repartitionByRange(parts(spark), "id", "sha").sortWithinPartitions("id", "sha").withColumn("row", F.monotonically_increasing_id()), "rows")
-    part, within = F.shiftright("row", 33), F.col("row").bitwiseAND(F.lit((1 << 33) - 1))
-    first, n = [], 0
-    for r in sorted(rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect(), key=lambda r: r["part"]):
-        first.append((r["part"], n))
-        n += r["n"]
-    starts = spark.createDataFrame(first, "part bigint, start bigint")
-    return rows.withColumn("part", part).join(F.broadcast(starts), "part").withColumn("doc", F.col("start") + within).drop("part", "start", "row")
+def _in_suffix_order(around: DataFrame) -> DataFrame:
+    """(at, size): what to remove, of suffixes (h, at, left, right) that are few for each h."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def judged(rows: list) -> pa.RecordBatch:
+            rows = [*{r[1]: r for r in sorted(rows, key=lambda r: r[1])}.values()]  # a suffix may be in two groups
+            runs = repeated_in([r[2] for r in rows], [r[3] for r in rows])
+            return pa.RecordBatch.from_arrays([pa.array([rows[k][1] - hi for k, _, hi in runs], pa.int64()), pa.array([LENGTH + hi - lo for _, lo, hi in runs], pa.int32())], names=["at", "size"])
+
+        held: list = []
+        for b in sliced(batches, 3):
+            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if len(held) >= 10_000 and r[0] != held[-1][0]:
+                    yield judged(held)
+                    held = []
+                held.append(r)
+        if held:
+            yield judged(held)
+
+    return around.repartition(parts(around.sparkSession), "h").sortWithinPartitions("h").mapInArrow(compare, "at bigint, size int")
+
+
+def _crowded(around: DataFrame, most_meeting: int) -> DataFrame:
+    """As _in_suffix_order, where very many suffixes share an h.
+
+    Those with the same text around them count once. The others are dealt by more of their bytes: of two that share a window of
+    100 bytes, and r bytes on the right and l on the left for certain, either half of what is missing is shared on the right, or
+    else enough on the left. Groups that are small enough are put in order; where all 100 bytes are the key, the first one stays.
+    """
+    first = written(around.groupBy("h", "left", "right").agg(F.min("at").alias("first")), "first-of-crowd")
+    reach = F.least(F.lit(PLACES - 1), F.octet_length("left")), F.greatest(F.lit(0), F.lit(LENGTH) - F.octet_length("right"))
+    again = around.join(first, ["h", "left", "right"]).where((F.col("at") != F.col("first")) & (reach[0] >= reach[1]))
+    gone = again.select((F.col("at") - reach[0]).alias("at"), (F.lit(LENGTH) + reach[0] - reach[1]).cast("int").alias("size"))
+    rows = first.select("h", F.col("first").alias("at"), "left", "right", F.lit(GRAM).alias("r"), F.lit(0).alias("l"))
+    while True:
+        more = F.col("r") + F.ceil((F.lit(LENGTH) - F.col("r") - F.col("l")) / 2).cast("int")
+        ways = F.array(F.struct(more.alias("r"), F.col("l").alias("l")), F.struct(F.col("r").alias("r"), (F.lit(LENGTH + 1) - more).alias("l")))
+        dealt = rows.withColumn("way", F.explode(ways)).select("h", "at", "left", "right", "way.r", "way.l").where((F.octet_length("right") >= F.col("r")) & (F.octet_length("left") >= F.col("l")))
+        key = F.concat(F.substr("left", F.octet_length("left") - F.col("l") + 1, F.col("l")), F.substr("right", F.lit(1), F.col("r")))
+        dealt = written(dealt.withColumn("key", key), "dealt")
+        whole = dealt.where(F.col("r") + F.col("l") == LENGTH)
+        least = whole.groupBy("key", "l").agg(F.min("at").alias("first"))
+        gone = gone.unionByName(whole.join(least, ["key", "l"]).where("at != first").select((F.col("at") - F.col("l")).alias("at"), F.lit(LENGTH).alias("size")))
+        sizes = written(dealt.where(F.col("r") + F.col("l") < LENGTH).groupBy("key", "r", "l").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+        grouped = dealt.join(sizes, ["key", "r", "l"])
+        gone = gone.unionByName(_in_suffix_order(grouped.where(F.col("n") <= most_meeting).select(F.xxhash64("key", "r", "l").alias("h"), "at", "left", "right")))
+        if not sizes.where(F.col("n") > most_meeting).limit(1).count():
+            return gone
+        rows = grouped.where(F.col("n") > most_meeting).select("h", "at", "left", "right", "r", "l")
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
