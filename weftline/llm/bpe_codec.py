@@ -157,16 +157,13 @@ def _coded(docs: DataFrame, id_col: str, text_col: str, path: str | None, fields
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        try:
-            for b in sliced(batches):
-                codes = [c.codes(t or "") for t in b.column(1).to_pylist()]
-                c.learn()
-                columns = list(zip(*(row(*c.joined(x)) for x in codes), strict=True)) or [()] * len(fields)
-                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, t) for x, (_, t, _) in zip(columns, fields, strict=True))], names=[id_col, *(f[0] for f in fields)])
-                if c.index.full:
-                    c.reset()
-        finally:  # the worker lives on, for other stages
-            c.reset()
+        for b in sliced(batches):
+            codes = [c.codes(t or "") for t in b.column(1).to_pylist()]
+            c.learn()
+            columns = list(zip(*(row(*c.joined(x)) for x in codes), strict=True)) or [()] * len(fields)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, t) for x, (_, t, _) in zip(columns, fields, strict=True))], names=[id_col, *(f[0] for f in fields)])
+            if c.index.full:
+                c.reset()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{n} {s}" for n, _, s in fields))

@@ -95,7 +95,7 @@ class ByteBpe:
 
 
 #: Bytes that a worker's known pieces and their results may take, roughly; beyond, it starts anew. Results don't depend on it.
-CACHE_BYTES = 48 << 20
+CACHE_BYTES = 96 << 20
 #: Of a known piece: its entries in tables and lists, and what each of its characters adds to them.
 PIECE_BYTES, CHARACTER_BYTES = 320, 8
 

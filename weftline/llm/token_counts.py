@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .byte_bpe import CONTRACTIONS, ByteBpe, PieceIndex, default_path, load, pieces
 from .common import sliced, table, written
 
+#: Bytes of text that are counted at a time: a pass takes all fresh pieces of one length at once, the more the better.
+SLICE = 8 << 20
 #: In the tree of token bytes, the key of the token that ends at a node.
 TOKEN = -1
 #: What a piece is: a contraction, white space alone, one that begins with white space.
@@ -136,7 +138,7 @@ class PrefixCounter:
         by: dict[int, list[int]] = {}
         for k, b in enumerate(raw):
             by.setdefault(len(b), []).append(k)
-        new: list[bytes] = [b""] * len(fresh)
+        new, total = [b""] * len(fresh), np.zeros(len(fresh), np.int64)
         for n, where in by.items():
             step = max(1, 1_000_000 // n)
             for at in range(0, len(where), step):
@@ -144,17 +146,23 @@ class PrefixCounter:
                 if len(some) * 4 <= n:
                     for k in some:
                         new[k] = self._count(fresh[k])
+                        total[k] = sum(array("b", new[k]))
                     continue
                 counts = self._pass([raw[k] for k in some])
-                steps = np.diff(counts, axis=1).astype(np.int8)
-                for k, count, by_byte in zip(some, counts, steps, strict=True):
-                    if len(fresh[k]) == n:
-                        new[k] = by_byte.tobytes()
-                    else:  # a code point ends where no byte that continues it follows
-                        ends = np.flatnonzero((np.append(np.frombuffer(raw[k], np.uint8)[1:], 0) & 0xC0) != 0x80) + 1
-                        new[k] = np.diff(count[ends], prepend=0).astype(np.int8).tobytes()
+                total[some] = counts[:, -1]
+                # A code point ends where no byte that continues it follows.
+                data = np.frombuffer(b"".join([raw[k] for k in some]), np.uint8).reshape(len(some), n)
+                ends = np.column_stack([(data[:, 1:] & 0xC0) != 0x80, np.ones(len(some), bool)])
+                size = ends.sum(1)
+                stop = np.cumsum(size)
+                flat = counts[:, 1:][ends]
+                before = np.r_[0, flat[:-1]]
+                before[stop - size] = 0
+                steps = (flat - before).astype(np.int8).tobytes()
+                for k, a, z in zip(some, (stop - size).tolist(), stop.tolist(), strict=True):
+                    new[k] = steps[a:z]
         self.known += new
-        self.totals = np.append(self.totals, [int(np.frombuffer(d, np.int8).sum(dtype=np.int64)) for d in new])
+        self.totals = np.append(self.totals, total)
         kinds = [CONTRACTION * (p in CONTRACTIONS) | BLANK * p.isspace() | BLANK_FIRST * p[0].isspace() for p in fresh]
         self.kinds = np.append(self.kinds, np.array(kinds, np.uint8))
 
@@ -296,19 +304,16 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
-        try:
-            for b in sliced(batches):
-                texts = [t or "" for t in b.column(1).to_pylist()]
-                size = [len(s.encode()) for s in texts]
-                kept = c.prefix_deltas(texts) if store_prefixes else []
-                # The last prefix is the text.
-                found = [int(np.frombuffer(d, np.int8).sum(dtype=np.int64)) for d in kept] if store_prefixes else c.tokens(texts)
-                columns = [b.column(0), pa.array(size, pa.int64()), pa.array(found, pa.int64()), pa.array([n > budget for n in found], pa.bool_())]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary())] * store_prefixes, schema=pa.schema([pa.field(id_col, b.column(0).type), *fields]))
-                if c.index.full:
-                    c.reset()
-        finally:  # the worker lives on, for other stages
-            c.reset()
+        for b in sliced(batches, most=SLICE):
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            size = [len(s.encode()) for s in texts]
+            kept = c.prefix_deltas(texts) if store_prefixes else []
+            # The last prefix is the text.
+            found = [int(np.frombuffer(d, np.int8).sum(dtype=np.int64)) for d in kept] if store_prefixes else c.tokens(texts)
+            columns = [b.column(0), pa.array(size, pa.int64()), pa.array(found, pa.int64()), pa.array([n > budget for n in found], pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary())] * store_prefixes, schema=pa.schema([pa.field(id_col, b.column(0).type), *fields]))
+            if c.index.full:
+                c.reset()
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean" + ", prefix_deltas binary" * store_prefixes
