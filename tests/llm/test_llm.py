@@ -392,6 +392,15 @@ def test_each_occurrence_is_judged_for_itself(spark):
     assert {(r["doc_id"], r["item_id"], r["verbatim"]) for r in got} == {(0, 0, True), (1, 0, False), (2, 0, False), (3, 0, True), (4, 0, False), (6, 1, False)}
 
 
+def test_short_items_and_repeated_rows(spark):
+    bench = spark.createDataFrame([(0, "capital of france"), (1, "a1 b c d e f g h i j k l m n o p q r s t"), (1, "one two three four five six seven"), (2, "yes")], "item_id long, text string")
+    docs = [(0, "short capital of france is what and more"), (1, "the capital of spain"), (2, "capital of FRANCE?"), (3, "a1 b c d e f g h i"), (3, "l m n o p q r s t"), (4, "so one two three four five six seven then"), (None, "one two three four five six seven"), (4, "clean words only")]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontamination.contaminated(rows, bench).collect()}
+    assert set(got) == {(0, 0), (2, 0), (4, 1)} and got[0, 0]["run_words"] == 3 and got[4, 1]["run_words"] == 7
+    assert {(r["doc_id"]) for r in decontamination.contaminated_rows(rows, bench).collect()} == {0, 2, 4, None}
+
+
 def test_no_python_in_native_plans(spark, sf):
     import contextlib
     import io
