@@ -1,7 +1,8 @@
 """A corpus from documents: toxicity, near-duplicates, benchmark decontamination, secrets, BPE encoding.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept. All but the last return the columns of
-documents; run() writes each stage's result as Parquet and reads it again as the next one's docs.
+documents, so columns of other names end there; run() writes each stage's result as Parquet and reads it again as the next one's
+docs. Every decision is on a row, not on its id: rows of one id, or of none, that carry different texts are documents of their own.
 """
 
 from __future__ import annotations
@@ -10,21 +11,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.bpe_codec import encode_digests
-from weftline.llm.common import table, written
-from weftline.llm.decontamination import contaminated
+from weftline.llm.common import dropped, ordered_numbers, table, written
+from weftline.llm.decontamination import contaminated_rows, text_key
 from weftline.llm.minhash import components
 from weftline.llm.secrets import redacted
 from weftline.llm.toxicity import scored, train
 
-#: Ids that are sent to all executors to be left out, 8 bytes each, at most. Beyond, both sides are shuffled by id.
+#: Documents that are left out by a broadcast join, some 20 bytes each, at most. Beyond, both sides are shuffled.
 MOST_BROADCAST = 1_000_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows of these ids; rows with a null id stay."""
-    ids = written(ids.select("doc_id").distinct(), "left-out")
-    return docs.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, "doc_id", "left_anti").select(*docs.columns)
+def _without(docs: DataFrame, rows: DataFrame, *keys: str) -> DataFrame:
+    """docs without the rows that have these keys; nulls are equal."""
+    rows = written(rows.select(*(F.col(k).alias(f"out {k}") for k in keys)), "left-out")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"out {k}"))
+    return docs.join(F.broadcast(rows) if rows.count() <= MOST_BROADCAST else rows, same, "left_anti")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,18 +39,22 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates (shingles of five words, similarity 0.8 or more) the document of smallest id stays."""
+    """Of each component of near-duplicates (shingles of five words, similarity 0.8 or more) the document of smallest id stays; of
+    rows of one id that of the least text, then of the least lang, source and n_chars. Texts without words have no duplicates."""
     docs = docs.select(*COLUMNS)
-    n, distinct = docs.agg(F.count("doc_id"), F.countDistinct("doc_id")).first()
-    out = _without(docs, components(docs).where("not kept"))
-    # Repeated ids: one row of each stays.
-    return out if n == distinct else out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
+    n, distinct = docs.agg(F.count("*"), F.countDistinct("doc_id")).first()
+    if n == distinct:
+        return _without(docs, components(docs).where("not kept").select("doc_id").distinct(), "doc_id").select(*COLUMNS)
+    # Ids that are null or repeated don't tell rows apart: numbers in their order do.
+    rows = ordered_numbers(docs, ["doc_id", "text", "lang", "source", "n_chars"], "row")
+    return _without(rows, components(rows, id_col="row").where("not kept").select("row"), "row").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out documents that hold an item of the benchmark."""
     docs = docs.select(*COLUMNS)
-    return _without(docs, contaminated(docs, table(spark, sf_dir, "benchmark")))
+    held = contaminated_rows(docs, table(spark, sf_dir, "benchmark"))
+    return _without(docs.withColumn("text_key", text_key(F.col("text"))), held, "doc_id", "text_key").select(*COLUMNS)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,5 +76,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        result = stage(spark, docs, sf_dir)
+        docs = written(result, f"stage-{name}")
+        dropped(result)  # what it read: the stage before and what its operators have kept
     return docs
