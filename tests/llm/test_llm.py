@@ -553,6 +553,24 @@ def test_pipeline_equals_its_operators(spark, sf, tokenizer):
     assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in P.run(spark, sf).collect()} == want
 
 
+def test_stages_keep_rows_and_not_ids(spark, sf):
+    import corpus_pipeline as P
+
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").where("length(text) > 60").orderBy("item_id").first()["text"]
+    t, u, v = ("".join(f"{c}{k} " for k in range(60)) for c in "tuv")
+    near = t.replace("t3 ", "t3 x ")
+    rows = [(3, t), (5, t), (5, u), (5, near), (None, u), (None, v), (7, v), (7, v), (8, ""), (8, ""), (8, None), (9, f"{item} {u}"), (9, f"some {v[::-1]}"), (None, f"{item} {t[::-1]}")]
+    docs = spark.createDataFrame([(i, x, "en", "s", None if x is None else len(x)) for i, x in rows], DOCS)
+    kept = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    # Numbers run by id, null first, then text.
+    want = [(3, t), (None, u), (None, v), (8, ""), (8, ""), (8, None), rows[11], rows[12], rows[13]]
+    assert kept(P.near_dedup(spark, docs, sf)) == sorted(want, key=str)
+    assert kept(P.decontamination(spark, docs, sf)) == sorted((r for k, r in enumerate(rows) if k not in (11, 13)), key=str)
+    assert kept(P.toxicity(spark, docs, sf)) == sorted(rows, key=str)
+    assert kept(P.secret_scans(spark, docs, sf)) == sorted(rows, key=str)
+    assert sorted(r["doc_id"] or -1 for r in P.bpe(spark, docs, sf).collect()) == sorted(i or -1 for i, _ in rows)
+
+
 @pytest.mark.parametrize("stage", range(5))
 def test_stages_on_odd_and_empty_tables(spark, sf, stage):
     import corpus_pipeline as P
