@@ -26,3 +26,43 @@ def test_command_line(capsys):
 
     assert main(["list"]) == 0
     assert "strategy_multi_query" in capsys.readouterr().out
+
+
+def test_facade_ranks_compares_and_pools(spark, sf):
+    from pyspark.sql import functions as F
+
+    rows = embedded(spark, sf)
+    e = Engine({"docs": rows})
+    queries = rows.where("n % 50 = 0").withColumn("q", F.col("n"))
+    ranked = e.rank_ml_to_rag("docs", queries, top_k=3)
+    assert ranked.groupBy("q").count().where("count > 3").count() == 0 and ranked.count() > 0
+    pool = e.candidate_pool("docs", queries)
+    assert pool.groupBy("q", "n").count().where("count > 1").count() == 0
+    same = e.compare(ranked, ranked).collect()
+    assert same and all(r["both"] > 0 and r["model_only"] == r["retrieval_only"] == 0 for r in same)
+    hand_off = spark.createDataFrame([("0", ["1", "2", "nope"])], "source_patch_id string, candidates array<string>")
+    texts = e.hydrate("docs", hand_off)
+    assert {r["patch_id"] for r in texts.collect()} <= {"0", "1", "2"}
+    done = e.rerank(hand_off, texts, lambda prompt: '["2", "1"]', "m").first()
+    assert done["status"] == "ok" and done["order"] == ["2", "1"] and done["seconds"] >= 0
+
+
+def test_etl_command(tmp_path, spark):
+    import json
+
+    from weftline.__main__ import main
+
+    for k, links in ((1, [{"changeNumber": 2}]), (2, []), (3, None)):
+        d = tmp_path / "tree" / "x" / str(k)
+        d.mkdir(parents=True)
+        (d / "metadata.json").write_text(json.dumps({"_number": k, "subject": f"s{k}", "timestamps": {"created": "2024-01-01"}}))
+        if links is not None:
+            (d / "linkages.json").write_text(json.dumps(links))
+    assert main(["etl", str(tmp_path / "tree"), str(tmp_path / "out")]) == 0
+    from weftline.sources import files
+
+    assert [tuple(r) for r in files.read_links(spark, str(tmp_path / "out/links")).collect()] == [("1", "2")]
+    stats = spark.read.json(str(tmp_path / "out/counters")).first()
+    assert (stats["patches"], stats["with_file"], stats["with_no_links"], stats["ok"], stats["via_number"]) == (3, 2, 1, 1, 1)
+    with pytest.raises(FileNotFoundError):
+        files.read_texts(spark, str(tmp_path / "nothing"))

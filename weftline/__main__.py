@@ -1,47 +1,104 @@
-"""python -m weftline list | run QUERY SF_DIR [OUT] | explain QUERY SF_DIR | predict PATCH_ID SF_DIR [--strategy S] [--top-k K] [--window DAYS]"""
+"""python -m weftline COMMAND
+
+list                                    all queries
+run QUERY SF_DIR [OUT]                  one of them, shown or written as Parquet
+explain QUERY SF_DIR                    its plan
+predict PATCH_ID SF_DIR                 patches most likely linked with one
+rank SF_DIR OUT                         the model's ranking, refined by retrieval, of every patch whose number is divisible by 50
+etl ROOT OUT                            a tree of change files to patches (CSV), links (CSV) and counters (JSON) in folders of OUT
+hydrate HAND_OFF SF_DIR OUT             the texts that hand-off rows need, as JSON lines
+rerank HAND_OFF TEXTS OUT --client M:F  orders by a function that answers prompts
+evaluate RANKED TRUTH                   metrics of a ranking (q, n, rank), both Parquet
+"""
 
 from __future__ import annotations
 
 import argparse
+import importlib
+import os
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .api import Engine
+from .config import Settings
+from .operators import evaluation
 from .plans import registry
+from .schema import embedded
 from .session import session
+from .sources import changes, files
+
+
+def _engine(spark: SparkSession, sf_dir: str) -> Engine:
+    return Engine({"documents": embedded(spark, sf_dir)}, settings=Settings.from_environment(dict(os.environ)))
+
+
+def etl(spark: SparkSession, root: str, out: str) -> None:
+    found = changes.extracted(changes.read_tree(spark, root))
+    links = changes.resolved(changes.links_of(found), found)
+    files.write_csv(found.drop("linkages"), f"{out}/patches")
+    files.write_csv(links.where("reason = 'ok'").select(F.col("patch_id").alias("source_patch_id"), F.col("target").alias("target_patch_id")).distinct(), f"{out}/links")
+    files.write_json(changes.link_stats(links, found), f"{out}/counters")
+
+
+def rerank(spark: SparkSession, args: argparse.Namespace) -> None:
+    module, name = args.client.split(":")
+    hand_off, texts = files.read_hand_off(spark, args.hand_off), files.read_texts(spark, args.texts)
+    done = Engine({}).rerank(hand_off, texts, getattr(importlib.import_module(module), name), args.client)
+    files.write_json(done, args.out)
+
+
+def _shown(df: DataFrame) -> None:
+    df.show(truncate=80)
 
 
 def main(argv: list[str] | None = None) -> int:
-    parser = argparse.ArgumentParser(prog="weftline", description=__doc__)
+    parser = argparse.ArgumentParser(prog="weftline", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     sub = parser.add_subparsers(dest="command", required=True)
-    sub.add_parser("list")
+    add = lambda name, *words: [p := sub.add_parser(name), *(p.add_argument(w) for w in words)][0]
+    add("list")
     for name in ("run", "explain"):
         p = sub.add_parser(name)
         p.add_argument("query", choices=sorted(registry.queries()))
         p.add_argument("sf_dir")
         if name == "run":
             p.add_argument("out", nargs="?")
-    p = sub.add_parser("predict")
-    p.add_argument("patch_id")
-    p.add_argument("sf_dir")
+    p = add("predict", "patch_id", "sf_dir")
     p.add_argument("--strategy", default="multi_query")
     p.add_argument("--top-k", type=int, default=None)
     p.add_argument("--window", type=float, default=None)
+    add("rank", "sf_dir", "out")
+    add("etl", "root", "out")
+    add("hydrate", "hand_off", "sf_dir", "out")
+    add("rerank", "hand_off", "texts", "out").add_argument("--client", required=True)
+    add("evaluate", "ranked", "truth")
     args = parser.parse_args(argv)
     if args.command == "list":
         print("\n".join(sorted(registry.queries())))
         return 0
     spark = session()
     if args.command == "predict":
-        from .api import Engine
-        from .schema import embedded
-
-        Engine({"documents": embedded(spark, args.sf_dir)}).predict("documents", args.patch_id, args.top_k, args.window, args.strategy).orderBy("rank").show(truncate=60)
-        return 0
-    df = registry.queries()[args.query](spark, args.sf_dir)
-    if args.command == "explain":
-        df.explain("formatted")
-    elif args.out:
-        df.write.parquet(args.out)
+        _shown(_engine(spark, args.sf_dir).predict("documents", args.patch_id, args.top_k, args.window, args.strategy).orderBy("rank"))
+    elif args.command == "rank":
+        e = _engine(spark, args.sf_dir)
+        e.rank_ml_to_rag("documents", e.tables["documents"].where("n % 50 = 0").withColumn("q", F.col("n"))).write.parquet(args.out)
+    elif args.command == "etl":
+        etl(spark, args.root, args.out)
+    elif args.command == "hydrate":
+        files.write_json(_engine(spark, args.sf_dir).hydrate("documents", files.read_hand_off(spark, args.hand_off)), args.out)
+    elif args.command == "rerank":
+        rerank(spark, args)
+    elif args.command == "evaluate":
+        ks = Settings.from_environment(dict(os.environ)).ks
+        _shown(evaluation.aggregate(evaluation.per_query(spark.read.parquet(args.ranked), spark.read.parquet(args.truth), ks), ks))
     else:
-        df.show(truncate=80)
+        df = registry.queries()[args.query](spark, args.sf_dir)
+        if args.command == "explain":
+            df.explain("formatted")
+        elif args.out:
+            df.write.parquet(args.out)
+        else:
+            _shown(df)
     return 0
 
 

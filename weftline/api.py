@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .config import USUAL, Settings
-from .operators import evaluation, retrieval
+from .operators import evaluation, pools, ranking, rerank, retrieval, windows
+from .sources import files
 from .sources.changes import Client, normalised
 
 
@@ -54,5 +57,33 @@ class Engine:
         zero = rows.select(F.transform("vector", lambda x: F.lit(0.0)).alias("vector")).limit(1)
         return one.join(F.broadcast(zero)).withColumns({"n": F.lit(-1).cast("long"), "q": F.lit(-1).cast("long")})
 
+    def candidate_pool(self, project: str, queries: DataFrame, strategy: str = "file_boost") -> DataFrame:
+        """(q, n, pool, place): for queries (rows of the project with q) the window, the nearest vectors and retrieval, each
+        candidate where it comes first."""
+        rows, s = self._table(project), self.settings
+        win = windows.candidates(queries, rows, s.window_days).select("q", "n", F.col("n").alias("place"))
+        ann = pools.ann_pool(queries, rows, s.ann_k, s.ann_days).withColumnRenamed("rank", "place")
+        return pools.ordered_union(win, ann, pools.rag_pool(queries, rows, strategy, s.pool_k, s.pool_days).withColumnRenamed("rank", "place"))
+
+    def rank_ml_to_rag(self, project: str, queries: DataFrame, ranker: ranking.Ranker = ranking.PLAIN, candidates: int = 50, top_k: int | None = None) -> DataFrame:
+        """(q, n, ml_score, rag_score, score, rank): the model's best of each window, put in order anew by a blend with retrieval."""
+        rows = self._table(project)
+        pairs = windows.candidates(queries, rows, self.settings.window_days).select("q", "n")
+        return ranking.refine(ranking.ml_stage(pairs, rows, ranker, candidates), rows, top_k or self.settings.top_k, self.settings)
+
+    def compare(self, model: DataFrame, retrieval_only: DataFrame) -> DataFrame:
+        """One row for each query: how many of two rankings' rows (q, n) are in both, in the first, in the second."""
+        both = model.select("q", "n", F.lit(True).alias("m")).join(retrieval_only.select("q", "n", F.lit(True).alias("r")), ["q", "n"], "full_outer")
+        m, r = F.col("m").isNotNull(), F.col("r").isNotNull()
+        return both.groupBy("q").agg(F.count_if(m & r).alias("both"), F.count_if(m & ~r).alias("model_only"), F.count_if(r & ~m).alias("retrieval_only"))
+
+    def hydrate(self, project: str, hand_off: DataFrame) -> DataFrame:
+        """The texts that hand-off rows need."""
+        return files.hydrated(hand_off, self._table(project))
+
+    def rerank(self, hand_off: DataFrame, texts: DataFrame, client: Callable[[str], str], model: str, known: DataFrame | None = None) -> DataFrame:
+        """(q, key, order, status, seconds) of hand-off rows, as the external model orders their heads."""
+        return rerank.rerank(rerank.payloads(hand_off, texts, self.settings.head), client, model, known, self.settings.head)
+
     def evaluate(self, ranked: DataFrame, truth: DataFrame) -> DataFrame:
         return evaluation.aggregate(evaluation.per_query(ranked, truth, self.settings.ks), self.settings.ks)

@@ -197,4 +197,4 @@ def without_prefix(text: Column) -> Column:
 
 
 def percent(score: Column) -> Column:
-    return F.concat(F.format_number(score * 100, "0.0"), F.lit("%"))
+    return F.format_string("%.1f%%", score * 100)

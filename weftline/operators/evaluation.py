@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import USUAL
 from ..functions.columns import hours_apart
+from ..session import kept
+from .statistics import quantile
 
 
-def truth_in_window(links: DataFrame, rows: DataFrame, days: float) -> DataFrame:
-    """(source, target, delta_days): links whose two patches are known and at most so many days apart."""
+def truth_in_window(links: DataFrame, rows: DataFrame, days: float | None) -> DataFrame:
+    """(source, target, delta_days): links whose two patches are known and at most so many days apart, at any distance for None."""
     of = lambda side: rows.select(F.col("patch_id").alias(side), F.col("created_time").alias(f"{side}_time"))
     both = links.join(of("source"), "source").join(of("target"), "target")
-    return both.withColumn("delta_days", hours_apart(F.col("source_time"), F.col("target_time")) / 24).where(F.col("delta_days") <= days).select("source", "target", "delta_days")
+    return both.withColumn("delta_days", hours_apart(F.col("source_time"), F.col("target_time")) / 24).where(F.lit(True) if days is None else F.col("delta_days") <= days).select("source", "target", "delta_days")
 
 
 def per_query(ranked: DataFrame, truth: DataFrame, ks: tuple[int, ...] = USUAL.ks) -> DataFrame:
@@ -59,12 +61,47 @@ def difficulty(scores: DataFrame) -> DataFrame:
 
 def coverage(pairs: DataFrame, days: float) -> DataFrame:
     """One row: quantiles of delta_days over pairs, and the percentage within the window."""
-    return pairs.agg(*(F.percentile("delta_days", p).alias(k) for k, p in (("median", 0.5), ("p75", 0.75), ("p90", 0.9))), F.max("delta_days").alias("most"), (100 * F.avg((F.col("delta_days") <= days).cast("int"))).alias("usable_pct"))
+    pairs = kept(pairs.select("delta_days"), "deltas")
+    found = {k: quantile(pairs, "delta_days", p) for k, p in (("median", 0.5), ("p75", 0.75), ("p90", 0.9))}
+    return pairs.agg(*(F.lit(v).cast("double").alias(k) for k, v in found.items()), F.max("delta_days").alias("most"), (100 * F.avg((F.col("delta_days") <= days).cast("int"))).alias("usable_pct"))
 
 
-def verdict(ml: float, rag: float) -> str:
-    """What holds the whole back, from two recalls."""
-    return "candidates" if ml < 0.5 * rag else "ranking" if ml < rag else "none"
+def bottleneck(ml: Column, rag: Column) -> Column:
+    """What holds the whole back, from the recalls of the model's candidates and of retrieval alone."""
+    return F.when(ml < rag, F.lit("model")).otherwise(F.lit("elsewhere"))
+
+
+def by_window(ml: DataFrame, rag: DataFrame, narrow: int = 2, wide: int = 14, much: float = 0.8) -> DataFrame:
+    """(days, ml_recall, rag_recall, bottleneck, window_mismatch) from (days, ml_recall) and one row of rag_recall."""
+    at = ml.agg(*(F.max(F.when(F.col("days") == d, F.col("ml_recall"))).alias(f"at{d}") for d in (narrow, wide)))
+    both = ml.crossJoin(rag).crossJoin(at)  # a row for each window, and one each
+    return both.select("days", "ml_recall", "rag_recall", bottleneck(F.col("ml_recall"), F.col("rag_recall")).alias("bottleneck"), (F.col(f"at{narrow}") < much * F.col(f"at{wide}")).alias("window_mismatch"))
+
+
+def change(delta: Column) -> Column:
+    """Whether a reranking helped, from the difference in MRR."""
+    return F.when(F.abs(delta) < 1e-9, F.lit("unchanged")).when(delta > 0, F.lit("improved")).otherwise(F.lit("regressed"))
+
+
+def run_counters(done: DataFrame, shown: DataFrame) -> DataFrame:
+    """One row about a reranking run: queries, calls, cache_hits, failures, malformed, reordered (orders that differ from what was
+    asked), missing_text and mean_seconds of a call. done is what rerank() gives, shown the payloads it was asked with."""
+    both = done.join(shown.select("q", "ids", "n_missing"), "q")
+    called = F.col("status") != "cached"
+    count = lambda c: F.count_if(c)
+    return both.agg(
+        F.count("*").alias("queries"), count(called).alias("calls"), count(~called).alias("cache_hits"), count(F.col("status") == "failed").alias("failures"), count(F.col("status") == "malformed").alias("malformed"),
+        count(F.col("order").isNotNull() & (F.slice("order", 1, F.size("ids")) != F.col("ids"))).alias("reordered"), F.coalesce(F.sum("n_missing"), F.lit(0)).alias("missing_text"), F.avg(F.when(called, F.col("seconds"))).alias("mean_seconds"),
+    )
+
+
+def aligned(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """rows joined with others by key; ValueError unless each row has exactly one."""
+    both = rows.join(others, key)
+    counts = rows.count(), others.count(), both.count()
+    if len(set(counts)) > 1:
+        raise ValueError(f"{counts[0]} rows against {counts[1]}, {counts[2]} of them alike")
+    return both
 
 
 def fingerprint(rows: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -47,24 +48,25 @@ def reordered(head: DataFrame, orders: DataFrame) -> DataFrame:
 
 
 def rerank(asked: DataFrame, client: Callable[[str], str], model: str, known: DataFrame | None = None, head: int = USUAL.head) -> DataFrame:
-    """(q, key, order, status) for rows with q, ids, prompt: orders known under the key of a row are taken, others asked for, in
+    """(q, key, order, status, seconds) for rows with q, ids, prompt: orders known under the key of a row are taken, others asked for, in
     each partition with one client. Status is cached, ok, malformed or failed; only ok may be kept, so an outage is never cached.
     """
     keyed = asked.withColumn("key", order_key(F.lit(model), head, F.col("q"), F.col("ids")))
-    out = "q string, key string, reply string, failed boolean"
+    out = "q string, key string, reply string, failed boolean, seconds double"
 
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             replies = []
             for p in f["prompt"]:
+                began = time.monotonic()
                 try:
-                    replies.append((client(p), False))
+                    replies.append((client(p), False, time.monotonic() - began))
                 except Exception:  # noqa: BLE001 - any outage leaves the order as it was
-                    replies.append((None, True))
-            yield pd.DataFrame({"q": f["q"], "key": f["key"], "reply": [r for r, _ in replies], "failed": [x for _, x in replies]})
+                    replies.append((None, True, time.monotonic() - began))
+            yield pd.DataFrame({"q": f["q"], "key": f["key"], "reply": [r[0] for r in replies], "failed": [r[1] for r in replies], "seconds": [r[2] for r in replies]})
 
     todo = keyed if known is None else keyed.join(known.select("key"), "key", "left_anti")
     answered = todo.select("q", "key", "prompt").mapInPandas(ask, out).withColumn("order", parsed_reply(F.col("reply")))
     status = F.when(F.col("failed"), F.lit("failed")).when(F.col("order").isNull(), F.lit("malformed")).otherwise(F.lit("ok"))
-    fresh = answered.select("q", "key", "order", status.alias("status"))
-    return fresh if known is None else fresh.unionByName(keyed.select("q", "key").join(known.select("key", "order"), "key").select("q", "key", "order", F.lit("cached").alias("status")))
+    fresh = answered.select("q", "key", "order", status.alias("status"), "seconds")
+    return fresh if known is None else fresh.unionByName(keyed.select("q", "key").join(known.select("key", "order"), "key").select("q", "key", "order", F.lit("cached").alias("status"), F.lit(0.0).alias("seconds")))

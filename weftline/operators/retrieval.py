@@ -6,7 +6,6 @@ out only after the legs have been cut, as the order of these steps decides about
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -16,39 +15,49 @@ from pyspark.sql import functions as F
 
 from ..config import USUAL, Settings
 from ..functions.columns import jaccard, path_query, payload, tokens
+from ..session import kept
 from .windows import top, within
 
-#: Queries whose vectors go to the executors at once.
-BLOCK = 4096
+#: Queries and rows of the corpus that meet in one task, at most; similarities are made for so many queries at once.
+QUERY_BLOCK, CORPUS_BLOCK, STEP = 16_384, 65_536, 256
 
 
 def nearest(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """(q, n, sem, rank): exact cosine top k, by blocks of queries: each task multiplies its rows with the block's matrix and
-    hands on its own best k; zero vectors have similarity 0 with all."""
-    rows = [(r["q"], r["vector"]) for r in queries.select("q", "vector").orderBy("q").toLocalIterator()]
-    found = [_block(rows[at : at + BLOCK], corpus, k) for at in range(0, len(rows), BLOCK)]
-    if not found:
-        return queries.select("q").join(corpus.select("n"), F.lit(False)).withColumns({"sem": F.lit(0.0), "rank": F.lit(1)})
-    return top(reduce(DataFrame.unionByName, found), k, "sem")
-
-
-def _block(rows: list, corpus: DataFrame, k: int) -> DataFrame:
-    ids = np.array([q for q, _ in rows], np.int64)
-    matrix = _unit(np.array([v for _, v in rows], np.float64))
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            n = b.column(0).to_numpy()
-            flat = b.column(1).flatten().to_numpy(zero_copy_only=False)
-            sims = np.round(matrix @ _unit(flat.reshape(len(n), -1)).T, 12)
+    """(q, n, sem, rank): exact cosine top k; zero vectors have similarity 0 with all.
+
+    Queries and corpus are dealt into blocks, and each two blocks meet in one task, which multiplies them and hands on its own
+    best k of each query. Vectors stay on the executors; the driver sees two counts.
+    """
+    n_queries, n_rows, spread = queries.count(), corpus.count(), int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    of_queries = -(-n_queries // QUERY_BLOCK) or 1
+    of_rows = max(1, min(spread, n_rows // 256), -(-n_rows // CORPUS_BLOCK))
+    block = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    vector = F.col("vector").cast("array<double>").alias("vector")
+    left = queries.select("q", vector, block("q", of_queries).alias("a"), every(of_rows).alias("b"))
+    right = corpus.select("n", vector, block("n", of_rows).alias("b")).withColumn("a", every(of_queries))
+
+    def best(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        ids, n = asked["q"].to_numpy(), rows["n"].to_numpy()
+        found = []
+        if len(ids) and len(n):
+            matrix, others = _matrix(asked), _matrix(rows).T
             take = min(k, len(n))
-            # By similarity to nine places, then the smaller row: an order over all rows of the batch.
-            order = np.stack([np.lexsort((n, -np.round(s, 9)))[:take] for s in sims])
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, take)), pa.array(n[order].ravel()), pa.array(np.take_along_axis(sims, order, 1).ravel())], names=["q", "n", "sem"])
+            for at in range(0, len(ids), STEP):
+                sims = np.round(matrix[at : at + STEP] @ others, 12)
+                # By similarity to nine places, then the smaller row.
+                order = np.stack([np.lexsort((n, -np.round(s, 9)))[:take] for s in sims])
+                found.append((np.repeat(ids[at : at + STEP], take), n[order].ravel(), np.take_along_axis(sims, order, 1).ravel()))
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] or [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table({"q": pa.array(columns[0], pa.int64()), "n": pa.array(columns[1], pa.int64()), "sem": pa.array(columns[2], pa.float64())})
+
+    met = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(best, "q bigint, n bigint, sem double")
+    return top(met, k, "sem")
+
 
-    return corpus.select("n", F.col("vector").cast("array<double>")).mapInArrow(best, "q bigint, n bigint, sem double")
+def _matrix(rows: pa.Table) -> np.ndarray:
+    flat = rows["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return _unit(flat.reshape(rows.num_rows, -1))
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -116,7 +125,7 @@ def retrieve(queries: DataFrame, corpus: DataFrame, strategy: str = "multi_query
     if strategy == "file_boost":
         return with_files(hybrid(asked, corpus, index, n_docs, top_k * s.boost_fan_out, days, s), queries, top_k, s.boost_weight, 1 - s.boost_weight)
     # One search by vector serves all query texts of a patch: a vector that is looked up doesn't depend on them.
-    near = nearest(queries, corpus, s.retrieval_factor * 2 * top_k).persist()
+    near = kept(nearest(queries, corpus, s.retrieval_factor * 2 * top_k), "near")
     legs = [
         (asked, 2 * top_k),
         (queries.withColumn("text", F.col("title")).where("title != ''"), top_k),

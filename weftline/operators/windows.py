@@ -15,16 +15,25 @@ def within(a: Column, b: Column, days: float) -> Column:
     return F.lit(True) if not days else F.abs(micros(a) - micros(b)) <= int(days * DAY)
 
 
+#: Buckets to a window: more of them make a task's share of the right side smaller, and copies of the left side more.
+BUCKETS = 8
+
+
+def bucketed(rows: DataFrame, time: str, days: float, around: bool = False) -> DataFrame:
+    """rows with a bucket of time, a fraction of the window wide; with around once for every bucket that its window reaches."""
+    width = max(1, int(days * DAY) // BUCKETS)
+    reach = -(-int(days * DAY) // width)
+    own = F.floor(micros(F.col(time)) / F.lit(width))
+    return rows.withColumn("bucket", F.explode(F.sequence(own - reach, own + reach)) if around else own)
+
+
 def band_join(left: DataFrame, right: DataFrame, left_time: str, right_time: str, days: float) -> DataFrame:
     """Pairs of rows whose times are at most so many days apart.
 
-    An equi-join on time buckets as wide as the window: a row on the left, the smaller side, stands in its own bucket and both
-    next to it, a row on the right in its own, so no pair comes up twice and no pair is tried that is over two windows apart.
+    An equi-join on time buckets of an eighth of the window: a row on the left, the smaller side, stands in every bucket that its
+    window reaches, a row on the right in its own, so no pair comes up twice and few are tried that are further apart.
     """
-    width = int(days * DAY)
-    bucket = lambda c: F.floor(micros(F.col(c)) / F.lit(width))
-    wide = left.withColumn("bucket", F.explode(F.array(*(bucket(left_time) + k for k in (-1, 0, 1)))))
-    pairs = wide.join(right.withColumn("bucket", bucket(right_time)), "bucket")
+    pairs = bucketed(left, left_time, days, around=True).join(bucketed(right, right_time, days), "bucket")
     return pairs.where(within(F.col(left_time), F.col(right_time), days)).drop("bucket")
 
 
@@ -39,3 +48,9 @@ def top(rows: DataFrame, k: int, score: str = "score", by: str = "q", tie: str =
     """The k best of each query, ranked from 1: by score to nine places, then by the smaller candidate."""
     order = Window.partitionBy(by).orderBy(F.desc(F.round(score, 9)), tie)
     return rows.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= k)
+
+
+def permuted(rows: DataFrame, seed: int, by: str = "q", item: str = "n", place: str = "place") -> DataFrame:
+    """rows with a place from 1 in a random order of each group, the same for the same seed: by MD5 of seed, group and item."""
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(by).cast("string"), F.col(item).cast("string")).cast("binary"))
+    return rows.withColumn(place, F.row_number().over(Window.partitionBy(by).orderBy(h, item)))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import evaluation as E
+from ..session import shared_folder
 from ..schema import SQL, embedded, ground_truth, patches, table
 from ..sources import changes as G
 from ..sources import files as S
@@ -44,7 +47,37 @@ def load_patches_train(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(over_p("select source, target from gt"))
 def ground_truth_load(spark: SparkSession, sf: str) -> DataFrame:
-    return ground_truth(spark, sf)
+    path = f"{shared_folder(spark)}/links-{uuid.uuid4().hex}"
+    S.write_csv(ground_truth(spark, sf).toDF("source_patch_id", "target_patch_id"), path)
+    return S.read_links(spark, path)
+
+
+@query(over_p("select patch_id, title, description, array_to_string(files, ',') as files from p"))
+def sidecar(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts written as JSON lines and read again."""
+    path = f"{shared_folder(spark)}/texts-{uuid.uuid4().hex}"
+    S.write_json(patches(spark, sf).select("patch_id", "title", "description", "files"), path)
+    return S.read_texts(spark, path).withColumn("files", F.array_join("files", ","))
+
+
+@query(over_p("select patch_id, printf('%.1f', (n % 1000) / 10.0) || '%' as shown from p"))
+def percent(spark: SparkSession, sf: str) -> DataFrame:
+    return patches(spark, sf).select("patch_id", C.percent(F.col("n") % 1000 / 1000).alias("shown"))
+
+
+@query(over_p("select cast(n % 100 as varchar) as patch_id, max_by(title, n) as title, max(n) as n from p group by 1"))
+def id_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids that come several times: the last one counts."""
+    rows = patches(spark, sf).select((F.col("n") % 100).cast("string").alias("patch_id"), "title", "n")
+    return S.one_of_each(rows, "patch_id", "n")
+
+
+@query(over_p("select count(*) as n_rows, count(distinct patch_id) as n_ids from e"))
+def alignment(spark: SparkSession, sf: str) -> DataFrame:
+    """Patches and their vectors, one for each."""
+    rows = embedded(spark, sf)
+    both = E.aligned(rows.select("patch_id", "title"), rows.select("patch_id", "vector"), "patch_id")
+    return both.agg(F.count("*").alias("n_rows"), F.count_distinct("patch_id").alias("n_ids"))
 
 
 @query(over_p("select patch_id, title || ' ' || description as text from p"))
@@ -196,17 +229,19 @@ def _tree(spark: SparkSession, sf: str) -> DataFrame:
     n = F.col("n")
     meta = F.concat(F.lit('{"_number": '), "patch_id", F.lit(', "change_id": "I'), "patch_id", F.lit('", "subject": "s"}'))
     link = F.when(n % 4 == 0, F.concat(F.lit('[{"changeNumber": '), (n + 1).cast("string"), F.lit("}]"))).when(n % 4 == 1, F.concat(F.lit('[{"changeId": "I'), (n - 1).cast("string"), F.lit('"}]'))).when(n % 4 == 2, F.lit('[{"changeNumber": 99999999}, {}]')).otherwise(F.concat(F.lit('[{"changeNumber": '), "patch_id", F.lit("}]")))
+    link = F.when(n % 11 == 1, F.lit("[]")).when(n % 11 != 0, link)
     comments = F.concat(F.lit('{"change_comments": ["c1", "c2"], "inline_comments": {"a.py": ["i'), "patch_id", F.lit('"], "b.py": "one"}}'))
     part = lambda kind, body: p.select(F.lit("x").alias("project"), F.col("patch_id").alias("dir"), F.lit(kind).alias("kind"), body.alias("body"))
-    return G.extracted(part("metadata", meta).unionByName(part("linkages", link)).unionByName(part("comments", comments)))
+    return G.extracted(part("metadata", meta).unionByName(part("linkages", link).where("body is not null")).unionByName(part("comments", comments)))
 
 
 LINKS = """, links as (
-  select patch_id, n, case when n % 4 = 0 then n + 1 when n % 4 = 1 then n - 1 when n % 4 = 2 then 99999999 else n end as t, case when n % 4 = 1 then 'I' || (n - 1) end as cid, case when n % 4 <> 1 then true else false end as by_number from p
-  union all select patch_id, n, null, null, false from p where n % 4 = 2
+  select patch_id, n, case when n % 4 = 0 then n + 1 when n % 4 = 1 then n - 1 when n % 4 = 2 then 99999999 else n end as t, case when n % 4 = 1 then 'I' || (n - 1) end as cid, case when n % 4 <> 1 then true else false end as by_number from p where n % 11 > 1
+  union all select patch_id, n, null, null, false from p where n % 4 = 2 and n % 11 > 1
 ), res as (
   select l.patch_id, case when by_number then cast(t as varchar) end as number, cid as change_id, x.patch_id as target,
-    case when x.patch_id = l.patch_id then 'self' when x.patch_id is not null then 'ok' when t is not null then 'target_unknown' else 'unresolvable' end as reason
+    case when x.patch_id = l.patch_id then 'self' when x.patch_id is not null then 'ok' when t is not null then 'target_unknown' else 'unresolvable' end as reason,
+    case when x.patch_id is null then null when by_number then 'number' else 'change_id' end as via
   from links l left join p x on x.n = l.t
 )"""
 
@@ -218,6 +253,7 @@ def resolve_links(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(over_p("""select count(*) as links, count(*) filter (reason = 'ok') as ok, count(*) filter (reason = 'self') as "self", count(*) filter (reason = 'target_unknown') as target_unknown, count(*) filter (reason = 'unresolvable') as unresolvable,
+  count(*) filter (reason = 'ok' and via = 'number') as via_number, count(*) filter (reason = 'ok' and via = 'change_id') as via_change_id, (select count(*) from p where n % 11 <> 0) as with_file, (select count(*) from p where n % 11 = 1) as with_no_links,
   count(distinct case when reason = 'ok' then patch_id || '>' || target end) as distinct_links, count(distinct patch_id) as sources, (select count(*) from p) as patches from res""", LINKS))
 def link_stats(spark: SparkSession, sf: str) -> DataFrame:
     tree = _tree(spark, sf)
@@ -265,7 +301,7 @@ def missing_ids(spark: SparkSession, sf: str) -> DataFrame:
 @query(over_p("select patch_id, title, description, strftime(created_time, '%Y-%m-%d') as created_on, array_to_string(files, ',') as files from p where n % 50 = 0"))
 def patch_details(spark: SparkSession, sf: str) -> DataFrame:
     asked = patches(spark, sf).where("n % 50 = 0").select("patch_id")
-    found = patches(spark, sf).join(asked, "patch_id", "left_semi").dropDuplicates(["patch_id"])
+    found = S.one_of_each(patches(spark, sf).join(asked, "patch_id", "left_semi"), "patch_id")
     return found.select("patch_id", "title", "description", F.date_format("created_time", "yyyy-MM-dd").alias("created_on"), F.array_join("files", ",").alias("files"))
 
 

@@ -89,18 +89,24 @@ def links_of(changes: DataFrame) -> DataFrame:
 
 
 def resolved(links: DataFrame, patches: DataFrame) -> DataFrame:
-    """links with target and reason: by number, else by change id; target_unknown where the link names a change that isn't among
-    the patches, unresolvable where it names none, self for a link of a patch with itself, else ok."""
+    """links with target, via (number or change_id) and reason: by number, else by change id; target_unknown where the link names
+    a change that isn't among the patches, unresolvable where it names none, self for a link of a patch with itself, else ok."""
     by_number = patches.select(F.col("patch_id").alias("number"), F.col("patch_id").alias("t1"))
     by_change = patches.where("change_id is not null").groupBy("change_id").agg(F.min("patch_id").alias("t2"))
     both = links.join(by_number, "number", "left").join(by_change, "change_id", "left").withColumn("target", F.coalesce("t1", "t2"))
     named = F.coalesce(F.col("number"), F.nullif("change_id", F.lit(""))).isNotNull()
     reason = F.when(F.col("target") == F.col("patch_id"), F.lit("self")).when(F.col("target").isNotNull(), F.lit("ok")).when(named, F.lit("target_unknown")).otherwise(F.lit("unresolvable"))
-    return both.select("patch_id", "number", "change_id", "target", reason.alias("reason"))
+    via = F.when(F.col("t1").isNotNull(), F.lit("number")).when(F.col("t2").isNotNull(), F.lit("change_id"))
+    return both.select("patch_id", "number", "change_id", "target", via.alias("via"), reason.alias("reason"))
 
 
 def link_stats(resolved_links: DataFrame, patches: DataFrame) -> DataFrame:
-    """One row of counters."""
+    """One row of counters: of changes with a file of links, and without any in it; of links by what became of them, those kept
+    by what they were found by."""
     count = lambda r: F.count_if(F.col("reason") == r).alias(r)
-    seen = resolved_links.agg(F.count("*").alias("links"), *(count(r) for r in ("ok", "self", "target_unknown", "unresolvable")), F.count_distinct(F.when(F.col("reason") == "ok", F.struct("patch_id", "target"))).alias("distinct_links"), F.count_distinct("patch_id").alias("sources"))
-    return seen.crossJoin(patches.agg(F.count("*").alias("patches")))
+    kept = lambda v: F.count_if((F.col("reason") == "ok") & (F.col("via") == v)).alias(f"via_{v}")
+    seen = resolved_links.agg(F.count("*").alias("links"), *(count(r) for r in ("ok", "self", "target_unknown", "unresolvable")), *(kept(v) for v in ("number", "change_id")), F.count_distinct(F.when(F.col("reason") == "ok", F.struct("patch_id", "target"))).alias("distinct_links"), F.count_distinct("patch_id").alias("sources"))
+    some = F.col("linkages").isNotNull()
+    none = F.coalesce(F.size(F.from_json("linkages", "array<string>")), F.lit(0)) <= 0
+    changes = patches.agg(F.count("*").alias("patches"), F.count_if(some).alias("with_file"), F.count_if(some & none).alias("with_no_links"))
+    return seen.crossJoin(changes)  # one row each

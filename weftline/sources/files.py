@@ -46,7 +46,7 @@ def read_hand_off(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parsed_hand_off(lines: DataFrame) -> DataFrame:
-    row = F.from_json("value", HAND_OFF.replace("candidates array<string>", "candidates array<string>"))
+    row = F.from_json("value", HAND_OFF)
     rows = lines.where("trim(value) != ''").select(row.alias("r")).select("r.*")
     one = lambda c: F.coalesce(F.get_json_object(c, "$.patch_id"), c)
     return rows.withColumn("candidates", F.transform("candidates", one))
@@ -60,7 +60,16 @@ def needed_ids(hand_off: DataFrame) -> DataFrame:
 def hydrated(hand_off: DataFrame, patches: DataFrame) -> DataFrame:
     """The texts of all patches that hand-off rows need, each once, by id. Only the four columns are read."""
     texts = patches.select("patch_id", "title", "description", "files")
-    return texts.join(needed_ids(hand_off), "patch_id", "left_semi").dropDuplicates(["patch_id"])
+    return one_of_each(texts.join(needed_ids(hand_off), "patch_id", "left_semi"), "patch_id")
+
+
+def one_of_each(rows: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Of rows of one key the last by an order, as a lookup that is filled row by row ends up with; without an order the least by
+    all other columns, so the same one each time."""
+    others = [c for c in rows.columns if c != key]
+    whole = F.struct(*others)
+    pick = F.min(whole) if order is None else F.max_by(whole, F.struct(order, whole))
+    return rows.groupBy(key).agg(pick.alias("picked")).select(key, *(F.col("picked")[c].alias(c) for c in others)).select(*rows.columns)
 
 
 def missing(hand_off: DataFrame, texts: DataFrame) -> DataFrame:
@@ -78,7 +87,13 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SIDECAR).json(path)
+    """Texts by patch_id from JSON lines; FileNotFoundError, which says how they are made, where there are none."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.schema(SIDECAR).json(path)
+    except AnalysisException as e:
+        raise FileNotFoundError(f"no texts at {path}: hydrated() makes them from hand-off rows, write_json() keeps them") from e
 
 
 def cache_misses(patches: DataFrame, cache: DataFrame, model: str) -> DataFrame:

@@ -10,17 +10,15 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.columns import micros, order_key
 from ..operators.rerank import rerank
-from ..operators.windows import DAY
+from ..operators.windows import DAY, bucketed
 
 
 def arriving(stream: DataFrame, known: DataFrame, days: float) -> DataFrame:
     """(q, n): for each patch of a stream the known patches in its window. Stateless: a join of stream and table on buckets of
     time, as band_join() makes it, so no state grows with the stream."""
-    width = int(days * DAY)
-    bucket = lambda c: F.floor(micros(F.col(c)) / F.lit(width))
-    new = stream.select(F.col("n").alias("q"), F.col("created_time").alias("q_time")).withColumn("bucket", F.explode(F.array(*(bucket("q_time") + k for k in (-1, 0, 1)))))
-    old = known.select("n", F.col("created_time").alias("n_time")).withColumn("bucket", bucket("n_time"))
-    near = F.abs(micros(F.col("q_time")) - micros(F.col("n_time"))) <= width
+    new = bucketed(stream.select(F.col("n").alias("q"), F.col("created_time").alias("q_time")), "q_time", days, around=True)
+    old = bucketed(known.select("n", F.col("created_time").alias("n_time")), "n_time", days)
+    near = F.abs(micros(F.col("q_time")) - micros(F.col("n_time"))) <= int(days * DAY)
     return new.join(old, "bucket").where(near & (F.col("q") != F.col("n"))).select("q", "n")
 
 
