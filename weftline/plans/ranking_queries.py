@@ -199,7 +199,8 @@ def _hybrid(name: str, text: str, top_k: int) -> str:
 
 def _files(name: str, of: str, of_score: float, weight: float, k: int) -> str:
     j = JACCARD.format(a="a.files", b="b.files")
-    return f"{name} as (select x.q, x.n, x.score as original_score, {j} as file_overlap, {of_score} * x.score + {weight} * {j} as score, row_number() over (partition by x.q order by round({of_score} * x.score + {weight} * {j}, 9) desc, x.n) as rank from {of} x join e a on a.n = x.q join e b on b.n = x.n qualify rank <= {k})"
+    placed = f"row_number() over (partition by x.q order by round({of_score} * x.score + {weight} * {j}, 9) desc, x.n)"
+    return f"{name} as (select x.q, x.n, x.score as original_score, {j} as file_overlap, {of_score} * x.score + {weight} * {j} as score, {placed} as rank from {of} x join e a on a.n = x.q join e b on b.n = x.n qualify {placed} <= {k})"
 
 
 @query("select q, n, round(sem, 6) as sem, rank::integer as rank from s", SEM, _sem("s", 5))
