@@ -103,6 +103,17 @@ def test_templates_are_reversible(spark):
             assert r["loss_start"] is None
 
 
+def test_long_turns_other_columns_and_no_turns(spark):
+    rows = [(1, 1, 0, "assistant", LONG, "kept", "too")]
+    turns = spark.createDataFrame(rows, "tree long, path long, position long, role string, text string, head string, body string")
+    out = chat_format.rendered(turns)
+    assert (r := out.first())["head"] == "kept" and r["body"] == "too" and r["loss_chars"] == len(LONG)
+    assert chat_format.read_back(out).first()["loss_sha256"] == hashlib.sha256(LONG.encode()).hexdigest()
+    assert chat_format.read_back(out.where("false")).count() == 0
+    none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat_format.read_back(chat_format.rendered(chat_format.path_nodes(chat_format.chains(none)))).count() == 0
+
+
 def test_conversations_with_nulls_and_ties(spark):
     rows = [(1, 1, "user", None), (1, 1, "user", None), (1, 0, "assistant", "x"), (None, None, None, "y"), (2, 5, "user", "z")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")

@@ -72,12 +72,12 @@ def path_nodes(nodes: DataFrame, top: int = 1) -> DataFrame:
 def rendered(turns: DataFrame, learnt_role: str = "assistant") -> DataFrame:
     """turns (with position, role, text) with segment, the turn as the template writes it, and loss_start and loss_chars, the
     part of the segment that a loss is taken on: texts of learnt_role. A path's segments by position, put together, are the
-    conversation. Null roles and texts count as empty."""
+    conversation. Null roles and texts count as empty. All other columns stay."""
     role, text = F.coalesce("role", F.lit("")), escaped(F.coalesce("text", F.lit("")))
     head = F.concat(F.lit(OPEN), F.regexp_replace(escaped(role), "\n", f"{ESCAPE}n"), F.lit("\n"))
     learnt = role == learnt_role
-    out = turns.withColumn("head", head).withColumn("body", text)
-    return out.withColumns({"segment": F.concat("head", "body", F.lit(CLOSE)), "loss_start": F.when(learnt, F.length("head")), "loss_chars": F.when(learnt, F.length("body"))}).drop("head", "body", "role", "text")
+    made = {"segment": F.concat("head of turn", "body of turn", F.lit(CLOSE)), "loss_start": F.when(learnt, F.length("head of turn")), "loss_chars": F.when(learnt, F.length("body of turn"))}
+    return turns.withColumns({"head of turn": head, "body of turn": text}).withColumns(made).drop("head of turn", "body of turn", "role", "text")
 
 
 def parsed(segment: str) -> tuple[str, str]:

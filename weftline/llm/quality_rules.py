@@ -107,17 +107,20 @@ def verdict(rules: list[Rule]) -> Column:
     return F.lit(True) if out is None else out.otherwise(F.lit(True))
 
 
-def learn(stats: DataFrame, label_col: str = "quality", most_rules: int = 6, most_conditions: int = 3, bins: int = 24, least_precision: float = 0.8, least_rows: int = 5) -> list[Rule]:
+def learn(stats: DataFrame, label_col: str = "quality", bins: int = 24, least_precision: float = 0.8, least_rows: int = 5, least_share: float = 0.005) -> list[Rule]:
     """A decision list from statistics() with a label, 0 for low quality; rows without a label don't count.
 
     Two thirds of the rows, by a hash of their values, grow rules and the rest prune them. Candidate thresholds are the bounds
-    of equal-frequency bins. A rule is taken while its precision on the pruning rows and on all rows is enough. Ties go to the
-    measure listed first, then the lower threshold. No labelled rows, or none of low quality: no rules.
+    of equal-frequency bins. A rule is grown until it covers rows of low quality alone or no condition gains anything. Covering goes
+    on while a rule holds for least_rows rows and least_share of those of low quality, of all that it covers least_precision are of
+    low quality, and of what it covers among the pruning rows, if anything, half. Ties go to the measure listed first, then the
+    lower threshold. No labelled rows, or none of low quality: no rules.
     """
     names = list(MEASURES)
     rows = written(stats.where(F.col(label_col).isNotNull()).select((F.col(label_col) == 0).cast("int").alias("bad"), F.pmod(F.xxhash64(*[c for c in stats.columns]), F.lit(3)).alias("part"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "upper_chars"), "labelled")
     try:
-        if not rows.where("bad = 1").limit(1).count():
+        low = rows.where("bad = 1").count()
+        if not low:
             return []
         quantiles = [(k + 1) / bins for k in range(bins - 1)]
         bounds_row = rows.agg(*(F.percentile_approx(F.floor(m()).cast("long"), quantiles, 10_000).alias(f"m{k}") for k, m in enumerate(MEASURES.values()))).first()
@@ -141,11 +144,11 @@ def learn(stats: DataFrame, label_col: str = "quality", most_rules: int = 6, mos
             return int(r[0]), int(r[1])
 
         rules: list[Rule] = []
-        while len(rules) < most_rules:
+        while True:
             left = verdict(rules)
             growing, pruning = left & (F.col("part") > 0), left & (F.col("part") == 0)
             rule: Rule = ()
-            while len(rule) < most_conditions:
+            while True:
                 hist = histogram(growing & covers(rule))
                 all_bad, all_n = (sum(x[i] for x in hist[0].values()) for i in (0, 1))
                 if not all_bad or all_bad == all_n:
@@ -173,7 +176,7 @@ def learn(stats: DataFrame, label_col: str = "quality", most_rules: int = 6, mos
                 worth.append(((2 * p - n) / (n + 1), -k))
             rule = rule[: -max(worth)[1]]
             held, taken = counts(rule, pruning), counts(rule, left)
-            if taken[1] < least_rows or taken[0] < least_precision * taken[1] or (held[1] and held[0] < 0.5 * held[1]):
+            if taken[1] < least_rows or taken[0] < least_share * low or taken[0] < least_precision * taken[1] or (held[1] and held[0] < 0.5 * held[1]):
                 break
             rules.append(rule)
         return rules
