@@ -136,6 +136,23 @@ def test_base_spans_and_redaction(spark):
     assert secrets.redact("abcdef", [(1, 3), (2, 4)]) == "a<SECRET>ef"
 
 
+def test_base_spans_of_documents_equal_brute_force(spark, sf):
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r["doc_id"]: r for r in secrets.op2_secrets(spark, sf).collect()}
+    assert set(got) == set(texts)
+    for i, t in texts.items():
+        want = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 6]
+        want += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20] + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        spans = [f"{secrets.KINDS[k]}:{a}:{z}" for a, k, z in sorted(want)]
+        r = got[i]
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(k == c for _, k, _ in want) for c in range(3))
+        assert r["base_sha256"] == hashlib.sha256(",".join(spans).encode()).hexdigest()
+        found = r["spans"].split(",") if r["spans"] else []
+        assert [x for x in found if not x.startswith("net:")] == spans
+        net = [tuple(map(int, x.split(":")[1:])) for x in found if x.startswith("net:")]
+        assert all(z <= a or e <= s for s, e in net for a, _, z in want) and all(0 <= s < e <= len(t) for s, e in net)
+
+
 def test_network_finds_secrets_it_has_not_seen():
     net, held = secrets.default_net(), secrets.labelled_findings(600, seed=99)
     score = net.scores([secrets.seen(t, s, e) for t, s, e, _ in held])
@@ -192,6 +209,18 @@ def test_statistics_equal_brute_force(spark, sf):
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == brute_statistics(texts[r["doc_id"]])
 
 
+def test_verdicts_of_documents_equal_brute_force(spark, sf):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    out, rules = quality_rules.judged(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    for r in out.collect():
+        n, chars, symbols, dup, rep = brute_statistics(texts[r["doc_id"]])
+        upper = len(re.findall("[A-Z]", texts[r["doc_id"]] or ""))
+        by_name = dict(zip(quality_rules.MEASURES, (1000 * symbols / max(chars, 1), 1000 * rep / max(n, 1), 1000 * upper / max(chars, 1), 1000 * chars / max(n, 1), n, dup), strict=True))
+        holds = lambda c: (int(by_name[c.measure]) >= c.threshold) == c.above
+        failed = n < 10 or 100 * rep > 20 * n
+        assert r["base_failed"] == failed and r["kept"] == (not failed and not any(all(map(holds, rule)) for rule in rules))
+
+
 def test_rules_are_learnt_and_ordered(spark):
     rnd = random.Random(5)
     texts, labels = [], []
@@ -372,6 +401,23 @@ def test_planted_items(spark):
     assert decontamination.contaminated(empty_docs(spark), bench.where("false")).count() == 0
 
 
+def test_documents_that_hold_items_equal_brute_force(spark, sf):
+    """Without names: whatever holds half of an item's windows word by word is found, and nothing that shares no word run with it."""
+
+    def words(t):
+        t = re.sub("[ ⟨⟩\\t\\n\\x0b\\x0c\\r]+", " ", t or "").lower()
+        return re.sub("[" + re.escape(decontamination.SIGNS) + "]", "", t).split(" ")
+
+    windows = lambda w: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    items = {r["item_id"]: windows(words(r["text"])) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    docs = {r["doc_id"]: words(r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.op8_decontamination(spark, sf).collect()}
+    shared = {(i, k): len(windows(w) & item) / len(item) for i, w in docs.items() for k, item in items.items()}
+    assert {p for p, x in shared.items() if x >= 0.5} <= got
+    loose = lambda w: {x for x in w if len(x) > 3}
+    assert all(len(loose(docs[i]) & {x for w in items[k] for x in loose(w)}) >= 2 for i, k in got)
+
+
 def test_names_at_sentence_starts_and_in_runs(spark):
     items = ["Anna has 12 apples. Bob gives her 5 more. Carl takes 3 apples away. How many apples does Anna have?", 'One day "Anna Maria Lopez saw 3 birds (Bob Lee Smith told 4 friends) and both went home']
     docs = [
@@ -517,6 +563,29 @@ def test_differencing_balances():
     assert all(sorted(row) == list(range(8)) for row in out.tolist())
 
 
+def test_cells_are_differenced_as_a_whole_table_would_be(spark):
+    rnd = random.Random(6)
+    texts = ["x" * rnd.randint(0, 400) + str(k) for k in range(400)] + ["same"] * 50 + [None, None, ""]
+    df = docs_of(spark, texts)
+    spread = {}
+    for cells in (10_000, 40):
+        rows = sharding.shards(df, cell_groups=cells).collect()
+        totals, groups = Counter(), {}
+        for r in rows:
+            totals[r["shard"]] += r["size"]
+            groups.setdefault(texts[r["doc_id"]], set()).add(r["shard"])
+        assert len(rows) == len(texts) and all(len(x) == 1 for x in groups.values())
+        spread[cells] = max(totals.values()) - min(totals.values())
+    # One cell is Karmarkar-Karp over all groups itself; more cells may not be much worse than it.
+    sizes = Counter()
+    for t in texts:
+        sizes[t] += len((t or "").encode()) + 1
+    sums = np.zeros((len(sizes), 8), np.int64)
+    sums[:, 0] = [n for _, n in sorted(sizes.items(), key=lambda x: -x[1])]
+    whole = np.bincount(sharding.differenced(sums)[:, 0], sums[:, 0], 8)
+    assert spread[10_000] <= whole.max() - whole.min() + 2 and spread[40] <= 20
+
+
 def test_shards_of_documents(spark, sf):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = sharding.op10_sharding(spark, sf).collect()
