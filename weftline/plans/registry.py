@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import tidied
 from ..streaming import queries as streaming
 from . import ranking_queries, scalar_queries
 
@@ -13,7 +14,8 @@ _PARTS = (scalar_queries, ranking_queries, streaming)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for part in _PARTS for k, f in part.QUERIES.items()}
+    """Each query deletes what its operators have kept, but for its result."""
+    return {k: tidied(f) for part in _PARTS for k, f in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import evaluation as E
-from ..session import shared_folder
+from ..session import new_folder
 from ..schema import SQL, embedded, ground_truth, patches, table
 from ..sources import changes as G
 from ..sources import files as S
@@ -47,7 +46,7 @@ def load_patches_train(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(over_p("select source, target from gt"))
 def ground_truth_load(spark: SparkSession, sf: str) -> DataFrame:
-    path = f"{shared_folder(spark)}/links-{uuid.uuid4().hex}"
+    path = new_folder(spark, "links")
     S.write_csv(ground_truth(spark, sf).toDF("source_patch_id", "target_patch_id"), path)
     return S.read_links(spark, path)
 
@@ -55,7 +54,7 @@ def ground_truth_load(spark: SparkSession, sf: str) -> DataFrame:
 @query(over_p("select patch_id, title, description, array_to_string(files, ',') as files from p"))
 def sidecar(spark: SparkSession, sf: str) -> DataFrame:
     """Texts written as JSON lines and read again."""
-    path = f"{shared_folder(spark)}/texts-{uuid.uuid4().hex}"
+    path = new_folder(spark, "texts")
     S.write_json(patches(spark, sf).select("patch_id", "title", "description", "files"), path)
     return S.read_texts(spark, path).withColumn("files", F.array_join("files", ","))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.windows import DAY
 from ..schema import SQL, patch_view, patches, table
-from ..session import shared_folder
+from ..session import new_folder
 from .stages import arriving, per_day
 
 QUERIES: dict = {}
@@ -34,7 +34,7 @@ def streamed_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 def streamed_candidates(spark: SparkSession, sf: str) -> DataFrame:
     near = arriving(_stream(spark, sf).where("n % 50 = 0"), patches(spark, sf), 1)
-    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "stream")
     near.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(near.schema).parquet(f"{folder}/out")
 
