@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import dropped, scratch, tidied  # noqa: F401
+from ..session import kept as written
+
 #: What separates words: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = "\t\n\x0b\x0c\r"
 #: Bytes of text that a Python worker turns into objects at a time; one row is never cut.
@@ -24,40 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir names it. In local mode, where all is one machine, a
-    temporary one takes its place; on a cluster ValueError is raised, as a folder of one machine would lose rows."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        own = tempfile.mkdtemp(prefix="weftline-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        found = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, cut from its lineage: a Parquet table in the shared folder, which outlives any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/weftline-{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Deletes the files of all tables of written() that these read, when nothing needs them any more. A result that reads such
-    tables can be given too, once it has been stored or used up."""
-    for df in tables:
-        conf = df.sparkSession._jsc.hadoopConfiguration()
-        for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if "/weftline-" in parent:
-                path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(parent)
-                path.getFileSystem(conf).delete(path, True)
-
-
 def sliced(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = SLICE) -> Iterator[pa.RecordBatch]:
     """Arrow batches in slices of so many bytes in a column of texts, so that what is made of them is bounded however many long
     texts a batch has. A slice has one row at least. Memory that Arrow keeps is given back at the end."""
@@ -89,11 +54,11 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def ordered_numbers(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+def ordered_numbers(rows: DataFrame, keys: list[str], name: str, keep: list[str] | None = None) -> DataFrame:
     """rows with a column of that name: numbers without gaps, in the order of the keys, by a sort over all partitions. The driver
-    sees one count for each partition."""
+    sees one count for each partition. Of the columns only those of keep are stored, if it is given."""
     spark = rows.sparkSession
-    sorted_rows = rows.repartitionByRange(parts(spark), *keys).sortWithinPartitions(*keys)
+    sorted_rows = rows.repartitionByRange(parts(spark), *keys).sortWithinPartitions(*keys).select(*(keep or rows.columns))
     kept = written(sorted_rows.withColumn("row within", F.monotonically_increasing_id()), "in-order")
     part, within = F.shiftright("row within", 33), F.col("row within").bitwiseAND(F.lit((1 << 33) - 1))
     firsts, n = [], 0
