@@ -53,6 +53,16 @@ def test_odd_and_empty_tables(spark, name):
     assert OPERATORS[name](spark, empty_docs(spark)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["op1_chat_format", "op3_quality_rules", "op5_suffix_dedup", "op8_decontamination", "op9_minhash", "op10_sharding", "op11_prefix_trie", "op12_url_filter", "pipeline"])
+def test_only_the_result_is_left(spark, sf, name):
+    import __spark_entry__
+
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(folder))
+    __spark_entry__.queries()[name](spark, sf).count()
+    assert len(set(os.listdir(folder)) - before) <= 1
+
+
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_equals_sql(spark, duck, sf, name):
     assert rows_of(registry.queries()[name](spark, sf)) == rows_of_sql(duck, registry.oracle_sql()[name])
@@ -401,21 +411,35 @@ def test_planted_items(spark):
     assert decontamination.contaminated(empty_docs(spark), bench.where("false")).count() == 0
 
 
-def test_documents_that_hold_items_equal_brute_force(spark, sf):
-    """Without names: whatever holds half of an item's windows word by word is found, and nothing that shares no word run with it."""
+def held_word_by_word(item, text):
+    """Whether half of the windows of five words of an item are in a text, where words are what letters and digits there are between
+    white space; of shorter items all words in a row."""
+    words = lambda t: [w for w in ("".join(c for c in x if c.isalnum() or c not in decontamination.SIGNS).lower() for x in re.split("[ \t\n\x0b\x0c\r]+", t or "")) if any(c.isalnum() for c in w)]
+    runs = lambda w, n: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+    of = words(item)
+    wanted = runs(of, min(5, len(of))) if of else set()
+    return bool(wanted) and len(wanted & runs(words(text), min(5, len(of)))) >= len(wanted) / 2
 
-    def words(t):
-        t = re.sub("[ ⟨⟩\\t\\n\\x0b\\x0c\\r]+", " ", t or "").lower()
-        return re.sub("[" + re.escape(decontamination.SIGNS) + "]", "", t).split(" ")
 
-    windows = lambda w: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
-    items = {r["item_id"]: windows(words(r["text"])) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
-    docs = {r["doc_id"]: words(r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+def test_documents_that_hold_items_equal_brute_force(spark, sf):
+    """Whatever holds half of an item's windows word by word is found; what else is found shares half of its windows but for
+    numbers and capitalised words."""
+    items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = {(r["doc_id"], r["item_id"]) for r in decontamination.op8_decontamination(spark, sf).collect()}
-    shared = {(i, k): len(windows(w) & item) / len(item) for i, w in docs.items() for k, item in items.items()}
-    assert {p for p, x in shared.items() if x >= 0.5} <= got
-    loose = lambda w: {x for x in w if len(x) > 3}
-    assert all(len(loose(docs[i]) & {x for w in items[k] for x in loose(w)}) >= 2 for i, k in got)
+    want = {(i, k) for i, t in docs.items() for k, item in items.items() if held_word_by_word(item, t)}
+    assert want and want <= got
+    typed = lambda t: re.sub("[0-9]+(?:[.,:/][0-9]+)*", " 0 ", re.sub("\\b[A-ZÀ-Þ]\\w*", "N", t))
+    assert all(held_word_by_word(typed(items[k]), typed(docs[i])) for i, k in got - want)
+
+
+@pytest.mark.parametrize("apart", [" , ", "\n-- , ", ", ", " ... ", "\t(  ", " "])
+def test_signs_that_stand_alone_and_white_space_are_no_words(spark, apart):
+    item = f"one two three four{apart}five six seven eight{apart}nine ten eleven twelve"
+    bench = spark.createDataFrame([(0, item), (1, "\ncapital of france"), (2, "what is the capital of spain ?"), (3, f" anna saw 3 birds{apart}and 4 cats there{apart}on 3 days ")], "item_id long, text string")
+    docs = ["so one two three four, five six seven eight, nine ten eleven twelve.", "one two three four five six seven eight , nine ten eleven twelve", "the capital of france is", "\n what is the capital of spain?", "so anna saw 5 birds and 6 cats there , on 5 days", "so anna saw 5 birds and 6 cats there , on 7 days", " , ", "?"]
+    got = decontamination.contaminated(docs_of(spark, docs), bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(0, 0), (1, 0), (2, 1), (3, 2), (4, 3)}
 
 
 def test_names_at_sentence_starts_and_in_runs(spark):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import parts, table, written
+from .common import parts, table, tidied, written
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 #: Strings that a text must not hold unescaped: the template's own and those of other common templates.
@@ -154,6 +154,7 @@ def chains(turns: DataFrame) -> DataFrame:
     return linked.select(F.col("conv_id").alias("tree"), "node", parent.alias("parent"), "role", "text", F.lit(1.0).alias("score"))
 
 
+@tidied
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"

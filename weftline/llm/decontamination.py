@@ -12,7 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, tidied, written
 
 WINDOW = 5
 #: Share of an item's windows, or words of one unbroken run, from which on a document holds the item.
@@ -27,6 +27,10 @@ UNITS = (
 )
 #: Signs that are not part of a template word.
 SIGNS = ".,;:!?\"'()[]{}#*$%&|<>"
+#: Signs that are part of a word within it, and no word where they stand alone.
+DASHES = "-–—"
+_OPEN = re.escape(SIGNS)
+NO_WORD = f"[{_OPEN}]|(?<![^ {_OPEN}])[{DASHES}]+(?![^ {_OPEN}])"
 
 
 #: A capitalised word: "Anna", "O'Brien" and "Jean-Paul" are one each.
@@ -56,11 +60,12 @@ def bare(numbered_text: Column) -> Column:
 
 
 def marked(bare_text: Column) -> Column:
-    """The words of a bare text, without case and signs, as many as split(numbered text, ' ') has; names within sentences as
-    ⟨qname⟩, other capitalised words as ⟨pword⟩, so that one split serves all forms."""
+    """The words of a bare text, without case and signs; names within sentences as ⟨qname⟩, other capitalised words as ⟨pword⟩, so
+    that one split serves all forms. What is empty without its signs is no word: a sign that stands alone, or white space at the
+    text's ends, doesn't part words that follow each other."""
     every = F.regexp_replace(bare_text, FORMS[ALL], "⟨p$1⟩")
     within = F.regexp_replace(every, "⟨p(?<=[\\p{Ll},;]⟩? ⟨p)", "⟨q")  # as FORMS[WITHIN] has it
-    return F.split(F.regexp_replace(F.lower(within), f"[{re.escape(SIGNS)}]", ""), " ")
+    return F.array_remove(F.split(F.regexp_replace(F.lower(within), NO_WORD, ""), " "), "")
 
 
 def hashed(words: Column) -> Column:
@@ -112,6 +117,7 @@ def document_windows(docs: DataFrame, id_col: str, text_col: str, widths: list[i
     return each.select(id_col, "at", F.explode(F.concat(*found) if len(found) > 1 else found[0]).alias("window")).where("window is not null")
 
 
+@tidied
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row for each document and item that it holds: doc id, item id, n_windows (the item's), n_matched, run_words and
     verbatim (no placeholder's value differs).
@@ -121,7 +127,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     of the windows without any. Other occurrences and stray matches elsewhere don't count against one that holds. Where all
     capitalised words are names, those that differ have to be no more than half of the words. n_matched and run_words are those
     of the best place. Null and blank texts and items hold nothing and are held by nothing. An item of fewer words than a window
-    is held by a document that has all of them in a row. Rows of one id are texts, or items, of their own, and the best of them
+    is held by a document that has all of them in a row. Signs that stand alone and white space at the ends of a text are no words. Rows of one id are texts, or items, of their own, and the best of them
     counts; ids that are null are left out. Empty tables give no rows.
     """
     found = _found(docs.where(F.col(id_col).isNotNull()), benchmark.where(F.col(item_col).isNotNull()), id_col, text_col, item_col, item_text)
@@ -134,6 +140,7 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+@tidied
 def contaminated_rows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, text_key) of each row of docs that holds an item, as contaminated() has it, whatever its id is, null too."""
     found = _found(docs, benchmark, id_col, text_col, item_col, item_text)
@@ -216,7 +223,8 @@ def _places() -> Column:
 
 def _values(rows: DataFrame, id_col: str, text_col: str, form: int) -> DataFrame:
     """(id, at, value): the words that have placeholders in a form, with their values, by their place."""
-    words = rows.select(id_col, F.posexplode(F.split(named(numbered(F.col(text_col)), form), " ")).alias("at", "value"))
+    split = F.split(named(numbered(F.col(text_col)), form), " ")
+    words = rows.select(id_col, F.posexplode(F.filter(split, lambda w: F.translate(w, SIGNS + DASHES, "") != "")).alias("at", "value"))
     return words.where(F.contains("value", F.lit("⟨"))).withColumn("value", F.lower(F.translate("value", SIGNS.replace(":", ""), "")))
 
 

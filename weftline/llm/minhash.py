@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, parts, sliced, table, written
+from .common import dropped, parts, sliced, table, tidied, written
 
 #: Bands and minima in each: a pair of similarity 0.8 shares no band with a chance of (1 - 0.8**4)**28, 4 in 10 million.
 BANDS, ROWS = 28, 4
@@ -146,6 +146,7 @@ def _bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+@tidied
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row for each row of docs: its id, n_shingles (size of its set), component_id (smallest id reachable over links, its
     own included) and kept (whether that is its own).

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import parts, table, written
+from .common import parts, table, tidied, written
 
 #: Groups that a cell holds on average, at most.
 CELL_GROUPS = 20_000
@@ -59,6 +59,7 @@ def differenced(sums: np.ndarray) -> np.ndarray:
     return out
 
 
+@tidied
 def shards(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text", cell_groups: int = CELL_GROUPS) -> DataFrame:
     """One row for each row of docs: its id, size (UTF-8 bytes of the text plus 1), text_crc32, shard and slot.
 

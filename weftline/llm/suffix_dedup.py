@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, ordered_numbers, parts, sliced, table, written
+from .common import dropped, ordered_numbers, parts, sliced, table, tidied, written
 from .deep_shallow import deep_shallow
 from .minhash import _BYTES, _bytes, _mixed, _powers
 
@@ -100,6 +100,7 @@ def repeated_in(lefts: list[bytes], rights: list[bytes]) -> list[tuple[int, int,
     return out + list(zip(which[rows].tolist(), lo.tolist(), (hi - 1).tolist(), strict=True))
 
 
+@tidied
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_meeting: int = MOST_MEETING) -> DataFrame:
     """One row for each row of docs: its id, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256.
 
