@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.bpe_codec import encode_digests
-from weftline.llm.common import dropped, ordered_numbers, table, written
+from weftline.llm.common import dropped, ordered_numbers, scratch, table, written
 from weftline.llm.decontamination import contaminated_rows, text_key
 from weftline.llm.minhash import components
 from weftline.llm.secrets import redacted
@@ -24,7 +24,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def _without(docs: DataFrame, rows: DataFrame, *keys: str) -> DataFrame:
     """docs without the rows that have these keys; nulls are equal."""
-    rows = written(rows.select(*(F.col(k).alias(f"out {k}") for k in keys)), "left-out")
+    found, rows = rows, written(rows.select(*(F.col(k).alias(f"out {k}") for k in keys)), "left-out")
+    dropped(found)
     same = F.lit(True)
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"out {k}"))
@@ -74,9 +75,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage. A stage's result and all that its operators have kept are deleted once the next stage is stored."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        result = stage(spark, docs, sf_dir)
-        docs = written(result, f"stage-{name}")
-        dropped(result)  # what it read: the stage before and what its operators have kept
+        with scratch(spark) as made:
+            docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+            own = made.pop()
+            if before:
+                made.append(before)
+            before = own
     return docs
