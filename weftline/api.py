@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .config import USUAL, Settings
 from .operators import evaluation, pools, ranking, rerank, retrieval, windows
+from .operators.vector_index import VectorIndex
 from .sources import files
 from .sources.changes import Client, normalised
 
@@ -57,12 +58,13 @@ class Engine:
         zero = rows.select(F.transform("vector", lambda x: F.lit(0.0)).alias("vector")).limit(1)
         return one.join(F.broadcast(zero)).withColumns({"n": F.lit(-1).cast("long"), "q": F.lit(-1).cast("long")})
 
-    def candidate_pool(self, project: str, queries: DataFrame, strategy: str = "file_boost") -> DataFrame:
-        """(q, n, pool, place): for queries (rows of the project with q) the window, the nearest vectors and retrieval, each
-        candidate where it comes first."""
+    def candidate_pool(self, project: str, queries: DataFrame, strategy: str = "file_boost", index: VectorIndex | None = None) -> DataFrame:
+        """(q, n, pool, place): for queries (rows of the project with q) the window, the nearest vectors - from an index, if one is
+        given - and retrieval, each candidate where it comes first."""
         rows, s = self._table(project), self.settings
         win = windows.candidates(queries, rows, s.window_days).select("q", "n", F.col("n").alias("place"))
-        ann = pools.ann_pool(queries, rows, s.ann_k, s.ann_days).withColumnRenamed("rank", "place")
+        near = index.search(queries, 3 * s.ann_k + 5) if index else None
+        ann = pools.ann_pool(queries, rows, s.ann_k, s.ann_days, near).withColumnRenamed("rank", "place")
         return pools.ordered_union(win, ann, pools.rag_pool(queries, rows, strategy, s.pool_k, s.pool_days).withColumnRenamed("rank", "place"))
 
     def rank_ml_to_rag(self, project: str, queries: DataFrame, ranker: ranking.Ranker = ranking.PLAIN, candidates: int = 50, top_k: int | None = None) -> DataFrame:

@@ -37,6 +37,13 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     left = queries.select("q", vector, block("q", of_queries).alias("a"), every(of_rows).alias("b"))
     right = corpus.select("n", vector, block("n", of_rows).alias("b")).withColumn("a", every(of_queries))
 
+    return top(meetings(left, right, k), k, "sem")
+
+
+def meetings(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
+    """(q, n, sem): for all left rows (q, vector, a, b) the k best of the right rows (n, vector, a, b) in the same blocks a and b, by
+    similarity to nine places, then the smaller row."""
+
     def best(asked: pa.Table, rows: pa.Table) -> pa.Table:
         ids, n = asked["q"].to_numpy(), rows["n"].to_numpy()
         found = []
@@ -45,14 +52,22 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
             take = min(k, len(n))
             for at in range(0, len(ids), STEP):
                 sims = np.round(matrix[at : at + STEP] @ others, 12)
-                # By similarity to nine places, then the smaller row.
-                order = np.stack([np.lexsort((n, -np.round(s, 9)))[:take] for s in sims])
+                order = _first(np.round(sims, 9), n, take)
                 found.append((np.repeat(ids[at : at + STEP], take), n[order].ravel(), np.take_along_axis(sims, order, 1).ravel()))
         columns = [np.concatenate(c) for c in zip(*found, strict=True)] or [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table({"q": pa.array(columns[0], pa.int64()), "n": pa.array(columns[1], pa.int64()), "sem": pa.array(columns[2], pa.float64())})
 
-    met = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(best, "q bigint, n bigint, sem double")
-    return top(met, k, "sem")
+    return left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(best, "q bigint, n bigint, sem double")
+
+
+def _first(sims: np.ndarray, n: np.ndarray, take: int) -> np.ndarray:
+    """The columns of the best of each row, equal ones by their n. Only what reaches the last place is sorted."""
+    rows = range(len(sims))
+    if take == sims.shape[1]:
+        return np.stack([np.lexsort((n, -sims[r])) for r in rows])
+    least = np.partition(sims, sims.shape[1] - take, axis=1)[:, sims.shape[1] - take]
+    reach = (np.flatnonzero(sims[r] >= least[r]) for r in rows)
+    return np.stack([c[np.lexsort((n[c], -sims[r, c]))[:take]] for r, c in zip(rows, reach, strict=True)])
 
 
 def _matrix(rows: pa.Table) -> np.ndarray:
