@@ -20,9 +20,11 @@ from ..operators import ranking as K
 from ..operators import rerank as L
 from ..operators import retrieval as R
 from ..operators import windows as W
+from ..operators.boosting import LambdaMart
 from ..operators.vector_index import VectorIndex
 from ..schema import SQL, embedded, ground_truth, patches
 from ..session import kept, new_folder
+from ..sources.store import read_trees, write_trees
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -620,23 +622,52 @@ def rerank_counters(spark: SparkSession, sf: str) -> DataFrame:
     return E.run_counters(done, shown).drop("mean_seconds")
 
 
-@query(None)
-def trained_ranker(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairwise ranker fitted to the links of anchors before the split, with negatives from the union of their pools, and applied
-    to the whole window of anchors after it, of which the first ten are returned. Unlinked candidates are drawn as negatives by
-    the similarity of their vectors."""
+def _labelled(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What rankers learn from: rows, anchors after the split, and pairs (q, n, label, features) of anchors before it, that is their
+    links and negatives from the union of their pools, drawn by the similarity of vectors."""
     rows = embedded(spark, sf)
     known = rows.select("patch_id")
     pairs = P.anchors(P.canonical_pairs(ground_truth(spark, sf)), rows)
     links = pairs.join(known.withColumnRenamed("patch_id", "positive"), "positive").select(F.col("anchor").cast("long").alias("q"), F.col("positive").cast("long").alias("n"))
+    links = kept(links, "links")
     split = P.split_time(patches(spark, sf)).first()["split_micros"]
     early = C.micros(F.col("created_time")) < F.lit(split)
-    q = rows.join(links.select(F.col("q").alias("n")).distinct(), "n", "left_semi").withColumn("q", F.col("n"))
+    q = kept(rows.join(links.select(F.col("q").alias("n")).distinct(), "n", "left_semi").withColumn("q", F.col("n")), "anchors")
     before, after = q.where(early), q.where(~early)
     links = links.join(before.select("q"), "q", "left_semi")
     of = lambda side: rows.select(F.col("n").alias(side), F.col("vector").alias(f"{side}_vector"))
-    pool = _union(before, rows).where("q != n").join(links, ["q", "n"], "left_anti")
+    # Pools are kept, so that what is planned from here on doesn't repeat them.
+    pool = kept(_union(before, rows).select("q", "n").where("q != n"), "pools").join(links, ["q", "n"], "left_anti")
     pool = pool.join(of("q"), "q").join(of("n"), "n").select("q", "n", C.cosine(F.col("q_vector"), F.col("n_vector")).alias("sem"))
-    labelled = P.negatives(pool).select("q", "n").withColumn("label", F.lit(0)).unionByName(links.withColumn("label", F.lit(1)))
-    ranker = K.Pairwise.fit(K.features(labelled.select("q", "n"), rows).join(labelled, ["q", "n"]))
+    labelled = kept(P.negatives(pool).select("q", "n").withColumn("label", F.lit(0)).unionByName(links.withColumn("label", F.lit(1))), "labelled")
+    return rows, after, kept(K.features(labelled.select("q", "n"), rows).join(labelled, ["q", "n"]), "features")
+
+
+@query(None)
+def trained_ranker(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairwise ranker fitted to the links of anchors before the split, with negatives from the union of their pools, and applied
+    to the whole window of anchors after it, of which the first ten are returned. Unlinked candidates are drawn as negatives by
+    the similarity of their vectors."""
+    rows, after, pairs = _labelled(spark, sf)
+    ranker = K.Pairwise.fit(pairs)
     return K.ml_stage(W.candidates(after, rows, USUAL.window_days).select("q", "n"), rows, ranker, 10).select("q", "n", "ml_rank")
+
+
+@query(None)
+def lambda_ranker(spark: SparkSession, sf: str) -> DataFrame:
+    """As trained_ranker, by LambdaMART, stopped early on a fifth of the anchors before the split; the ranker goes through its store."""
+    rows, after, pairs = _labelled(spark, sf)
+    path = new_folder(spark, "trees")
+    write_trees(spark, LambdaMart.fit(pairs), path, window_days=USUAL.window_days, top_k=USUAL.top_k)
+    ranker = read_trees(spark, path)
+    return K.ml_stage(W.candidates(after, rows, USUAL.window_days).select("q", "n"), rows, ranker, 10).select("q", "n", "ml_rank")
+
+
+@query(None)
+def importances(spark: SparkSession, sf: str) -> DataFrame:
+    """Features of the boosted ranker by the gain of their splits: place, feature, gain and share; features that no split uses have
+    no gain."""
+    model = LambdaMart.fit(_labelled(spark, sf)[2])
+    gains = model.importance()
+    total = sum(gains.values())
+    return spark.createDataFrame([(k + 1, f, g, g / total if total else 0.0) for k, (f, g) in enumerate(gains.items())], "place int, feature string, gain double, share double")
