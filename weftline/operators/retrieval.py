@@ -6,10 +6,12 @@ out only after the legs have been cut, as the order of these steps decides about
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,12 @@ from .windows import top, within
 
 #: Queries and rows of the corpus that meet in one task, at most; similarities are made for so many queries at once.
 QUERY_BLOCK, CORPUS_BLOCK, STEP = 16_384, 65_536, 256
+#: Queries and documents whose words meet in one task, at most, and of these queries and postings that are multiplied at a time.
+WORD_QUERIES, WORD_ROWS, QUERIES_STEP, POSTINGS_STEP = 2_048, 16_384, 32, 20_000
+#: Distinct words of queries that are broadcast, at most; beyond, both sides are shuffled.
+MOST_WORDS = 500_000
+#: Words that are counted at a time.
+WORDS_STEP = 1_000_000
 
 
 def nearest(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
@@ -81,26 +89,113 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 
 def postings(corpus: DataFrame, text: str = "text") -> DataFrame:
-    """(token, n, tf)."""
-    return corpus.select("n", F.explode(tokens(F.col(text))).alias("token")).groupBy("token", "n").agg(F.count("*").alias("tf"))
+    """(token, n, tf) of a corpus in which each n is one row. Words are counted where the text lies, so nothing is shuffled."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends = np.cumsum(pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < b.num_rows:  # rows of so many words at a time, one at least
+                upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + WORDS_STEP, side="right")))
+                part = b.slice(at, upto - at)
+                words = part.column(1).flatten().dictionary_encode()
+                kinds, row = len(words.dictionary), np.repeat(np.arange(upto - at), pc.list_value_length(part.column(1)).to_numpy(zero_copy_only=False))
+                found, tf = np.unique(row * kinds + words.indices.to_numpy(), return_counts=True)
+                row, word = (found // kinds, found % kinds) if kinds else (found, found)
+                yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(word)), part.column(0).take(pa.array(row)), pa.array(tf, pa.int64())], names=["token", "n", "tf"])
+                at = upto
+
+    kind = corpus.schema["n"].dataType.simpleString()
+    return corpus.select("n", tokens(F.coalesce(text, F.lit(""))).alias("words")).mapInArrow(counted, f"token string, n {kind}, tf bigint")
+
+
+def keyword_weights(queries: DataFrame, index: DataFrame, n_docs: int) -> DataFrame:
+    """(q, token, w): what one occurrence in a document adds to its score, occurrences in the query times ln(documents /
+    (occurrences in the corpus + 1))."""
+    asked = queries.select("q", F.explode(tokens(F.col("text"))).alias("token")).groupBy("q", "token").agg(F.count("*").alias("qtf"))
+    common = index.groupBy("token").agg(F.sum("tf").alias("cf"))
+    return asked.join(common, "token").select("q", "token", (F.col("qtf") * F.ln(F.lit(float(n_docs)) / (F.col("cf") + 1))).alias("w"))
 
 
 def keyword_scores(queries: DataFrame, index: DataFrame, n_docs: int) -> DataFrame:
-    """(q, n, kw): sum over occurrences in query and document of ln(documents / (occurrences in the corpus + 1)).
+    """(q, n, kw): sum over occurrences in query and document of ln(documents / (occurrences in the corpus + 1)), for all documents
+    that share a word with the query.
 
     Frequencies are summed by token before the join, so that a common word is one row of each query and document.
     """
-    asked = queries.select("q", F.explode(tokens(F.col("text"))).alias("token")).groupBy("q", "token").agg(F.count("*").alias("qtf"))
-    common = index.groupBy("token").agg(F.sum("tf").alias("cf"))
-    weighed = asked.join(common, "token").withColumn("w", F.col("qtf") * F.ln(F.lit(float(n_docs)) / (F.col("cf") + 1)))
-    return weighed.join(index, "token").groupBy("q", "n").agg(F.sum(F.col("w") * F.col("tf")).alias("kw"))
+    return keyword_weights(queries, index, n_docs).join(index, "token").groupBy("q", "n").agg(F.sum(F.col("w") * F.col("tf")).alias("kw"))
+
+
+def keyword_top(queries: DataFrame, index: DataFrame, n_docs: int, k: int) -> DataFrame:
+    """(q, n, kw, rank): the k best of keyword_scores() for each query."""
+    return top(keyword_meetings(kept(keyword_weights(queries, index, n_docs), "weights"), index, k), k, "kw")
+
+
+def keyword_meetings(weights: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """(q, n, kw): for weights (q, token, w) the k best of each block of the postings (token, n, tf), and so the k best of all.
+
+    Long queries have a word in common with nearly every document, so pairs are not written out: words become numbers, and blocks
+    of queries meet blocks of documents in tasks, which hand on their own best k of each query.
+    """
+    spread = int(weights.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_queries, n_rows = weights.select("q").distinct().count(), index.select("n").distinct().count()
+    of_queries = -(-n_queries // WORD_QUERIES) or 1
+    of_rows = max(1, -(-n_rows // WORD_ROWS), min(spread, n_rows // 64))
+    words = kept(weights.select("token").distinct().withColumn("id", F.monotonically_increasing_id()), "words")
+    few = F.broadcast(words) if words.count() <= MOST_WORDS else words
+    block = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    left = weights.join(few, "token").select("q", "id", "w", block("q", of_queries).alias("a"), every(of_rows).alias("b"))
+    numbers = few.select("token", F.col("id").alias("word"))
+    right = index.join(numbers, "token").select("n", "word", F.col("tf").cast("double").alias("tf"), block("n", of_rows).alias("b")).withColumn("a", every(of_queries))
+
+    def best(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        found = list(_word_scores(*(asked[c].to_numpy() for c in ("q", "id", "w")), *(rows[c].to_numpy() for c in ("n", "word", "tf")), k))
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] or [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table({"q": pa.array(columns[0], pa.int64()), "n": pa.array(columns[1], pa.int64()), "kw": pa.array(columns[2], pa.float64())})
+
+    return left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(best, "q bigint, n bigint, kw double")
+
+
+def _word_scores(q: np.ndarray, q_word: np.ndarray, w: np.ndarray, n: np.ndarray, n_word: np.ndarray, tf: np.ndarray, k: int):
+    """(q, n, kw) arrays of the k best of each query among documents that share a word with it, for some queries at a time."""
+    known = np.unique(q_word)
+    n, n_word, tf = (x[np.isin(n_word, known)] for x in (n, n_word, tf))
+    if not len(q) or not len(n):
+        return
+    order = np.argsort(n, kind="stable")
+    n, column, tf = n[order], np.searchsorted(known, n_word[order]), tf[order]
+    starts = np.flatnonzero(np.r_[True, n[1:] != n[:-1]])
+    rows, bounds = n[starts], np.r_[starts, len(n)]
+    queries, at = np.unique(q, return_inverse=True)
+    row_cuts = [0]
+    while row_cuts[-1] < len(rows):  # documents of so many postings at a time, one at least
+        upto = int(np.searchsorted(bounds, bounds[row_cuts[-1]] + POSTINGS_STEP, side="right")) - 1
+        row_cuts.append(max(row_cuts[-1] + 1, min(upto, len(rows))))
+    for first in range(0, len(queries), QUERIES_STEP):
+        some = (at >= first) & (at < first + QUERIES_STEP)
+        size = min(QUERIES_STEP, len(queries) - first)
+        matrix, there = np.zeros((size, len(known))), np.zeros((size, len(known)), bool)
+        place = at[some] - first, np.searchsorted(known, q_word[some])
+        matrix[place], there[place] = w[some], True
+        scores = np.empty((size, len(rows)))
+        for i, j in zip(row_cuts, row_cuts[1:], strict=False):
+            part = slice(bounds[i], bounds[j])
+            scores[:, i:j] = np.add.reduceat(matrix[:, column[part]] * tf[part], bounds[i:j] - bounds[i], axis=1)
+            if (scores[:, i:j] == 0).any():
+                shared = np.logical_or.reduceat(there[:, column[part]], bounds[i:j] - bounds[i], axis=1)
+                scores[:, i:j][~shared] = -np.inf
+        best = _first(np.round(scores, 9), rows, min(k, len(rows)))
+        kw = np.take_along_axis(scores, best, 1)
+        shared = kw > -np.inf
+        yield np.repeat(queries[first : first + size], best.shape[1])[shared.ravel()], rows[best][shared], kw[shared]
 
 
 def hybrid(queries: DataFrame, corpus: DataFrame, index: DataFrame, n_docs: int, top_k: int, days: float, s: Settings = USUAL, near: DataFrame | None = None) -> DataFrame:
     """(q, n, sem, kw, score, rank): the union of both legs, cut to retrieval_factor * top_k each; then window and self."""
     cut = s.retrieval_factor * top_k
     near = nearest(queries, corpus, cut) if near is None else near.where(F.col("rank") <= cut)
-    words = top(keyword_scores(queries, index, n_docs), cut, "kw")
+    words = keyword_top(queries, index, n_docs, cut)
     most = words.groupBy("q").agg(F.max("kw").alias("most"))
     both = near.select("q", "n", "sem").join(words.select("q", "n", "kw"), ["q", "n"], "full_outer").join(most, "q", "left")
     scored = both.select("q", "n", F.coalesce("sem", F.lit(0.0)).alias("sem"), F.coalesce("kw", F.lit(0.0)).alias("kw"), (s.semantic_weight * F.coalesce("sem", F.lit(0.0)) + s.keyword_weight * F.coalesce(F.try_divide(F.coalesce("kw", F.lit(0.0)), "most"), F.lit(0.0))).alias("score"))
@@ -133,7 +228,7 @@ def retrieve(queries: DataFrame, corpus: DataFrame, strategy: str = "multi_query
     if strategy == "semantic":
         return semantic(queries, corpus, top_k, days, s)
     text = payload(F.col("title"), F.col("description"))
-    index, n_docs = postings(corpus.withColumn("text", text)), corpus.count()
+    index, n_docs = kept(postings(corpus.withColumn("text", text)), "postings"), corpus.count()
     asked = queries.withColumn("text", text)
     if strategy == "hybrid":
         return with_files(hybrid(asked, corpus, index, n_docs, top_k * s.hybrid_fan_out, days, s), queries, top_k, s.file_weight, s.semantic_weight)

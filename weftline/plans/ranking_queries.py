@@ -220,7 +220,7 @@ def inverted_index(spark: SparkSession, sf: str) -> DataFrame:
 
 def _keywords(spark: SparkSession, sf: str, k: int, of=embedded) -> DataFrame:
     rows = of(spark, sf).withColumn("text", C.payload(F.col("title"), F.col("description")))
-    return W.top(R.keyword_scores(asked(spark, sf, rows), R.postings(rows), rows.count()), k, "kw")
+    return R.keyword_top(asked(spark, sf, rows), kept(R.postings(rows), "postings"), rows.count(), k)
 
 
 @query("select q, n, round(kw, 4) as kw, rank::integer as rank from k", POST.replace("from e)", "from p)"), _kw("k", TEXTS["full"], 25).replace("from e)", "from p)").replace("from e where", "from p where"))
@@ -230,7 +230,7 @@ def keyword_search(spark: SparkSession, sf: str) -> DataFrame:
 
 def _run_hybrid(spark: SparkSession, sf: str) -> DataFrame:
     rows = embedded(spark, sf).withColumn("text", C.payload(F.col("title"), F.col("description")))
-    return R.hybrid(asked(spark, sf, rows), rows, R.postings(rows), rows.count(), USUAL.top_k, USUAL.window_days)
+    return R.hybrid(asked(spark, sf, rows), rows, kept(R.postings(rows), "postings"), rows.count(), USUAL.top_k, USUAL.window_days)
 
 
 @query("select q, n, round(sem, 6) as sem, round(score, 6) as score, rank::integer as rank from h", SEM, POST, _hybrid("h", TEXTS["full"], 5))
