@@ -21,6 +21,7 @@ from ..operators import rerank as L
 from ..operators import retrieval as R
 from ..operators import windows as W
 from ..operators.boosting import LambdaMart
+from ..operators.file_join import top_by_files
 from ..operators.vector_index import VectorIndex
 from ..schema import SQL, embedded, ground_truth, patches
 from ..session import kept, new_folder
@@ -451,11 +452,8 @@ def _ranked(spark: SparkSession, sf: str, depth: int = 10, days: float = USUAL.w
 
 def _by_files(p: DataFrame, truth: DataFrame, depth: int, days: float) -> DataFrame:
     """The patches within some days of each that has a target, by what their files have in common, nearer ones first."""
-    side = lambda n: p.select(F.col("n").alias(n), F.col("created_time").alias(f"{n}_time"), F.array_distinct("files").alias("fq" if n == "q" else "files"))
-    # Files go through the join by time, so the pairs are made once and not dealt again.
-    pairs = W.band_join(side("q").join(truth.select("q").distinct(), "q", "left_semi"), side("n"), "q_time", "n_time", days).where("q != n")
-    score = C.set_jaccard(F.col("fq"), F.col("files")) - F.abs(C.micros(F.col("q_time")) - C.micros(F.col("n_time"))) / F.lit(8640000000000.0)
-    return W.top(pairs.select("q", "n", score.alias("score")), depth).drop("score")
+    queries = p.withColumnRenamed("n", "q").join(truth.select("q").distinct(), "q", "left_semi")
+    return top_by_files(queries, p, depth, days).drop("score")
 
 
 def _scores(spark: SparkSession, sf: str) -> DataFrame:
