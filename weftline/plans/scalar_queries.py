@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions.formats import duration, latency, progress
 from ..operators import evaluation as E
 from ..session import new_folder
 from ..schema import SQL, embedded, ground_truth, patches, table
@@ -59,6 +60,23 @@ def sidecar(spark: SparkSession, sf: str) -> DataFrame:
     return S.read_texts(spark, path).withColumn("files", F.array_join("files", ","))
 
 
+_clock = "case when s >= 3600 then (s // 3600) || ':' || lpad((s % 3600 // 60)::varchar, 2, '0') else (s // 60)::varchar end || ':' || lpad((s % 60)::varchar, 2, '0')"
+
+
+@query(over_p(f"select patch_id, {_clock} as took, case when n * 7 % 20000 < 10000 then (n * 7 % 20000) || 'ms' else (n * 7 % 20000 // 1000) || '.' || (n * 7 % 1000 // 100) || 's' end as latency from (select *, n * 37 % 100000 as s from p)"))
+def durations(spark: SparkSession, sf: str) -> DataFrame:
+    return patches(spark, sf).select("patch_id", duration(F.col("n") * 37 % 100000 + F.lit(0.5)).alias("took"), latency((F.col("n") * 7 % 20000).cast("decimal(12,3)") / 1000).alias("latency"))
+
+
+@query(over_p("select day, done || '/' || total || ', ' || (1000 * done // total // 10) || '.' || (1000 * done // total % 10) || '%, mrr ' || printf('%.4f', floor(10000 * (rr / done)) / 10000) || ', per second ' || printf('%.2f', floor(100 * (done / 60.0)) / 100) || ', left ' || " + _clock.replace("s ", "left_s ") + " || ', answered ' || (calls - failed) || ', cached ' || cached || ', failed ' || failed || ', mean call ' || coalesce((500 * calls // nullif(calls, 0)) || 'ms', '-') as shown from (select *, floor((total - done) / (done / 60.0))::bigint as left_s from (select strftime(created_time, '%Y-%m-%d') as day, count(*) as done, (select count(*) from p) as total, sum(0.25 * (n % 4)) as rr, count(*) filter (n % 3 > 0) as calls, count(*) filter (n % 3 = 2) as failed, count(*) filter (n % 3 = 0) as cached from p group by 1))"))
+def progress_of_days(spark: SparkSession, sf: str) -> DataFrame:
+    """A line of progress for each day, as if its patches had been ranked in a minute, two thirds of them by calls of half a second."""
+    p = patches(spark, sf)
+    each = p.groupBy(F.date_format("created_time", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("done"), F.sum(0.25 * (F.col("n") % 4)).alias("rr"), F.count_if(F.col("n") % 3 > 0).alias("calls"), F.count_if(F.col("n") % 3 == 2).alias("failed"), F.count_if(F.col("n") % 3 == 0).alias("cached"))
+    of = each.crossJoin(F.broadcast(p.agg(F.count("*").alias("total"))))  # one row
+    return of.select("day", progress(F.col("done"), F.col("total"), F.col("rr") / F.col("done"), F.lit(60.0), F.col("calls"), F.col("failed"), F.col("cached"), 0.5 * F.col("calls")).alias("shown"))
+
+
 @query(over_p("select patch_id, printf('%.1f', (n % 1000) / 10.0) || '%' as shown from p"))
 def percent(spark: SparkSession, sf: str) -> DataFrame:
     return patches(spark, sf).select("patch_id", C.percent(F.col("n") % 1000 / 1000).alias("shown"))

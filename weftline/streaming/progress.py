@@ -5,29 +5,48 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
-from ..functions.formats import progress_line
+from ..functions.formats import progress
 
 NAME = "running"
 
 
 def observed(rows: DataFrame, reciprocal_rank: str = "reciprocal_rank") -> DataFrame:
-    """rows, each micro-batch of which reports its count and its sum of reciprocal ranks."""
-    return rows.observe(NAME, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(reciprocal_rank), F.lit(0.0)).alias("rr"))
+    """rows, each micro-batch of which reports its count, its sum of reciprocal ranks and, where rows have a status and seconds of a
+    call, how many were asked for, failed or found in the cache, and how long the calls took."""
+    called = F.col("status") != "cached" if "status" in rows.columns else F.lit(False)
+    failed = F.col("status") == "failed" if "status" in rows.columns else F.lit(False)
+    cached = F.col("status") == "cached" if "status" in rows.columns else F.lit(False)
+    seconds = F.when(called, F.col("seconds")) if "seconds" in rows.columns else F.lit(None).cast("double")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
+    return rows.observe(NAME, F.count(F.lit(1)).alias("n"), total(reciprocal_rank).alias("rr"), F.count_if(called).alias("calls"), F.count_if(failed).alias("failed"), F.count_if(cached).alias("cached"), total(seconds).alias("seconds"))
 
 
 class Progress(StreamingQueryListener):
-    """Adds up what observed() streams report and says so after each micro-batch. Two numbers are held, however long a stream runs."""
+    """Adds up what observed() streams report and says so after each micro-batch. Six numbers are held, however long a stream runs."""
 
     def __init__(self, total: int | None = None, say: Callable[[str], None] = print):
-        self.total, self.say, self.began, self.n, self.rr = total, say, time.monotonic(), 0, 0.0
+        self.total, self.say, self.began = total, say, time.monotonic()
+        self.seen: dict[str, float] = dict.fromkeys(("n", "rr", "calls", "failed", "cached", "seconds"), 0)
+
+    @property
+    def n(self) -> int:
+        return self.seen["n"]
 
     @property
     def mrr(self) -> float | None:
-        return self.rr / self.n if self.n else None
+        return self.seen["rr"] / self.n if self.n else None
+
+    def line(self) -> str:
+        """What progress() makes of the numbers."""
+        s, now = self.seen, time.monotonic() - self.began
+        values = [s["n"], self.total, self.mrr, now, s["calls"], s["failed"], s["cached"], float(s["seconds"])]
+        kinds = ["long", "long", "double", "double", "long", "long", "long", "double"]
+        shown = progress(*(F.lit(v).cast(k) for v, k in zip(values, kinds, strict=True)))
+        return SparkSession.active().range(1).select(shown).first()[0]
 
     def onQueryStarted(self, event) -> None:
         self.began = time.monotonic()
@@ -35,8 +54,8 @@ class Progress(StreamingQueryListener):
     def onQueryProgress(self, event) -> None:
         found = event.progress.observedMetrics.get(NAME)
         if found is not None:
-            self.n, self.rr = self.n + found["n"], self.rr + found["rr"]
-            self.say(progress_line(self.n, self.total, self.mrr, time.monotonic() - self.began))
+            self.seen = {k: v + found[k] for k, v in self.seen.items()}
+            self.say(self.line())
 
     def onQueryIdle(self, event) -> None:
         pass
