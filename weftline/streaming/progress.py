@@ -30,6 +30,7 @@ class Progress(StreamingQueryListener):
 
     def __init__(self, total: int | None = None, say: Callable[[str], None] = print):
         self.total, self.say, self.began = total, say, time.monotonic()
+        self.spark = SparkSession.active()  # reports come in a thread that has none
         self.seen: dict[str, float] = dict.fromkeys(("n", "rr", "calls", "failed", "cached", "seconds"), 0)
 
     @property
@@ -46,7 +47,7 @@ class Progress(StreamingQueryListener):
         values = [s["n"], self.total, self.mrr, now, s["calls"], s["failed"], s["cached"], float(s["seconds"])]
         kinds = ["long", "long", "double", "double", "long", "long", "long", "double"]
         shown = progress(*(F.lit(v).cast(k) for v, k in zip(values, kinds, strict=True)))
-        return SparkSession.active().range(1).select(shown).first()[0]
+        return self.spark.range(1).select(shown).first()[0]
 
     def onQueryStarted(self, event) -> None:
         self.began = time.monotonic()
