@@ -35,7 +35,7 @@ def test_running_mrr_of_a_stream(spark, tmp_path):
     try:
         observed(stream).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
         until = time.time() + 20
-        while listener.n < 12 and time.time() < until:
+        while len(lines) < 3 and time.time() < until:
             time.sleep(0.1)
     finally:
         spark.streams.removeListener(listener)
