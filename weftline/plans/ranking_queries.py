@@ -328,8 +328,7 @@ def _union(q: DataFrame, rows: DataFrame) -> DataFrame:
     return P.ordered_union(win, ann, P.rag_pool(q, rows, "file_boost").withColumnRenamed("rank", "place"))
 
 
-def _negative_pool(spark: SparkSession, sf: str) -> DataFrame:
-    rows = embedded(spark, sf)
+def _negative_pool(spark: SparkSession, sf: str, rows: DataFrame) -> DataFrame:
     win = W.candidates(asked(spark, sf, rows), rows, USUAL.window_days).select("q", "n")
     linked = ground_truth(spark, sf).select(F.col("source").cast("long").alias("q"), F.col("target").cast("long").alias("n"))
     return win.join(linked, ["q", "n"], "left_anti")
@@ -338,9 +337,9 @@ def _negative_pool(spark: SparkSession, sf: str) -> DataFrame:
 NEG = "neg as (select q, n, sem from ewin where not exists (select 1 from gt where source = cast(q as varchar) and target = cast(n as varchar)))"
 
 
-@query("select q, n from neg", EWIN, NEG)
+@query(f"select a.n as q, b.n as n from p a join p b on a.n % 50 = 0 and a.n <> b.n and {GAP} <= {DAYS14} where not exists (select 1 from gt where source = a.patch_id and target = b.patch_id)")
 def negative_pool(spark: SparkSession, sf: str) -> DataFrame:
-    return _negative_pool(spark, sf)
+    return _negative_pool(spark, sf, patches(spark, sf))
 
 
 SAMPLED = """ranked as (select q, n, row_number() over (partition by q order by round(sem, 9) desc, n) as near, count(*) over (partition by q) as size from neg),
@@ -351,7 +350,7 @@ SAMPLED = """ranked as (select q, n, row_number() over (partition by q order by
 @query("select q, n, kind from kinds where kind is not null", EWIN, NEG, SAMPLED)
 def sample_negatives(spark: SparkSession, sf: str) -> DataFrame:
     vector = lambda side: embedded(spark, sf).select(F.col("n").alias(side), F.col("vector").alias(f"v{side}"))
-    pool = _negative_pool(spark, sf).join(vector("q"), "q").join(vector("n"), "n").select("q", "n", C.cosine(F.col("vq"), F.col("vn")).alias("sem"))
+    pool = _negative_pool(spark, sf, embedded(spark, sf)).join(vector("q"), "q").join(vector("n"), "n").select("q", "n", C.cosine(F.col("vq"), F.col("vn")).alias("sem"))
     return P.negatives(pool)
 
 

@@ -22,6 +22,24 @@ def arriving(stream: DataFrame, known: DataFrame, days: float) -> DataFrame:
     return new.join(old, "bucket").where(near & (F.col("q") != F.col("n"))).select("q", "n")
 
 
+def arriving_pairs(stream: Callable[[], DataFrame], days: float, late: str = "2 days") -> DataFrame:
+    """(q, n), q the smaller: patches of a stream that are at most so many days apart, whichever batches they come in. stream makes the
+    stream, which is read twice.
+
+    A join of the stream with itself on buckets of time, each as wide as the window. A patch is kept in the state until the watermark
+    says that none in its window can come any more, so the state holds what came within the window and the allowed delay. What
+    comes later than that is left out.
+    """
+    width = max(1, int(days * DAY))
+    timed = lambda side: stream().select(F.col("n").alias(side), F.col("created_time").cast("timestamp").alias(f"{side}_time")).withWatermark(f"{side}_time", late)
+    own = lambda side: F.floor(F.unix_micros(f"{side}_time") / F.lit(width))
+    left = timed("q").withColumn("bucket", F.explode(F.sequence(own("q") - 1, own("q") + 1)))
+    right = timed("n").withColumn("bucket of n", own("n"))
+    reach = f"interval {width // 1_000_000} seconds"
+    near = F.expr(f"q_time >= n_time - {reach} and q_time <= n_time + {reach}")
+    return left.join(right, (F.col("bucket") == F.col("bucket of n")) & near & (F.col("q") < F.col("n"))).select("q", "n")
+
+
 def per_day(stream: DataFrame, late: str = "2 days") -> DataFrame:
     """(day, n_patches): patches by day of creation; what comes later than the watermark allows isn't counted any more."""
     timed = stream.withColumn("at", F.col("created_time").cast("timestamp")).withWatermark("at", late)
