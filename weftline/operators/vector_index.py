@@ -61,7 +61,7 @@ class VectorIndex:
         sample = rows.where(draw & (norm(F.col("vector")) > 0)).select(array_to_vector("vector").alias("x")).persist()
         sampled = sample.count()
         if sampled:
-            centres = [list(map(float, c)) for c in KMeans(k=max(2, min(cells, sampled)), featuresCol="x", distanceMeasure="cosine", seed=seed, maxIter=10).fit(sample).clusterCenters()] if cells > 1 and sampled > 1 else [list(map(float, sample.first()["x"]))]
+            centres = [list(map(float, c)) for c in KMeans(k=max(2, min(cells, sampled)), featuresCol="x", distanceMeasure="cosine", initMode="random", seed=seed, maxIter=8).fit(sample).clusterCenters()] if cells > 1 and sampled > 1 else [list(map(float, sample.first()["x"]))]
         else:
             centres = [[0.0] * len((rows.first() or {"vector": [0.0]})["vector"])]
         sample.unpersist()
