@@ -66,3 +66,35 @@ def test_etl_command(tmp_path, spark):
     assert (stats["patches"], stats["with_file"], stats["with_no_links"], stats["ok"], stats["via_number"]) == (3, 2, 1, 1, 1)
     with pytest.raises(FileNotFoundError):
         files.read_texts(spark, str(tmp_path / "nothing"))
+
+
+def test_train_rank_compare_and_evaluate_commands(tmp_path, spark, sf, capsys):
+    from pyspark.sql import functions as F
+
+    from weftline.__main__ import main
+    from weftline.schema import ground_truth
+    from weftline.sources.store import read_trees
+
+    model, ranked = str(tmp_path / "model"), str(tmp_path / "ranked")
+    assert main(["train", sf, model]) == 0
+    assert read_trees(spark, model).about["window_days"] == 14
+    assert main(["rank", sf, ranked, "--model", model]) == 0
+    assert main(["compare", ranked, ranked]) == 0
+    assert "both" in capsys.readouterr().out
+    ground_truth(spark, sf).select(F.col("source").cast("long").alias("q"), F.col("target").cast("long").alias("n")).write.parquet(str(tmp_path / "truth"))
+    assert main(["evaluate", ranked, str(tmp_path / "truth"), str(tmp_path / "metrics")]) == 0
+    found = spark.read.json(str(tmp_path / "metrics")).first()
+    assert found["n_queries"] > 0 and 0 <= found["mrr"] <= 1
+
+
+def test_full_chain_of_the_facade(spark, sf):
+    from pyspark.sql import functions as F
+
+    rows = embedded(spark, sf)
+    e = Engine({"docs": rows})
+    queries = rows.where("n % 100 = 0").withColumn("q", F.col("n"))
+    before = {(r["q"], r["n"]): r["rank"] for r in e.rank_ml_to_rag("docs", queries, top_k=12).collect()}
+    down = e.rank_full("docs", queries, lambda prompt: 1 / 0, "m", top_k=12).collect()
+    assert {(r["q"], r["n"]): r["rank"] for r in down} == before and {r["status"] for r in down} == {"failed"}
+    last = e.rank_full("docs", queries, lambda prompt: '["' + prompt.rsplit("id: ", 1)[1].split("\n")[0] + '"]', "m", top_k=12).collect()
+    assert {r["old_rank"] for r in last if r["rank"] == 1} == {10} and {(r["q"], r["n"]): r["old_rank"] for r in last} == before

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .config import USUAL, Settings
-from .operators import evaluation, pools, ranking, rerank, retrieval, windows
+from .operators import evaluation, pools, ranking, rerank, retrieval, training, windows
+from .operators.boosting import LambdaMart
 from .operators.vector_index import VectorIndex
+from .session import kept
 from .sources import files
 from .sources.changes import Client, normalised
 
@@ -73,6 +75,18 @@ class Engine:
         pairs = windows.candidates(queries, rows, self.settings.window_days).select("q", "n")
         return ranking.refine(ranking.ml_stage(pairs, rows, ranker, candidates), rows, top_k or self.settings.top_k, self.settings)
 
+    def rank_full(self, project: str, queries: DataFrame, client: Callable[[str], str], model: str, ranker: ranking.Ranker = ranking.PLAIN, candidates: int = 50, top_k: int | None = None, known: DataFrame | None = None) -> DataFrame:
+        """(q, n, rank, old_rank, status): rank_ml_to_rag(), and then the heads as an external model orders them."""
+        ranked = kept(self.rank_ml_to_rag(project, queries, ranker, candidates, top_k), "refined")
+        return rerank.chain(ranked, self._table(project), client, model, known, self.settings.head)
+
+    def train(self, project: str, links: DataFrame) -> LambdaMart:
+        """The boosted ranker, learnt from links (source, target) of patches before the split."""
+        rows = self._table(project)
+        split = pools.split_time(rows, self.settings.test_share).first()["split_micros"]
+        _, pairs = training.labelled_pairs(rows, links, split, lambda before: self.candidate_pool(project, before))
+        return LambdaMart.fit(pairs, seed=self.settings.seed)
+
     def compare(self, model: DataFrame, retrieval_only: DataFrame) -> DataFrame:
         """One row for each query: how many of two rankings' rows (q, n) are in both, in the first, in the second."""
         both = model.select("q", "n", F.lit(True).alias("m")).join(retrieval_only.select("q", "n", F.lit(True).alias("r")), ["q", "n"], "full_outer")

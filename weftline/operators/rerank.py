@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import USUAL
 from ..functions.columns import described, order_key, parsed_reply
+from ..session import kept
 
 INSTRUCTION = "Rank the candidate changes by how closely they are linked with the target change. Answer with a JSON list of candidate ids, best first, and nothing else."
 
@@ -47,6 +48,22 @@ def reordered(head: DataFrame, orders: DataFrame) -> DataFrame:
     return placed.select("q", "n", rank.alias("rank"), F.col("rank").alias("old_rank"))
 
 
+def chain(ranked: DataFrame, rows: DataFrame, client: Callable[[str], str], model: str, known: DataFrame | None = None, head: int = USUAL.head) -> DataFrame:
+    """(q, n, rank, old_rank, status): a ranking (q, n, rank) with the head of each query as an external model orders it. rows (n,
+    patch_id, title, description, files) have the texts. Where the model fails or its reply can't be read the order stays as it was.
+    """
+    ids = rows.select(F.col("n"), "patch_id")
+    named = ranked.select("q", "n", "rank").join(ids, "n").join(ids.select(F.col("n").alias("q"), F.col("patch_id").alias("source_patch_id")), "q")
+    heads = named.where(F.col("rank") <= head).groupBy("q", "source_patch_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "patch_id"))), lambda x: x["patch_id"]).alias("candidates"))
+    heads = kept(heads, "heads")
+    done = kept(rerank(payloads(heads, rows, head), client, model, known, head), "orders")
+    of_query = heads.select("q", "source_patch_id")
+    placed = done.where("order is not null").select(F.col("q").alias("source_patch_id"), F.posexplode("order").alias("place", "patch_id")).join(ids, "patch_id").join(of_query, "source_patch_id")
+    orders = placed.groupBy("q").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "n"))), lambda x: x["n"]).alias("order"))
+    status = done.select(F.col("q").alias("source_patch_id"), "status").join(of_query, "source_patch_id").select("q", "status")
+    return reordered(ranked.select("q", "n", "rank"), orders).join(status, "q", "left")
+
+
 def rerank(asked: DataFrame, client: Callable[[str], str], model: str, known: DataFrame | None = None, head: int = USUAL.head) -> DataFrame:
     """(q, key, order, status, seconds) for rows with q, ids, prompt: orders known under the key of a row are taken, others asked for, in
     each partition with one client. Status is cached, ok, malformed or failed; only ok may be kept, so an outage is never cached.

@@ -22,6 +22,7 @@ from ..operators import retrieval as R
 from ..operators import windows as W
 from ..operators.boosting import LambdaMart
 from ..operators.file_join import top_by_files
+from ..operators.training import labelled_pairs
 from ..operators.vector_index import VectorIndex
 from ..schema import SQL, embedded, ground_truth, patches
 from ..session import kept, new_folder
@@ -421,6 +422,14 @@ def apply_rerank_order(spark: SparkSession, sf: str) -> DataFrame:
     return L.reordered(ranked, orders).select("q", "n", "rank")
 
 
+@query("select q, n, (case when first % 5 > 1 then cnt + 1 - rank else rank end)::integer as rank, case when first % 5 = 0 then 'failed' when first % 5 = 1 then 'malformed' else 'ok' end as status from (select q, n, rank, count(*) over (partition by q) as cnt, first_value(n) over (partition by q order by rank) as first from blr)", *_ml, _blend(10, 10))
+def full_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """The model's first ten, refined by retrieval, then put in order by an external model, here one that turns lists round."""
+    rows = embedded(spark, sf)
+    ranked = kept(K.refine(_ranked_by_model(spark, sf).where("ml_rank <= 10"), rows, 10).select("q", "n", "rank"), "refined")
+    return L.chain(ranked, rows, _turning, "turning").select("q", "n", "rank", "status")
+
+
 @query("select q, count(*) filter (m and r)::bigint as both, count(*) filter (m and not r)::bigint as model_only, count(*) filter (r and not m)::bigint as retrieval_only from (select coalesce(x.q, y.q) as q, x.q is not null as m, y.q is not null as r from (select q, n from mlr where ml_rank <= 5) x full join (select q, n from base) y on x.q = y.q and x.n = y.n) group by q", *_ml, SEM, _sem("s", 15), BASE)
 def compare_overlap(spark: SparkSession, sf: str) -> DataFrame:
     rows = embedded(spark, sf)
@@ -623,21 +632,8 @@ def _labelled(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataF
     """What rankers learn from: rows, anchors after the split, and pairs (q, n, label, features) of anchors before it, that is their
     links and negatives from the union of their pools, drawn by the similarity of vectors."""
     rows = embedded(spark, sf)
-    known = rows.select("patch_id")
-    pairs = P.anchors(P.canonical_pairs(ground_truth(spark, sf)), rows)
-    links = pairs.join(known.withColumnRenamed("patch_id", "positive"), "positive").select(F.col("anchor").cast("long").alias("q"), F.col("positive").cast("long").alias("n"))
-    links = kept(links, "links")
-    split = P.split_time(patches(spark, sf)).first()["split_micros"]
-    early = C.micros(F.col("created_time")) < F.lit(split)
-    q = kept(rows.join(links.select(F.col("q").alias("n")).distinct(), "n", "left_semi").withColumn("q", F.col("n")), "anchors")
-    before, after = q.where(early), q.where(~early)
-    links = links.join(before.select("q"), "q", "left_semi")
-    of = lambda side: rows.select(F.col("n").alias(side), F.col("vector").alias(f"{side}_vector"))
-    # Pools are kept, so that what is planned from here on doesn't repeat them.
-    pool = kept(_union(before, rows).select("q", "n").where("q != n"), "pools").join(links, ["q", "n"], "left_anti")
-    pool = pool.join(of("q"), "q").join(of("n"), "n").select("q", "n", C.cosine(F.col("q_vector"), F.col("n_vector")).alias("sem"))
-    labelled = kept(P.negatives(pool).select("q", "n").withColumn("label", F.lit(0)).unionByName(links.withColumn("label", F.lit(1))), "labelled")
-    return rows, after, kept(K.features(labelled.select("q", "n"), rows).join(labelled, ["q", "n"]), "features")
+    after, pairs = labelled_pairs(rows, ground_truth(spark, sf), P.split_time(patches(spark, sf)).first()["split_micros"], lambda before: _union(before, rows))
+    return rows, after, pairs
 
 
 @query(None)
