@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .config import USUAL, Settings
 from .operators import evaluation, pools, ranking, rerank, retrieval, training, windows
 from .operators.boosting import LambdaMart
+from .operators.encoding import Encoder
 from .operators.vector_index import VectorIndex
 from .session import kept
 from .sources import files
@@ -19,8 +20,9 @@ from .sources.changes import Client, normalised
 class Engine:
     """Projects are tables of patches: n, patch_id, title, description, created_time, files, vector."""
 
-    def __init__(self, projects: dict[str, DataFrame], client: Client | None = None, settings: Settings = USUAL):
-        self.tables, self.client, self.settings = projects, client, settings
+    def __init__(self, projects: dict[str, DataFrame], client: Client | None = None, settings: Settings = USUAL, encoder: Encoder | None = None):
+        """encoder is the one that the projects' vectors come from, for patches that are fetched."""
+        self.tables, self.client, self.settings, self.encoder = projects, client, settings, encoder
 
     def projects(self) -> list[str]:
         return sorted(self.tables)
@@ -56,9 +58,12 @@ class Engine:
         one = normalised(spark.createDataFrame([(patch_id, reply)], "patch_id string, reply string")).where("title is not null")
         if not one.limit(1).count():
             raise LookupError(f"unknown patch: {patch_id}")
-        # A patch from outside has no vector: a zero vector is like none, so its words alone decide.
+        numbers = {"n": F.lit(-1).cast("long"), "q": F.lit(-1).cast("long")}
+        if self.encoder:
+            return one.join(self.encoder.encode(one), "patch_id").withColumns(numbers)
+        # Without an encoder a patch from outside has no vector: a zero vector is like none, so its words alone decide.
         zero = rows.select(F.transform("vector", lambda x: F.lit(0.0)).alias("vector")).limit(1)
-        return one.join(F.broadcast(zero)).withColumns({"n": F.lit(-1).cast("long"), "q": F.lit(-1).cast("long")})
+        return one.join(F.broadcast(zero)).withColumns(numbers)
 
     def candidate_pool(self, project: str, queries: DataFrame, strategy: str = "file_boost", index: VectorIndex | None = None) -> DataFrame:
         """(q, n, pool, place): for queries (rows of the project with q) the window, the nearest vectors - from an index, if one is
