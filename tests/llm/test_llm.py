@@ -684,3 +684,12 @@ def test_stages_on_odd_and_empty_tables(spark, sf, stage):
         out = f(spark, docs, sf)
         assert stage == 4 or out.columns == list(P.COLUMNS)
         out.count()
+
+
+def test_no_python_in_what_native_operators_store(spark, sf, monkeypatch):
+    seen = []
+    for module in (quality_rules, decontamination):
+        monkeypatch.setattr(module, "written", lambda df, name, write=module.written: seen.append(df._jdf.queryExecution().toString()) or write(df, name))
+    quality_rules.op3_quality_rules(spark, sf)
+    decontamination.op8_decontamination(spark, sf)
+    assert len(seen) > 8 and not [p for p in seen if re.search("Python|Pandas|Arrow", p)]

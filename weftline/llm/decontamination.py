@@ -30,7 +30,8 @@ SIGNS = ".,;:!?\"'()[]{}#*$%&|<>"
 #: Signs that are part of a word within it, and no word where they stand alone.
 DASHES = "-–—"
 _OPEN = re.escape(SIGNS)
-NO_WORD = f"[{_OPEN}]|(?<![^ {_OPEN}])[{DASHES}]+(?![^ {_OPEN}])"
+#: What stands before a run of dashes is looked at only where there is one.
+NO_WORD = f"[{_OPEN}]|[{DASHES}]++(?<![^{DASHES} {_OPEN}][{DASHES}]{{1,99}})(?![^ {_OPEN}])"
 
 
 #: A capitalised word: "Anna", "O'Brien" and "Jean-Paul" are one each.
