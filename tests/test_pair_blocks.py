@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 from test_patch_linkage import plan_of
 
+from weftline.functions import columns as C
 from weftline.operators import pair_blocks as B
+from weftline.operators import pools as P
 from weftline.operators import ranking as K
 from weftline.operators import windows as W
 from weftline.schema import embedded
@@ -60,3 +62,38 @@ def test_blend_of_kept_features_equals_blend_of_joined_ones(spark, sf):
     assert by(K.refine(ranked, rows, 10)) == by(K.refine(ranked.drop("sim_cosine", "jaccard"), rows, 10))
     assert {(r["q"], r["n"], r["ml_rank"]) for r in ranked.collect()} == {(r["q"], r["n"], r["ml_rank"]) for r in K.ml_stage(W.candidates(rows.where("n % 50 = 0"), rows, 2).select("q", "n"), rows).collect()}
     assert rows.select(F.max("n")).first()[0] > 50
+
+
+@pytest.mark.parametrize("sizes", [(512, 2048), (4, 6)])
+def test_negatives_of_blocks_equal_negatives_of_pairs(spark, monkeypatch, sizes):
+    """Pools that stay whole, larger ones, linked pairs that are left out, and candidates from elsewhere of which some are inside."""
+    monkeypatch.setattr(P, "FEW_LEFT_ROWS", sizes[0])
+    monkeypatch.setattr(B, "RIGHT_ROWS", sizes[1])
+    rows = spark.createDataFrame(odd_rows(90, 3000), SCHEMA)
+    asked = rows.where("n % 4 = 0").withColumn("q", F.col("n"))
+    linked = spark.createDataFrame([(q, n) for q in range(0, 90, 4) for n in range(90) if (q + n) % 7 == 0], "q long, n long")
+    others = spark.createDataFrame([(q, n) for q in range(0, 90, 4) for n in range(90) if (q + n) % 5 == 0], "q long, n long")
+    pool = W.candidates(asked, rows, 0.4).select("q", "n").unionByName(others.where("q != n")).distinct().join(linked, ["q", "n"], "left_anti")
+    of = lambda side: rows.select(F.col("n").alias(side), F.col("vector").alias(f"v{side}"))
+    sims = pool.join(of("q"), "q").join(of("n"), "n").select("q", "n", C.cosine(F.col("vq"), F.col("vn")).alias("sem"))
+    kinds = set()
+    for most in (20, 60):
+        want = sorted(map(tuple, P.negatives(sims, most).collect()))
+        kinds |= {k for _, _, k in want}
+        assert sorted(map(tuple, P.window_negatives(asked, rows, 0.4, linked, others, most).collect())) == want
+    assert kinds == {"all", "hard", "easy"}
+
+
+def test_negative_pool_shuffles_no_pairs(spark, sf):
+    from weftline.plans.ranking_queries import QUERIES
+
+    tree = plan_of(QUERIES["negative_pool"](spark, sf)).split("\n\n")[0]
+    assert "Join" in tree and "Exchange" not in tree[: tree.index("Join")]
+
+
+def test_numbers_with_several_texts_are_linked_by_each(spark, tmp_path):
+    from weftline.plans.ranking_queries import QUERIES
+
+    docs = [(50, "a"), (50, "b"), (1, "a"), (2, "b"), (3, "c"), (4, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {tuple(r) for r in QUERIES["negative_pool"](spark, str(tmp_path)).collect()} == {(50, 3)}
