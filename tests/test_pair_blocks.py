@@ -9,6 +9,7 @@ from weftline.functions import columns as C
 from weftline.operators import pair_blocks as B
 from weftline.operators import pools as P
 from weftline.operators import ranking as K
+from weftline.operators import training as T
 from weftline.operators import windows as W
 from weftline.schema import embedded
 
@@ -97,3 +98,13 @@ def test_numbers_with_several_texts_are_linked_by_each(spark, tmp_path):
     docs = [(50, "a"), (50, "b"), (1, "a"), (2, "b"), (3, "c"), (4, None)]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {tuple(r) for r in QUERIES["negative_pool"](spark, str(tmp_path)).collect()} == {(50, 3)}
+
+
+def test_training_draws_from_windows_as_from_a_table_of_pairs(spark, sf):
+    rows = embedded(spark, sf).where("n < 200")
+    links = spark.createDataFrame([(str(k), str(k + 7)) for k in range(0, 150, 10)], "source string, target string")
+    split = 1.8e15
+    some = lambda q: q.select("q").crossJoin(rows.where("n % 9 = 0").select("n"))
+    whole = lambda q: some(q).unionByName(W.candidates(q, rows, 3).select("q", "n")).distinct()
+    got = [{(r["q"], r["n"], r["label"]) for r in T.labelled_pairs(rows, links, split, pool, days)[1].collect()} for pool, days in ((some, 3), (whole, None))]
+    assert got[0] == got[1] and {k for _, _, k in got[0]} == {0, 1}
