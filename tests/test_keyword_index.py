@@ -1,5 +1,7 @@
 import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,3 +101,45 @@ def test_patches_of_the_given_tables(spark, sf, tmp_path):
     index = KeywordIndex.build(rows, str(tmp_path / "i"))
     asked = rows.where("n % 50 = 0").withColumn("q", F.col("n"))
     assert shown(index.search(asked, 25)) == plain(asked, rows, 25)
+
+
+def test_a_query_costs_the_postings_of_its_own_words():
+    """Two thousand queries of a rare word each take hardly longer than twenty: no query goes through all postings of a block."""
+    rnd = np.random.default_rng(7)
+    n, word = np.repeat(np.arange(8000), 40), rnd.integers(0, 20_000, 320_000)
+    _, once = np.unique(n * 20_000 + word, return_index=True)
+    n, word, tf = n[once], word[once], rnd.integers(1, 4, len(once)).astype(float)
+    took = {}
+    for queries in (20, 2000):
+        q = np.arange(queries)
+        began = time.process_time()
+        found = list(R._word_scores(q, q * 10, np.ones(queries), n, word, tf, 5))
+        took[queries] = time.process_time() - began
+        for asked, rows, kw in found[:20]:
+            mine = sorted(zip(-tf[word == asked[0] * 10], n[word == asked[0] * 10], strict=True))[:5]
+            assert [(-s, r) for s, r in mine] == list(zip(kw, rows, strict=True))
+    assert took[2000] < 15 * took[20] + 0.5
+
+
+@pytest.mark.parametrize("common", [0.0, 0.05, 1.0])
+def test_scores_by_lists_and_by_matrix_are_the_same(monkeypatch, common):
+    monkeypatch.setattr(R, "COMMON", common)
+    rnd = np.random.default_rng(8)
+    n, word = np.divmod(np.unique(rnd.integers(0, 300, 9000) * 100 + (rnd.pareto(1, 9000) * 4).astype(int) % 100), 100)
+    tf, q = rnd.integers(1, 5, len(n)).astype(float), np.repeat(np.arange(90), 30)
+    q, q_word = np.divmod(np.unique(q * 120 + rnd.integers(0, 120, len(q))), 120)
+    w = np.round(rnd.normal(size=len(q)), 1)
+    got = [(a, b, round(c, 9)) for x in R._word_scores(q, q_word, w, n, word, tf, 40) for a, b, c in zip(*x, strict=True)]
+    scores = {}
+    for a, t, x in zip(q, q_word, w, strict=True):
+        for b, y in zip(n[word == t], tf[word == t], strict=True):
+            scores[a, b] = scores.get((a, b), 0.0) + x * y
+    want = [(a, b, round(s, 9)) for a in range(90) for s, b in [(-s, b) for s, b in sorted((-round(s, 9), b) for (x, b), s in scores.items() if x == a)[:40]]]
+    assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in want] and all(abs(x[2] - y[2]) < 1e-8 for x, y in zip(got, want, strict=True))
+
+
+def test_words_are_runs_of_three_or_more(spark):
+    odd = ["", "ab abc", "a_b ÀÉî_ñ x1y", "１２３ 12 123", "日本 日本語", "😀😀😀 a😀b", "été né", "İstanbul ΣΑΣ", "foo-bar.baz  q", None]
+    rows = spark.createDataFrame([(t,) for t in odd], "text string")
+    plain = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)), lambda w: F.length(w) > 2)
+    assert all(r[0] == r[1] for r in rows.select(plain, R.tokens(F.col("text"))).collect())
