@@ -156,6 +156,25 @@ def test_mined_rules_equal_all_combinations(spark):
     assert len(got) > 3 and any("word:pills" in r["tokens"] and r["label"] == "block" for r in got)
 
 
+def test_all_frequent_items_of_a_url_are_mined(spark):
+    """Seventeen items a URL and more, of which those that make the rule tell least about the label, one by one."""
+    rnd = random.Random(9)
+    rows = []
+    for _ in range(240):
+        words = [f"w{chr(97 + k)}" for k in range(16) if rnd.random() < 0.9]
+        a, b = rnd.random() < 0.5, rnd.random() < 0.5
+        words += ["xa"] * a + ["xb"] * b
+        label = "block" if a != b else "allow"
+        if label == "block" and rnd.random() < 0.8:
+            words = [w for w in words if w not in ("wa", "wb")]
+        rows.append((f"http://e.net/{'/'.join(words)}", label))
+    labelled = spark.createDataFrame(rows, "url string, label string")
+    have = [(r["t"], r["label"]) for r in labelled.select(url_filter.tokens(F.col("url")).alias("t"), "label").collect()]
+    got = {(frozenset(r["tokens"]), r["label"], round(r["confidence"], 9), round(r["support"], 9)) for r in url_filter.mined(labelled, 0.1, 0.8).collect()}
+    assert got == brute_rules(have, 0.1, 0.8)
+    assert any({"path:xa", "path:xb"} <= r[0] and r[1] == "allow" and r[2] == 1 for r in got)
+
+
 def test_index_finds_what_trying_every_rule_finds():
     rnd, words = random.Random(5), [f"t{k}" for k in range(12)]
     rules = [(rnd.sample(words, rnd.randint(1, 4)), rnd.choice(["allow", "block"]), 0.9) for _ in range(60)]
