@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,3 +91,11 @@ def test_ties_at_the_last_place_go_by_the_smaller_row(take):
     sims, n = rng.integers(0, 4, size=(20, 10)) / 4, rng.permutation(10)
     want = np.stack([np.lexsort((n, -s))[:take] for s in sims])
     assert (R._first(sims, n, take) == want).all()
+
+
+def test_rows_that_ask_for_every_cell_are_handed_on_in_small_steps():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000))], names=["q"])
+    for cells in (1, 784, 4096, 10**7):
+        parts = list(V._steps(iter([batch, batch.slice(0, 0)]), cells))
+        assert pa.Table.from_batches(parts).column("q").to_pylist() == list(range(10_000))
+        assert max(p.num_rows for p in parts) * cells <= max(V.SIMS_STEP, cells)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..config import USUAL
 from ..functions.columns import norm
+from ..session import kept
 from .retrieval import CORPUS_BLOCK, QUERY_BLOCK, meetings
 from .windows import top
 
@@ -30,6 +31,8 @@ BREADTH = 8
 MOST_BROADCAST = 1_000_000
 #: Rows of a cell in one file, about.
 ROWS_A_FILE = 200_000
+#: Similarities of rows and centres that are made at a time, and bytes of vectors that one task compares, about.
+SIMS_STEP, TASK_BYTES = 1 << 17, 64 << 20
 SLACK = 1e-9
 
 
@@ -42,6 +45,14 @@ def _rows(column: pa.Array) -> np.ndarray:
     return _unit(column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1))
 
 
+def _steps(batches: Iterator[pa.RecordBatch], cells: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that rows times cells is bounded: a row may ask for every cell, and its vector is copied for each."""
+    step = max(1, SIMS_STEP // cells)
+    for b in batches:
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
+
+
 class VectorIndex:
     """Opens an index that build() has written."""
 
@@ -91,7 +102,7 @@ class VectorIndex:
         unit = _unit(centres).T
 
         def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in _steps(batches, len(centres)):
                 if b.num_rows:
                     sims = _rows(b.column(1)) @ unit
                     cell = sims.argmax(axis=1)
@@ -118,7 +129,7 @@ class VectorIndex:
         first = self._found(self._probes(asked.withColumn("least", F.lit(None).cast("double")), breadth * k), k)
         if not exact:
             return top(first, k, "sem")
-        near = top(first, k, "sem")
+        near = kept(top(first, k, "sem"), "near")
         least = near.groupBy("q").agg(F.count("*").alias("found"), F.min("sem").alias("least"))
         # Where fewer than k have been found, every cell may hold one of them.
         beyond = asked.join(least, "q", "left").select("q", "vector", F.when(F.col("found") >= k, F.col("least")).otherwise(-2.0).alias("least"))
@@ -134,7 +145,7 @@ class VectorIndex:
         unit = _unit(self.centres[held]).T if len(held) else None
 
         def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in _steps(batches, max(1, len(held))):
                 if unit is None or not b.num_rows:
                     continue
                 sims = np.clip(_rows(b.column(1)) @ unit, -1, 1)
@@ -152,11 +163,11 @@ class VectorIndex:
 
     def _found(self, probes: DataFrame, k: int) -> DataFrame:
         """(q, n, sem): the best k of each block of each probed cell."""
-        probes = probes.persist()
+        probes = kept(probes, "probes")
         wanted = {r["cell"]: r["n"] for r in probes.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # one row a cell
         sizes = self._sizes().groupBy("cell").agg(F.sum("rows").alias("rows"))
-        asking = self.spark.createDataFrame([(c, -(-n // QUERY_BLOCK)) for c, n in wanted.items()], "cell int, parts int")
-        blocks = F.broadcast(sizes.join(asking, "cell").select("cell", "parts", F.ceil(F.col("rows") / CORPUS_BLOCK).cast("int").alias("blocks")))
+        asking = self.spark.createDataFrame([(c, -(-n // QUERY_BLOCK), n) for c, n in wanted.items()], "cell int, parts int, asked long")
+        blocks = F.broadcast(sizes.join(asking, "cell").select("cell", "parts", "asked", "rows", F.ceil(F.col("rows") / CORPUS_BLOCK).cast("int").alias("blocks")))
         every = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
         part = lambda c, m: F.pmod(F.xxhash64(c), F.col(m))
         of = lambda *cs: (F.xxhash64("cell", F.col(c).cast("long")).alias(x) for x, c in zip("ab", cs, strict=True))
@@ -165,10 +176,14 @@ class VectorIndex:
         gone = self._table("removed", "n long, batch int").groupBy("n").agg(F.max("batch").alias("until"))
         n_gone = gone.count()
         if n_gone:
-            kept = right.join(F.broadcast(gone) if n_gone <= MOST_BROADCAST else gone, "n", "left")
-            right = kept.where("until is null or batch > until").drop("until")
+            marked = right.join(F.broadcast(gone) if n_gone <= MOST_BROADCAST else gone, "n", "left")
+            right = marked.where("until is null or batch > until").drop("until")
         right = right.withColumn("part", every("parts")).select("n", "vector", *of("part", "block"))
-        return meetings(left, right, k)
+        # As many parts as keep each small, whatever the number of cells that queries ask for.
+        sent = blocks.agg(F.sum(F.col("rows") * F.col("parts")).alias("right"), F.sum(F.col("asked") * F.col("blocks")).alias("left")).first()
+        least = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        n_parts = max(least, -(-((sent["right"] or 0) + (sent["left"] or 0)) * (8 * self.centres.shape[1] + 64) // TASK_BYTES))
+        return meetings(left.repartition(n_parts, "a", "b"), right.repartition(n_parts, "a", "b"), k)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
