@@ -203,6 +203,29 @@ def test_unlabelled_empty_and_odd_pages(spark):
     assert url_filter.judged(pages.limit(0), ([], {})).count() == 0
 
 
+def test_no_rule_of_a_large_model_is_left_out(spark):
+    """Of 25,000 rules the least sure judges too, whichever way rules come to the pages."""
+    rules = spark.range(25_000).select(F.array(F.concat(F.lit("query:k"), "id")).alias("tokens"), F.lit("block").alias("label"), (1 - F.col("id") / 250_000).alias("confidence"), F.lit(0.1).alias("support"))
+    pages = spark.createDataFrame([(k, f"http://a.net/?k{k}=1") for k in (0, 19_999, 20_000, 24_999, 25_000)], "page_id long, url string")
+    want = {(k, "block" if k < 25_000 else "allow") for k in (0, 19_999, 20_000, 24_999, 25_000)}
+    for got in (url_filter.judged_by(pages, rules), url_filter.judged(pages, url_filter.index_of(rules))):
+        assert {(r["page_id"], r["mined_verdict"]) for r in got.collect()} == want
+
+
+def test_rules_that_are_joined_judge_as_those_that_are_sent(spark, monkeypatch):
+    rnd, words = random.Random(12), [f"query:k{k}" for k in range(9)]
+    made = {tuple(rnd.sample(words, rnd.randint(1, 4))): (rnd.choice(["allow", "block"]), rnd.choice([0.8, 0.9, 1.0]), rnd.choice([0.1, 0.2])) for _ in range(80)}
+    rules = spark.createDataFrame([(list(t), *r) for t, r in made.items()], "tokens array<string>, label string, confidence double, support double")
+    urls = [f"http://a.net/?{'&'.join(f'k{k}=1' for k in rnd.sample(range(12), rnd.randint(0, 6)))}" for _ in range(200)] + ODD_URLS
+    pages = spark.createDataFrame([(None if k % 9 == 4 else k, u) for k, u in enumerate(urls * 2)], "page_id long, url string").withColumns({"its tokens": F.lit(1), "row": F.lit(2), "label": F.lit("x"), "tokens": F.lit("y"), "confidence": F.lit(3)})
+    by = lambda df: (df.columns, sorted(map(repr, df.collect())))
+    sent = by(url_filter.judged_by(pages, rules))
+    assert len({r.split("mined_rule=")[1] for r in sent[1]}) > 10
+    for name, most in (("MOST_RULES", 3), ("PART_SETS", 5), ("PART_RULES", 2)):
+        monkeypatch.setattr(url_filter, name, most)
+        assert by(url_filter.judged_by(pages, rules)) == sent
+
+
 def test_query_of_urls(spark, sf):
     pages = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     rows = registry.queries()["op12_url_filter"](spark, sf).collect()
