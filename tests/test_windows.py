@@ -55,3 +55,15 @@ def test_pairs_of_larger_numbers_and_of_nothing_in_common(spark, monkeypatch):
         got = W.candidates(made.where("n % 2 = 0"), made, days, apart="tags").collect()
         want = {k for k in near if k[0] % 2 == 0 and not set(tags(k[0])) & set(tags(k[1]))}
         assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_negatives_and_gaps_are_written_as_runs(spark, tmp_path):
+    from test_patch_linkage import plan_of
+    from weftline.plans.ranking_queries import QUERIES
+
+    docs = spark.range(0, 43_200 * 8, 8).where("id * 7919 % 43200 < 3600").select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 5000).alias("text"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    n, each = written(QUERIES["negative_pool"](spark, str(tmp_path)), f"{tmp_path}/negatives")
+    assert n > 100_000 and each < 0.6
+    gaps = QUERIES["delta_time_hours"](spark, str(tmp_path))
+    assert "InArrow" not in plan_of(gaps)
