@@ -108,3 +108,28 @@ def test_training_draws_from_windows_as_from_a_table_of_pairs(spark, sf):
     whole = lambda q: some(q).unionByName(W.candidates(q, rows, 3).select("q", "n")).distinct()
     got = [{(r["q"], r["n"], r["label"]) for r in T.labelled_pairs(rows, links, split, pool, days)[1].collect()} for pool, days in ((some, 3), (whole, None))]
     assert got[0] == got[1] and {k for _, _, k in got[0]} == {0, 1}
+
+
+@pytest.mark.parametrize("sizes", [(2048, 512, 2048), (7, 5, 9)])
+def test_best_of_blocks_are_those_of_all_pairs(spark, monkeypatch, sizes):
+    """Many equal scores, scores that are null or NaN or differ by less than nine places, and trees that test null features."""
+    from weftline.operators.boosting import LambdaMart
+
+    for name, size in zip(("LEFT_ROWS", "FEW_LEFT_ROWS", "RIGHT_ROWS"), sizes, strict=True):
+        monkeypatch.setattr(B, name, size)
+    rows = [(*r[:4], None if r[0] % 6 == 5 else r[4], [float("nan"), 1.0, 2.0] if r[0] % 10 == 7 else r[5]) for r in odd_rows(120, 200)]
+    rows = spark.createDataFrame(rows, SCHEMA)
+    few = K.FixedWeights({"same_component": 1.0, "delta_time_hours": -1e-10})
+    linear = K.FixedWeights({f: (-1) ** k * (0.1 + 0.037 * k) for k, f in enumerate(K.FEATURES)})
+    tree = {1: ("nb_shared", 0.0, 1.0), 2: ("sim_cosine", 0.3, 1.0), 3: 0.25, 4: 0.1, 5: -0.7}
+    trees = LambdaMart([tree, {1: ("token_jaccard", 0.02, 1.0), 2: 0.3, 3: ("max_len_files", 2.0, 1.0), 6: 0.11, 7: 0.13}] * 6)
+    for ranker in (few, linear, K.Pairwise(linear), trees, LambdaMart([])):
+        plain = type("Plain", (), {"needs": ranker.needs, "score": ranker.score})()
+        want, got = (sorted(map(repr, K.ml_window(rows.where("n % 3 = 0"), rows, 0.1, r, 4).collect())) for r in (plain, ranker))
+        assert got == want and len(got) > 100
+
+
+def test_pairs_beyond_the_best_of_a_block_are_no_rows(spark):
+    rows = spark.createDataFrame(odd_rows(300, 60), SCHEMA)
+    found = B.window_best(rows, rows, 1, ("jaccard", "token_jaccard"), K.FixedWeights({"jaccard": 1.0, "token_jaccard": 2.0}).of_arrays, 3)
+    assert found.count() < 300 * 3 * 8 < B.window_features(rows, rows, 1, ("jaccard",)).count()
