@@ -133,3 +133,28 @@ def test_pairs_beyond_the_best_of_a_block_are_no_rows(spark):
     rows = spark.createDataFrame(odd_rows(300, 60), SCHEMA)
     found = B.window_best(rows, rows, 1, ("jaccard", "token_jaccard"), K.FixedWeights({"jaccard": 1.0, "token_jaccard": 2.0}).of_arrays, 3)
     assert found.count() < 300 * 3 * 8 < B.window_features(rows, rows, 1, ("jaccard",)).count()
+
+
+@pytest.mark.parametrize("sizes", [(2048, 512, 2048), (7, 5, 9)])
+def test_pairs_of_one_table_are_met_once(spark, monkeypatch, sizes):
+    """Features of each pair once, rounded as Spark rounds, with less sent than for two tables."""
+    for name, size in zip(("LEFT_ROWS", "FEW_LEFT_ROWS", "RIGHT_ROWS"), sizes, strict=True):
+        monkeypatch.setattr(B, name, size)
+    rows = spark.createDataFrame([(*r[:4], None if r[0] % 9 == 5 else r[4], r[5]) for r in odd_rows(90, 600)], SCHEMA)
+    by = lambda df: sorted(map(repr, df.select("q", "n", *K.FEATURES).collect()))
+    whole = B.window_features(rows, rows, 0.1, K.FEATURES, once=True).select("q", "n", *(F.round(f, 6).alias(f) for f in K.FEATURES))
+    want = by(whole)
+    assert len(want) > 300 and by(B.window_features(rows, None, 0.1, K.FEATURES, places=6)) == want
+    turned = B.window_features(rows, rows, 0.1, K.FEATURES, places=6, larger=True).select(F.col("n").alias("q"), F.col("q").alias("n"), *K.FEATURES)
+    assert by(turned) == want
+    copies = [B.met(B.sides(rows, "q", set()), B.sides(rows, "n", set()), 0.1, 2048, forward=f)[0]._df.count() for f in (False, True)]
+    assert copies[1] < 0.8 * copies[0]
+
+
+def test_rounding_is_that_of_spark(spark):
+    rnd = random.Random(2)
+    values = [0.0, -0.0, 0.5e-6, 1.5e-6, 2.5e-6, -2.5e-6, 1.0000005, 0.1234565, 0.1234575, 1e-9, -1e-9, 1e300, -1e18, float("nan"), float("inf"), 123456.7890125, *(rnd.randint(0, 10**7) / 2e6 * rnd.choice([1, -1]) for _ in range(2000)), *(rnd.randint(0, 300) / rnd.randint(1, 600) for _ in range(3000)), *(rnd.randint(0, 10**6) * 1e-6 + 5e-7 for _ in range(3000))]
+    want = [r[0] for r in spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k long, v double").orderBy("k").select(F.round("v", 6)).collect()]
+    import numpy as np
+
+    assert list(map(repr, B.rounded(np.array(values), 6).tolist())) == list(map(repr, want))
