@@ -158,3 +158,13 @@ def test_rounding_is_that_of_spark(spark):
     import numpy as np
 
     assert list(map(repr, B.rounded(np.array(values), 6).tolist())) == list(map(repr, want))
+
+
+def test_blocks_are_not_put_together_into_few_tasks(spark, sf):
+    """Blocks read little, whatever they have to compare: their number says how many tasks there are, and they are dealt once."""
+    from weftline.plans.ranking_queries import QUERIES
+
+    found = QUERIES["shared_tickets"](spark, sf)
+    assert found.rdd.getNumPartitions() > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tree = plan_of(found).split("\n\n")[0]
+    assert "REPARTITION_BY_NUM" in plan_of(found) and "Exchange" not in tree[: tree.index("FlatMapCoGroupsInArrow")]
